@@ -104,7 +104,7 @@ def sales(t: Tables) -> DataFrame:
     )
 
 
-def positions(t: Tables) -> DataFrame:
+def positions(t: Tables, keep_ts: bool = False) -> DataFrame:
     """Vessel reports: event time replayed at sixty times speed on coherent tracks."""
     origin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     sec = F.floor(
@@ -123,11 +123,16 @@ def positions(t: Tables) -> DataFrame:
             F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string")).alias("source"),
             F.col("event_type").alias("category"),
             F.round(F.col("value") / 10, 2).alias("sog"),
-            "event_id", "user_id",
+            "event_id", "user_id", *([F.col("ts").cast("timestamp").alias("ts")] if keep_ts else []),
         )
     )
 
 
+def reports(t: Tables) -> DataFrame:
+    """The same reports at their real event time."""
+    return positions(t, keep_ts=True).drop("observed").withColumnRenamed("ts", "observed")
+
+
 # SQL twins; each value is one CTE.
 CTE = {
     "orders_day": """orders_day as (select o_orderkey, o_custkey, o_orderstatus, o_orderpriority as indicator,
@@ -167,6 +172,8 @@ CTE = {
         'src' || (event_id % 3) as source, event_type as category, round(value / 10, 2) as sog, event_id, user_id
         from (select *, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::bigint as sec from events))""",
 }
+CTE["reports"] = CTE["positions"].replace("positions as (", "reports as (").replace(
+    "make_timestamp((sec + 1704067200) * 1000000) as observed", "ts as observed")
 NEEDS = {"priority_month": ["order_bounds"], "flag_month": ["line_bounds"]}
 
 

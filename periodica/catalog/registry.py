@@ -64,3 +64,13 @@ def r6(value: Column | str, digits: int = 6) -> Column:
 
 def q6(expr: str, digits: int = 6) -> str:
     return f"(round(({expr})::double, {digits}) + 0.0)"
+
+
+def f32(value: Column | str) -> Column:
+    """Seven significant digits; means of cents often sit on a decimal rounding tie."""
+    c = F.col(value) if isinstance(value, str) else value
+    return c.cast("float").cast("double")
+
+
+def qf(expr: str) -> str:
+    return f"(({expr})::float)::double"
