@@ -334,7 +334,7 @@ def impact_rollup(df: DataFrame, by: str, impact: str) -> DataFrame:
         F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)).alias("positive"),
         F.coalesce(F.sum(F.when(v < 0, v)), F.lit(0.0)).alias("negative"),
     )
-    return out.withColumn("share_pct", F.when(whole > 0, F.abs("total") / whole * 100).otherwise(0.0))
+    return out.withColumn("share_pct", F.when(whole > 0, F.abs(F.col("total").cast("double")) / whole.cast("double") * 100).otherwise(0.0))
 
 
 def movement_counts(df: DataFrame, keys: list[str], group: str, period: str, value: str) -> DataFrame:
