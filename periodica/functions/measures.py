@@ -56,9 +56,9 @@ def row_sum(values: list[Column | str], min_count: int) -> Column:
 
 
 def ratio(top: Column | str, bottom: Column | str) -> Column:
-    """Division with NULL for a zero or missing denominator."""
-    b = as_col(bottom)
-    return as_col(top) / F.when(b != 0, b)
+    """Double division with NULL for a zero or missing denominator."""
+    b = as_col(bottom).cast("double")
+    return as_col(top).cast("double") / F.when(b != 0, b)
 
 
 def growth_pct(current: Column | str, base: Column | str) -> Column:
@@ -76,8 +76,7 @@ def difference_rule(unit: Column | str, kind: Column | str) -> Column:
     """Percent units are compared by difference, operating rates excepted."""
     # fixed values
     percent_unit, operating_rate = "%", "开工率"
-    u, k = F.trim(F.coalesce(as_col(unit), F.lit(""))), F.trim(F.coalesce(as_col(kind), F.lit("")))
-    return (u == percent_unit) & (k != operating_rate)
+    return F.coalesce(as_col(unit) == percent_unit, F.lit(False)) & ~as_col(kind).eqNullSafe(F.lit(operating_rate))
 
 
 def weighted_pressure(ballistic: Column, cruise: Column, uavs: Column) -> Column:
