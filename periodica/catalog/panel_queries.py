@@ -95,7 +95,7 @@ def _(t):
 
 
 @query("t19_chained_yoy", ctes("flag_month") + f"""
-, x as (select indicator, period, case when year(period) = 1997 then round(qty / 100, 2) end as official, case when month(period) <> 6 or year(period) > 1998 then round(qty / 1000 - 3, 2) end as change,
+, x as (select indicator, period, case when year(period) = 1997 then round(qty / 100, 2) end as official, case when month(period) <> 6 or year(period) > 1998 then (qty::bigint % 13 - 6) / 10.0::double end as change,
   case when year(period) < 1999 then 'b1' else 'b2' end as base, value as idx from flag_month),
 w as (select *, case when count(change) over w12 = 12 then {q6('(product(1 + change / 100) over w12 - 1) * 100', 2)} end as chained from x
   window w12 as (partition by indicator order by year(period) * 12 + month(period) range between 11 preceding and current row)),
@@ -106,7 +106,7 @@ def _(t):
     y = F.year("period")
     x = c.flag_month(t).select(
         "indicator", "period", F.when(y == 1997, F.round(F.col("qty") / 100, 2)).alias("official"),
-        F.when((F.month("period") != 6) | (y > 1998), F.round(F.col("qty") / 1000 - 3, 2)).alias("change"), F.when(y < 1999, "b1").otherwise("b2").alias("base"), F.col("value").alias("idx"))
+        F.when((F.month("period") != 6) | (y > 1998), (F.col("qty").cast("long") % 13 - 6) / 10.0).alias("change"), F.when(y < 1999, "b1").otherwise("b2").alias("base"), F.col("value").alias("idx"))
     return pr.chained_yoy(x, ["indicator"], "period", "official", "change", "idx", "base")
 
 
