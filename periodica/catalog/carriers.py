@@ -122,7 +122,7 @@ def positions(t: Tables, keep_ts: bool = False) -> DataFrame:
             (F.col("event_id") % 3).cast("int").alias("source_no"),
             F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string")).alias("source"),
             F.col("event_type").alias("category"),
-            F.round(F.col("value") / 10, 2).alias("sog"),
+            (F.col("value") / 10).alias("sog"),
             "event_id", "user_id", *([F.col("ts").cast("timestamp").alias("ts")] if keep_ts else []),
         )
     )
@@ -169,7 +169,7 @@ CTE = {
         make_timestamp((sec + 1704067200) * 1000000) as observed,
         24.0::double + least((sec + user_id * 420) % 7200, 7200 - (sec + user_id * 420) % 7200)::double / 3600.0::double * 0.4::double as lat,
         54.0::double + (user_id % 4)::double * 0.5::double as lon, (event_id % 3)::int as source_no,
-        'src' || (event_id % 3) as source, event_type as category, round(value / 10, 2) as sog, event_id, user_id
+        'src' || (event_id % 3) as source, event_type as category, value / 10 as sog, event_id, user_id
         from (select *, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::bigint as sec from events))""",
 }
 CTE["reports"] = CTE["positions"].replace("positions as (", "reports as (").replace(

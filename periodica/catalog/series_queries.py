@@ -223,10 +223,10 @@ def news(t):
 
 
 @query("n13_news_impacts", ctes("orders_day", "customer_month", "priority_month") + _NEWS + f"""
-select release_id, variable, ts, {q6('impact', 4)} as impact, {q6('gain_size')} as gain_size, {q6('abs(impact) / (select sum(abs(impact)) from i) * 100')} as share_pct, impact > 0 as is_positive from i""")
+select release_id, variable, ts, {qf('impact')} as impact, {q6('gain_size')} as gain_size, {q6('abs(impact) / (select sum(abs(impact)) from i) * 100')} as share_pct, impact > 0 as is_positive from i""")
 def _(t):
     out = fa.impact_shares(news(t))
-    return out.select("release_id", "variable", "ts", r6("impact", 4).alias("impact"), r6("gain_size").alias("gain_size"), r6("share_pct").alias("share_pct"), "is_positive")
+    return out.select("release_id", "variable", "ts", f32("impact").alias("impact"), r6("gain_size").alias("gain_size"), r6("share_pct").alias("share_pct"), "is_positive")
 
 
 @query("n14_normalised_impacts", ctes("orders_day", "customer_month", "priority_month") + _NEWS + f"""
