@@ -104,7 +104,7 @@ def sales(t: Tables) -> DataFrame:
     )
 
 
-def positions(t: Tables, keep_ts: bool = False) -> DataFrame:
+def positions(t: Tables, keep_ts: bool = False, events: DataFrame | None = None) -> DataFrame:
     """Vessel reports: event time replayed at sixty times speed on coherent tracks."""
     origin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     sec = F.floor(
@@ -112,7 +112,7 @@ def positions(t: Tables, keep_ts: bool = False) -> DataFrame:
     ).cast("long")
     phase = (F.col("sec") + F.col("user_id") * 420) % 7200
     return (
-        t.events.withColumn("sec", sec)
+        (t.events if events is None else events).withColumn("sec", sec)
         .withColumn("tri", F.least(phase, 7200 - phase).cast("double"))
         .select(
             (F.col("user_id") + 100000000).cast("string").alias("mmsi"),
@@ -128,9 +128,14 @@ def positions(t: Tables, keep_ts: bool = False) -> DataFrame:
     )
 
 
-def reports(t: Tables) -> DataFrame:
+def reports(t: Tables, events: DataFrame | None = None) -> DataFrame:
     """The same reports at their real event time."""
-    return positions(t, keep_ts=True).drop("observed").withColumnRenamed("ts", "observed")
+    return positions(t, keep_ts=True, events=events).drop("observed").withColumnRenamed("ts", "observed")
+
+
+def event_stream(t: Tables) -> DataFrame:
+    """The event table as a stream of files; the glob matches one file or a folder of parts."""
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]")
 
 
 # SQL twins; each value is one CTE.
