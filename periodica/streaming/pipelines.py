@@ -9,13 +9,13 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from periodica.operators.latest import latest_by
 from periodica.session import shared_dir
-from periodica.streaming.processors import ENTRY_SCHEMA, LATEST_SCHEMA, EntryDetector, LatestVessel
+from periodica.streaming.processors import ENTRY_SCHEMA, LATEST_SCHEMA, STATE_SCHEMA, EntryDetector, latest_vessel
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state with timers and expiry needs the disk-backed store."""
+    """State of many vessels belongs in the disk-backed store, not on the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -49,14 +49,14 @@ def append_new(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def entries(stream: DataFrame, areas: dict, delay: str = "30 minutes") -> DataFrame:
     """Area entries of a position stream."""
-    return stream.withWatermark("observed", delay).groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=EntryDetector(areas), outputStructType=ENTRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return stream.withWatermark("observed", delay).groupBy("mmsi").applyInPandasWithState(
+        EntryDetector(areas).__call__, ENTRY_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
 
 
-def latest_vessels(stream: DataFrame) -> DataFrame:
+def latest_vessels(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Latest enriched state of each vessel that reported in the trigger."""
-    return stream.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=LatestVessel(), outputStructType=LATEST_SCHEMA, outputMode="Update", timeMode="ProcessingTime")
+    return stream.withWatermark("observed", delay).groupBy("mmsi").applyInPandasWithState(
+        latest_vessel, LATEST_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
 
 
 def daily_counts(stream: DataFrame, stamp: str, area: Column, delay: str = "1 hour") -> DataFrame:

@@ -7,9 +7,10 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 ENTRY_SCHEMA = "mmsi string, area string, entered timestamp, before timestamp, confirmed timestamp, source string"
+STATE_SCHEMA = "body string"
 LATEST_SCHEMA = "mmsi string, observed timestamp, received timestamp, lat double, lon double, sog double, static string"
 
 
@@ -53,88 +54,77 @@ def advance(memory: dict, point: tuple, areas: dict) -> tuple[dict, list[tuple]]
     return {"last": [stamp, lat, lon], "sides": sides, "waiting": waiting}, events
 
 
-class EntryDetector(StatefulProcessor):
-    """Entries per vessel; reports wait until the watermark passes them, so order does not matter."""
+class EntryDetector:
+    """Entries per vessel; reports wait until the watermark passes them, so order does not matter.
+
+    Used with ``applyInPandasWithState``: the state of a vessel is one small
+    text that travels with its group, without a round trip per lookup.
+    """
 
     def __init__(self, areas: dict):
         self._areas = areas
 
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._memory = handle.getValueState("memory", "body string")
-        self._waiting = handle.getMapState("waiting", "stamp long", "body string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        for pdf in rows:
-            for stamp, lat, lon, source in zip(pdf["observed"], pdf["lat"], pdf["lon"], pdf["source"]):
-                micros = stamp.value // 1000
-                if micros // 1000 < mark or pd.isna(lat) or pd.isna(lon):
-                    continue
-                held = self._waiting.getValue((micros,)) if self._waiting.containsKey((micros,)) else None
-                others = json.loads(held[0]) if held else []
-                self._waiting.updateValue((micros,), (json.dumps(sorted(others + [[source, lat, lon]])),))
-                self._handle.registerTimer(micros // 1000 + 1)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        memory = json.loads(self._memory.get()[0]) if self._memory.exists() else {}
-        ready = sorted(k[0] for k in self._waiting.keys() if k[0] < due)
-        out = []
-        for micros in ready:
-            variants = json.loads(self._waiting.getValue((micros,))[0])
-            self._waiting.removeKey((micros,))
+    def __call__(self, key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"memory": {}, "waiting": {}}
+        mark = state.getCurrentWatermarkMs()
+        waiting = {int(k): v for k, v in held["waiting"].items()}
+        if not state.hasTimedOut:
+            for pdf in batches:
+                pdf = pdf.dropna(subset=["lat", "lon"])
+                for stamp, lat, lon, source in zip(pdf["observed"], pdf["lat"], pdf["lon"], pdf["source"]):
+                    micros = stamp.value // 1000
+                    if micros // 1000 >= mark:
+                        waiting.setdefault(micros, []).append([source, lat, lon])
+        memory, out = held["memory"], []
+        for micros in sorted(m for m in waiting if m // 1000 < mark):
+            variants = sorted(waiting.pop(micros))
             source, lat, lon = variants[0]
             if any(_nm((lat, lon), (b, c)) > 0.1 for _s, b, c in variants):
                 continue
             memory, events = advance(memory, (micros, lat, lon, source), self._areas)
             out += [(key[0], area, entered, before, confirmed, src) for area, entered, before, confirmed, src in events]
-        self._memory.update((json.dumps(memory),))
+        state.update((json.dumps({"memory": memory, "waiting": waiting}),))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting) // 1000, mark) + 1)
         if out:
             pdf = pd.DataFrame(out, columns=["mmsi", "area", "entered", "before", "confirmed", "source"])
             for c in ("entered", "before", "confirmed"):
                 pdf[c] = pd.to_datetime(pdf[c], unit="us")
             yield pdf
 
-    def close(self) -> None:
-        pass
-
-
-class LatestVessel(StatefulProcessor):
-    """Newest position of a vessel with its non-null static fields; forgotten after two quiet hours."""
-
-    RETENTION_MS = 2 * 3600 * 1000  # fixed value
-
-    def init(self, handle) -> None:
-        self._position = handle.getValueState("position", "stamp long, received long, lat double, lon double, sog double", self.RETENTION_MS)
-        self._static = handle.getValueState("static", "body string", self.RETENTION_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self._position.get()) if self._position.exists() else None
-        static = json.loads(self._static.get()[0]) if self._static.exists() else {}
-        for pdf in rows:
-            pos = pdf[pdf["kind"] == "position"]
-            if len(pos):
-                stamp = pos["observed"].fillna(pos["received"])
-                top = pos.assign(_s=stamp).sort_values(["_s", "received"]).iloc[-1]
-                cand = (int(top["_s"].value // 1000), int(top["received"].value // 1000), float(top["lat"]), float(top["lon"]), None if pd.isna(top["sog"]) else float(top["sog"]))
-                if best is None or cand[:2] >= tuple(best[:2]):
-                    best = cand
-            for field in ("name", "call_sign", "destination", "category"):
-                known = pdf[(pdf["kind"] == "static") & pdf[field].notna()]
-                if len(known):
-                    row = known.sort_values(["observed", "received", field]).iloc[-1]
-                    at = int(row["observed"].value // 1000)
-                    if field not in static or at >= static[field][0]:
-                        static[field] = [at, row[field]]
-        if best is not None:
-            self._position.update(best)
-        if static:
-            self._static.update((json.dumps(static, sort_keys=True),))
-        if best is not None:
-            fields = json.dumps({k: v[1] for k, v in sorted(static.items())}, ensure_ascii=False)
-            yield pd.DataFrame({"mmsi": [key[0]], "observed": [pd.to_datetime(best[0], unit="us")], "received": [pd.to_datetime(best[1], unit="us")], "lat": [best[2]], "lon": [best[3]], "sog": [best[4]], "static": [fields]})
-
-    def close(self) -> None:
-        pass
+
+STATIC_FIELDS = ("name", "call_sign", "destination", "category")
+RETENTION_MS = 2 * 3600 * 1000  # fixed value
+
+
+def latest_vessel(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Newest position of a vessel with its non-null static fields; forgotten after two quiet hours of event time.
+
+    Each Arrow batch is reduced to its newest rows, so memory does not grow
+    with the number of reports.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    held = json.loads(state.get[0]) if state.exists else {"position": None, "static": {}}
+    best, static = held["position"], held["static"]
+    for pdf in batches:
+        pos = pdf[pdf["kind"] == "position"]
+        if len(pos):
+            top = pos.assign(_s=pos["observed"].fillna(pos["received"])).sort_values(["_s", "received"]).iloc[-1]
+            cand = [int(top["_s"].value // 1000), int(top["received"].value // 1000), float(top["lat"]), float(top["lon"]), None if pd.isna(top["sog"]) else float(top["sog"])]
+            if best is None or cand[:2] >= best[:2]:
+                best = cand
+        for field in STATIC_FIELDS:
+            known = pdf[(pdf["kind"] == "static") & pdf[field].notna()]
+            if len(known):
+                row = known.sort_values(["observed", "received", field]).iloc[-1]
+                at = int(row["observed"].value // 1000)
+                if field not in static or at >= static[field][0]:
+                    static[field] = [at, row[field]]
+    state.update((json.dumps({"position": best, "static": static}),))
+    newest = max([best[0] if best else 0, *[v[0] for v in static.values()]]) // 1000
+    state.setTimeoutTimestamp(max(newest + RETENTION_MS, state.getCurrentWatermarkMs()) + 1)
+    if best is not None:
+        fields = json.dumps({k: v[1] for k, v in sorted(static.items())}, ensure_ascii=False)
+        yield pd.DataFrame({"mmsi": [key[0]], "observed": [pd.to_datetime(best[0], unit="us")], "received": [pd.to_datetime(best[1], unit="us")], "lat": [best[2]], "lon": [best[3]], "sog": [best[4]], "static": [fields]})
