@@ -153,14 +153,16 @@ def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str, method: st
     if method not in ("ffill", "bfill", "linear"):
         raise ValueError(f"unknown fill {method!r}")
     w = over(keys, order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # A growing frame over the reversed order looks ahead in linear time.
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = over(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     pos = F.when(F.col(value).isNotNull(), F.col("_i"))
     out = df.withColumn("_i", F.row_number().over(w))
     out = (
         out.withColumn("_pv", F.last(value, ignorenulls=True).over(before))
-        .withColumn("_nv", F.first(value, ignorenulls=True).over(after))
+        .withColumn("_nv", F.last(value, ignorenulls=True).over(after))
         .withColumn("_pi", F.last(pos, ignorenulls=True).over(before))
-        .withColumn("_ni", F.first(pos, ignorenulls=True).over(after))
+        .withColumn("_ni", F.last(pos, ignorenulls=True).over(after))
     )
     inner = F.col("_pi").isNotNull() & F.col("_ni").isNotNull()
     if method == "ffill":

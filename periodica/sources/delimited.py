@@ -159,11 +159,11 @@ def read_contract_csv(spark: SparkSession, path: str, required: list[str], numbe
 
 
 def read_shards(spark: SparkSession, paths: list[str] | str, columns: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
-    """Good rows of (gzipped) CSV shards and a one-row frame with read and bad counts."""
+    """Good rows of (gzipped) CSV shards and a one-row frame with read, bad and filled counts."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
     raw = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(paths)
     filled = reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")) != "" for c in columns])
-    counts = raw.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("_bad").isNotNull()).alias("bad_rows"))
+    counts = raw.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("_bad").isNotNull()).alias("bad_rows"), F.count_if(filled).alias("filled_rows"))
     return raw.where(F.col("_bad").isNull() & filled).drop("_bad"), counts
 
 

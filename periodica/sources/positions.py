@@ -42,19 +42,20 @@ def valid_id(mmsi: Column) -> Column:
     return F.coalesce(mmsi.between(ID_LOW, ID_HIGH), F.lit(False))
 
 
-def _message_fields(content: str) -> dict[str, Column]:
-    g = lambda path: F.get_json_object(content, path)
-    kind = g("$.MessageType")
-    meta = F.from_json(g("$.MetaData"), "map<string,string>")
-    body = F.from_json(g("$.Message"), "map<string,string>")
-    payload = F.from_json(F.try_element_at(body, kind), "map<string,string>")
-    return {"kind": kind, "meta": meta, "payload": payload}
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-element generator, so that later filters and
+    projections read them instead of repeating the parse."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def open_messages(df: DataFrame, content: str) -> DataFrame:
-    """Message type, metadata and payload maps beside the original columns."""
-    f = _message_fields(content)
-    return df.withColumns({"_kind": f["kind"], "_meta": f["meta"], "_payload": f["payload"]})
+    """Message type, metadata, payload and report parts beside the original columns."""
+    body = once(df, _doc=F.from_json(content, "MessageType string, MetaData map<string,string>, Message map<string,string>"))
+    kind = F.col("_doc.MessageType")
+    opened = once(body, _payload=F.from_json(F.try_element_at("_doc.Message", kind), "map<string,string>"))
+    part = lambda name: F.from_json(F.try_element_at("_payload", F.lit(name)), "map<string,string>")
+    usable_part = lambda m: F.get(F.filter(F.array(m), lambda x: F.coalesce(F.try_element_at(x, F.lit("Valid")), F.lit("true")) != "false"), 0)
+    return once(opened, _kind=kind, _meta=F.col("_doc.MetaData"), _a=usable_part(part("ReportA")), _b=usable_part(part("ReportB"))).drop("_doc")
 
 
 def message_rules() -> list[tuple[Column, str]]:
@@ -76,13 +77,12 @@ def normalise_messages(df: DataFrame, content: str, received: str) -> tuple[Data
 
     Works the same on a batch and on a stream: column expressions only.
     """
-    good, bad = quarantine(open_messages(df, content), message_rules())
+    opened = open_messages(df, content)
+    good, bad = quarantine(opened, message_rules())
     m = lambda *ks: F.coalesce(*[F.try_element_at(F.col("_meta"), F.lit(k)) for k in ks])
     p = lambda *ks: F.coalesce(*[F.try_element_at(F.col("_payload"), F.lit(k)) for k in ks])
     position = F.col("_kind").isin(*POSITION_TYPES)
-    part = lambda name: F.from_json(p(name), "map<string,string>")
-    b = lambda k: F.when(F.coalesce(F.try_element_at(part("ReportB"), F.lit("Valid")), F.lit("true")) != "false", F.try_element_at(part("ReportB"), F.lit(k)))
-    a = lambda k: F.when(F.coalesce(F.try_element_at(part("ReportA"), F.lit("Valid")), F.lit("true")) != "false", F.try_element_at(part("ReportA"), F.lit(k)))
+    a, b = (lambda k: F.try_element_at(F.col("_a"), F.lit(k))), (lambda k: F.try_element_at(F.col("_b"), F.lit(k)))
     lat, lon = F.coalesce(m("Latitude"), p("Latitude")).try_cast("double"), F.coalesce(m("Longitude"), p("Longitude")).try_cast("double")
     heading, cog = usable(p("TrueHeading"), 360.0), usable(p("Cog"), 360.0)
     code = F.when(position, p("Type", "ShipType")).otherwise(F.coalesce(p("Type", "ShipType"), b("ShipType"))).try_cast("int")
@@ -97,7 +97,7 @@ def normalise_messages(df: DataFrame, content: str, received: str) -> tuple[Data
         code.alias("ship_type"), F.when(code.isNotNull(), ship_class(code)).alias("category"), static(clean_text(F.coalesce(p("CallSign"), b("CallSign")))).alias("call_sign"),
         static(p("ImoNumber", "IMO").try_cast("long")).alias("imo"), static(clean_text(p("DestinationName", "Destination"))).alias("destination"),
         static(p("MaximumStaticDraught", "Draught").try_cast("double")).alias("draught"))
-    return out, bad.drop("_kind", "_meta", "_payload")
+    return out, bad.drop("_kind", "_meta", "_payload", "_a", "_b")
 
 
 # aliases of the archived report columns, first present wins
