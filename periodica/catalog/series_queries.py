@@ -20,9 +20,7 @@ SERIES = lambda df: df.select(F.col("indicator").alias("series"), F.col("period"
 
 def flag_pairs(t):
     s = SERIES(c.flag_day(t))
-    names = s.select("series").distinct()
-    p = names.withColumnRenamed("series", "target").join(names.withColumnRenamed("series", "candidate"), F.col("target") < F.col("candidate"))
-    return s, p
+    return s, spairs.all_pairs(s)
 
 
 _FLAG_PAIRS = """
@@ -329,3 +327,25 @@ def _(t):
     frame = fc.origins(s, 60, 3)
     out = fc.adapter_backtest(frame, s, lambda h, steps: [float(h["value"].tail(12).mean())] * steps, "mean_12")
     return out.select("series", "origin", "horizon", "actual", f32("predicted").alias("predicted"), "model")
+
+
+@query("x02_series_callback", ctes("flag_month") + f"""
+select indicator as series, count(*) as n, {qf('max(value) - min(value)')} as span from flag_month group by 1""")
+def _(t):
+    from periodica.plans.hooks import apply_per_series
+
+    def span(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"n": [len(pdf)], "span": [pdf["value"].max() - pdf["value"].min()]})
+
+    return apply_per_series(SERIES(c.flag_month(t)), span, "n long, span double").withColumn("span", f32("span"))
+
+
+@query("x04_step_generators", ctes("priority_month") + """
+select indicator, max(period) as origin, h::int as horizon, last_day((date_trunc('month', max(period)) + to_months(h::int))::date) as period from priority_month, generate_series(1, 12) g(h) group by 1, 3""")
+def _(t):
+    from periodica.plans.hooks import steps_ahead
+
+    last = c.priority_month(t).groupBy("indicator").agg(F.max("period").alias("origin"))
+    return last.select("indicator", "origin", steps_ahead(12).alias("horizon")).withColumn("period", F.last_day(F.add_months("origin", F.col("horizon"))))

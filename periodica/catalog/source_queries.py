@@ -206,8 +206,8 @@ def _(t):
 @query("s14_track_points", ctes("reports") + f"""
 select mmsi, observed, {q6('lat')} as lat, lon from reports where observed::date = date '2024-01-07'""")
 def _(t):
-    # A track document covers one vessel and hour, the unit a track service answers with.
-    r = c.reports(t).withColumn("h", F.date_trunc("hour", "observed"))
+    # A track document holds one vessel's points of one block of 1000 event numbers, so it stays small.
+    r = c.reports(t).withColumn("h", F.floor(F.col("event_id") / 1000))
     d = r.groupBy("mmsi", "h").agg(F.array_sort(F.collect_list(F.struct("observed", "lon", "lat", "event_id"))).alias("p"))
     j = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda x: F.array(x["lon"], x["lat"])).alias("coordinates")).alias("geometry"),
                            F.struct("mmsi", F.transform("p", lambda x: F.date_format(x["observed"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("times")).alias("properties")))

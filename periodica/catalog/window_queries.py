@@ -177,13 +177,10 @@ select a.indicator as target, b.indicator as candidate, lag, count(*) as pairs,
 from i a cross join l join i b on a.indicator < b.indicator and b.i = a.i - lag
 where abs(lag) < least(a.n, b.n) group by 1, 2, 3""")
 def _(t):
-    from periodica.plans.series_pairs import lagged_pairs
+    from periodica.plans.series_pairs import all_pairs, lagged_pairs
 
     m = c.priority_month(t).select(F.col("indicator").alias("series"), F.col("period").alias("ts"), "value")
-    names = m.select("series").distinct()
-    pairs = names.withColumnRenamed("series", "target").join(
-        names.withColumnRenamed("series", "candidate"), F.col("target") < F.col("candidate"))
-    both = lagged_pairs(m, pairs, 6)
+    both = lagged_pairs(m, all_pairs(m), 6)
     return both.groupBy("target", "candidate", "lag").agg(
         F.count(F.lit(1)).alias("pairs"), r6(F.corr("x", "y")).alias("correlation"))
 

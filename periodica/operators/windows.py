@@ -153,23 +153,24 @@ def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str, method: st
     if method not in ("ffill", "bfill", "linear"):
         raise ValueError(f"unknown fill {method!r}")
     w = over(keys, order)
-    # A growing frame over the reversed order looks ahead in linear time.
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = over(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
     pos = F.when(F.col(value).isNotNull(), F.col("_i"))
     out = df.withColumn("_i", F.row_number().over(w))
-    out = (
-        out.withColumn("_pv", F.last(value, ignorenulls=True).over(before))
-        .withColumn("_nv", F.last(value, ignorenulls=True).over(after))
-        .withColumn("_pi", F.last(pos, ignorenulls=True).over(before))
-        .withColumn("_ni", F.last(pos, ignorenulls=True).over(after))
-    )
-    inner = F.col("_pi").isNotNull() & F.col("_ni").isNotNull()
+    out = out.withColumn("_a", F.min(pos).over(whole)).withColumn("_b", F.max(pos).over(whole))
+    inner = F.col("_i").between(F.col("_a"), F.col("_b"))
+    known = F.struct(F.col(value).alias("v"), F.col("_i").alias("i"))
+    seen = F.when(F.col(value).isNotNull(), known)
+    if method in ("ffill", "linear"):
+        out = out.withColumn("_p", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if method in ("bfill", "linear"):
+        # A growing frame over the reversed order looks ahead in linear time.
+        back = over(keys, F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("_q", F.last(seen, ignorenulls=True).over(back))
     if method == "ffill":
-        filled = F.col("_pv")
+        filled = F.col("_p.v")
     elif method == "bfill":
-        filled = F.col("_nv")
+        filled = F.col("_q.v")
     else:
-        share = (F.col("_i") - F.col("_pi")) / F.when(F.col("_ni") != F.col("_pi"), F.col("_ni") - F.col("_pi"))
-        filled = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * share
-    return out.withColumn(name, F.coalesce(F.col(value), F.when(inner, filled))).drop("_i", "_pv", "_nv", "_pi", "_ni")
+        gap = F.col("_q.i") - F.col("_p.i")
+        filled = F.col("_p.v") + (F.col("_q.v") - F.col("_p.v")) * ((F.col("_i") - F.col("_p.i")) / F.when(gap != 0, gap))
+    return out.withColumn(name, F.coalesce(F.col(value), F.when(inner, filled))).drop("_i", "_a", "_b", "_p", "_q")
