@@ -360,14 +360,12 @@ select level, label, total::double as total, {qf('mean')} as mean, n, positive::
   {q6('abs(total::double) / (select sum(abs(impact)) from v)::double * 100')} as share_pct,
   row_number() over (partition by level order by abs(total) desc, label) as position from r""")
 def _(t):
-    from pyspark.sql import Window
-
     v = impacts(t).withColumn("impact_d", F.col("impact").cast("double"))
     out = None
     for level in ("industry", "variable"):
         r = ag.impact_rollup(v, level, "impact").select(F.lit(level).alias("level"), F.col(level).alias("label"), "total", F.col("n"),
             "positive", "negative", "share_pct", (F.col("total").cast("double") / F.col("n")).alias("mean"))
-        r = r.withColumn("position", F.row_number().over(Window.partitionBy("level").orderBy(F.abs("total").desc(), "label")).cast("long"))
+        r = ag.rank_by_size(r, ["level"], "total", "label", "position")
         out = r if out is None else out.unionByName(r)
     d = lambda x: F.col(x).cast("double").alias(x)
     return out.select("level", "label", d("total"), f32("mean").alias("mean"), "n", d("positive"), d("negative"), r6("share_pct").alias("share_pct"), "position")

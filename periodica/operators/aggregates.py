@@ -10,6 +10,7 @@ from periodica.functions import calendar as cal
 from periodica.functions.measures import (
     complete_sum, finite, min_max_index, ratio, valid_total, weighted_pressure,
 )
+from periodica.operators import chunked
 from periodica.operators.spine import complete_months
 
 
@@ -337,6 +338,18 @@ def impact_rollup(df: DataFrame, by: str, impact: str) -> DataFrame:
     return out.withColumn("share_pct", F.when(whole > 0, F.abs(F.col("total").cast("double")) / whole.cast("double") * 100).otherwise(0.0))
 
 
+def rank_by_size(df: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
+    """Position by falling absolute value, whole keys never sorted in one task.
+
+    Sizes fall into fine logarithmic bands; rows are ordered inside a band and
+    the few bands are ordered along the key.
+    """
+    size = F.abs(F.col(value).cast("double"))
+    band = F.when(size > 0, -F.floor(F.log2(size) * 16)).otherwise(F.lit(1000000))
+    banded = df.withColumn("_band", band.cast("long")).withColumn("_size", F.coalesce(-size, F.lit(0.0)))
+    return chunked.row_number(banded, keys, "_band", ["_size", tie], name).drop("_band", "_size")
+
+
 def movement_counts(df: DataFrame, keys: list[str], group: str, period: str, value: str) -> DataFrame:
     """Members of each group that rose or fell between the last two periods."""
     top = df.select(period).distinct().orderBy(F.col(period).desc()).limit(2)

@@ -6,9 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions.measures import growth_pct, zscore
-from periodica.operators import aggregates as ag
 from periodica.operators import windows as win
-from periodica.operators.spine import calendar_growth, calendar_lag, on_spine, period_number
+from periodica.operators.spine import calendar_growth, calendar_lag, complete_months, on_spine, period_number
 
 
 def chained_yoy(df: DataFrame, keys: list[str], period: str, official: str, monthly_change: str, index: str, base: str) -> DataFrame:
@@ -25,7 +24,8 @@ def chained_yoy(df: DataFrame, keys: list[str], period: str, official: str, mont
 
 def revenue_estimate(prices: DataFrame, output: DataFrame, day: str, price: str, period: str, volume: str, scale: float = 1e8) -> DataFrame:
     """Monthly price times volume times days, with year-on-year and year-to-date figures."""
-    p = ag.monthly_mean(prices.withColumn("_k", F.lit(1)), ["_k"], day, price).select("period", F.col("value").alias("price"))
+    known = complete_months(prices.where(F.col(price).isNotNull()), day)
+    p = known.groupBy(F.last_day(day).alias("period")).agg(F.avg(price).alias("price"))
     v = output.where(F.col(volume).isNotNull()).groupBy(F.last_day(period).alias("period")).agg(F.avg(volume).alias("volume"))
     rows = on_spine(v.withColumn("_k", F.lit(1)), ["_k"], "period", "month").join(p, "period", "left")
     days = F.dayofmonth("period")
