@@ -110,8 +110,9 @@ def _(t):
     return ag.status_counters(v)
 
 
-@query("a08_monthly_two_sources", ctes("lines_day", "orders_day", "line_bounds", "order_bounds") + """
-, c as (select least((select cutoff from line_bounds), (select cutoff from order_bounds)) as cutoff),
+@query("a08_monthly_two_sources", ctes("lines_day", "orders_day", "line_bounds") + """
+, ub as (select max(day) as d from orders_day where indicator = '1-URGENT'),
+c as (select least((select cutoff from line_bounds), (select case when d = last_day(d) then d else last_day((d - interval 1 month)::date) end from ub)) as cutoff),
 l as (select last_day(day) as period, sum(qty)::double as qty, sum(price)::double as price from lines_day where day <= (select cutoff from c) group by 1),
 o as (select last_day(day) as period, sum(amount)::double as amount from orders_day where day <= (select cutoff from c) and indicator = '1-URGENT' group by 1)
 select l.period, qty, price, amount from l left join o using (period)""")
