@@ -51,9 +51,10 @@ def _(t):
 
 
 @query("t09_align_to_common", ctes("flag_day", "flag_month") + f"""
-select indicator || '/d' as variable, last_day(period) as bucket, {qf('avg(value)')} as value from flag_day group by 1, 2 union all select indicator || '/m', period, {qf('value')} from flag_month""")
+, d as (select period, sum(qty) as value from flag_day group by 1)
+select 'all/d' as variable, last_day(period) as bucket, {qf('avg(value)')} as value from d group by 2 union all select indicator || '/m', period, {qf('value')} from flag_month""")
 def _(t):
-    d = c.flag_day(t).select(F.concat("indicator", F.lit("/d")).alias("variable"), "period", "value")
+    d = c.lines_day(t).groupBy(F.lit("all/d").alias("variable"), F.col("day").alias("period")).agg(F.sum("qty").cast("double").alias("value"))
     m = c.flag_month(t).select(F.concat("indicator", F.lit("/m")).alias("variable"), "period", "value")
     out, _report = al.align_to_common(d.unionByName(m), "variable", "period", "value")
     return out.withColumn("value", f32("value"))

@@ -120,12 +120,12 @@ f as (select o.*, n.value as baseline, s.value as seasonal_naive, o.reference +
 
 
 @query("n08_naive_baselines", ctes("flag_month") + _BT + f"""
-select series, origin::int as origin, horizon, ts, actual, baseline, seasonal_naive, {q6('drift', 3)} as drift from f""")
+select series, origin::int as origin, horizon, ts, actual, baseline, seasonal_naive, {qf('drift')} as drift from f""")
 def _(t):
     s = SERIES(c.flag_month(t))
     f = fc.origins(s, 36, 6)
     f = fc.drift(fc.naive(fc.naive(f, s, 1, "baseline"), s, 12, "seasonal_naive"), s, "drift")
-    return f.select("series", "origin", "horizon", "ts", "actual", "baseline", "seasonal_naive", r6("drift", 3).alias("drift"))
+    return f.select("series", "origin", "horizon", "ts", "actual", "baseline", "seasonal_naive", f32("drift").alias("drift"))
 
 
 @query("n09_rolling_backtest", ctes("flag_month") + _BT + f"""
