@@ -265,7 +265,6 @@ left join tot t on t.period = b.period where month(a.period) > 2""")
 def _(t):
     m = c.customer_month(t).withColumn("value", F.col("value").cast("decimal(18,2)"))
     out = ind.profit_contributions(m, "indicator", "period", "value")
-    tot = m.groupBy("period").agg(F.sum("value").cast("double").alias("_t"))
     return out.select("indicator", "period", r6("contribution").alias("contribution"))
 
 
@@ -326,7 +325,6 @@ def _(t):
     return out
 
 
-_WK, _MN = "day between date '1999-03-01' and date '1999-03-03'", "day between date '1999-03-01' and date '1999-03-03'"
 
 
 @query("t27_to_date_activity", ctes("lines_day") + _NODE + f"""

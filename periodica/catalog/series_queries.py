@@ -349,3 +349,16 @@ def _(t):
 
     last = c.priority_month(t).groupBy("indicator").agg(F.max("period").alias("origin"))
     return last.select("indicator", "origin", steps_ahead(12).alias("horizon")).withColumn("period", F.last_day(F.add_months("origin", F.col("horizon"))))
+
+
+@query("x01_column_surface", ctes("flag_day", "line_bounds") + f"""
+, m as (select indicator, last_day(period) as period, case when count(*) = day(last_day(min(period))) and count(qty) = count(*) then sum(qty) end as total from flag_day where period <= (select cutoff from line_bounds) group by 1, 2)
+select a.indicator, a.period, a.total, b.total as prior from m a left join m b on b.indicator = a.indicator and year(b.period) * 12 + month(b.period) = year(a.period) * 12 + month(a.period) - 12""")
+def _(t):
+    from periodica.functions.measures import complete_sum
+    from periodica.operators.spine import calendar_lag, complete_months
+
+    days = complete_months(c.flag_day(t), "period")
+    n = F.dayofmonth(F.last_day(F.min("period")))
+    m = days.groupBy("indicator", F.last_day("period").alias("period")).agg(complete_sum("qty", n).alias("total"))
+    return m.select("indicator", "period", "total", calendar_lag(["indicator"], "period", "total", 12).alias("prior"))
