@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from periodica.llm import decontamination, toxicity
+from periodica.llm import byte_bpe, decontamination, ngram_join, secret_scan, toxicity
 from periodica.session import shared_dir
 
 
@@ -19,14 +20,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of linked documents."""
+    return ngram_join.keep_one(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     return decontamination.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the spans of secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of the ids and of the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path), keep_ids=True)
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
-    ("decontamination", decontamination_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_scan_stage),
+    ("byte-level BPE", byte_bpe_stage),
 ]
 
 #: Tokenisation and learned scores can't be said in SQL; tests hold the rows against brute force.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import decontamination, toxicity
+from periodica.llm import byte_bpe, decontamination, fingerprints, ngram_join, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,34 @@ ALNUM = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 BLANK = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 
 
+@query
+def op2_byte_bpe(spark, folder):
+    """Token ids of every document by shuffled distinct words, and the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(encoded, path))
+
+
+@query
+def op3_ngram_join(spark, folder):
+    """Groups of documents whose five-word shingle sets are 75 % alike."""
+    return ngram_join.components(table(spark, folder, "documents"))
+
+
+SQL["op3_ngram_join"] = f"""
+with recursive d as (select doc_id, {BLANK} as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i + 1 : i + least(5, len(w))], ' ') as g
+  from d, unnest(range(0, len(w) - least(5, len(w)) + 1)) as t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s as a join s as b using (g) where a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join n as x on x.doc_id = a join n as y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select doc_id as node, doc_id as root from n union select b, root from reach join links on a = node)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(min(root), d.doc_id)::bigint as component_id
+from d left join n using (doc_id) left join reach on node = d.doc_id group by d.doc_id, n
+"""
+
+
 @query
 def op6_toxicity(spark, folder):
     """Toxicity score of every document, learned from labelled rows outside the held-out quarter."""
@@ -35,6 +64,18 @@ def op6_toxicity(spark, folder):
     return scored.select("doc_id", (~toxicity.training_id(F.col("doc_id"))).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_secret_scan(spark, folder):
+    """Secrets in every document, by pattern and by windows of high entropy."""
+    return secret_scan.digest(secret_scan.scan(table(spark, folder, "documents")))
+
+
+@query
+def op8_fingerprints(spark, folder):
+    """Bottom-k fingerprints of every document and of its edited text."""
+    return fingerprints.edited_pairs(table(spark, folder, "documents"))
+
+
 @query
 def op10_decontamination(spark, folder):
     """Words of every document that lie in windows of benchmark items."""

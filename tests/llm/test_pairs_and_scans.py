@@ -1,0 +1,227 @@
+"""The join, the scans and the sketches against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from periodica.llm import decontamination, fingerprints, ngram_join, secret_scan, toxicity
+from periodica.llm.common import linked_groups
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                root[find(x)] = find(y)
+    named = {}
+    for x, (i, _) in enumerate(sets):
+        if i is not None:
+            named[find(x)] = min(i, named.get(find(x), i))
+    return Counter((i, len(s), named.get(find(x), None)) for x, (i, s) in enumerate(sets))
+
+
+def test_join_on_edge_cases(edge_docs, edge_rows):
+    got = Counter(tuple(r) for r in ngram_join.components(edge_docs).collect())
+    assert got == brute_groups(edge_rows)
+
+
+def test_join_on_near_copies(spark):
+    base = [f"t{i}" for i in range(120)]
+    rows = [(k, " ".join(base[:j] + [f"x{k}"] + base[j + 1 :])) for k, j in enumerate(range(0, 120, 2))]
+    rows += [(100 + k, " ".join([f"u{k}_{i}" for i in range(60)] + base[:60])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in ngram_join.components(docs).collect())
+    assert got == brute_groups(rows)
+
+
+def test_join_in_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    base = [f"t{i}" for i in range(40)]
+    rows = [(k, " ".join(base[: 40 - k % 17] + [f"v{k}_{i}" for i in range(k % 17)])) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in ngram_join.components(docs).collect()) == brute_groups(rows)
+
+
+def test_join_empty_and_keep_one(no_docs, edge_docs):
+    assert ngram_join.components(no_docs).count() == 0
+    kept = ngram_join.keep_one(edge_docs)
+    assert kept.columns == edge_docs.columns
+    assert {r[0] for r in kept.select("doc_id").collect()} == {0, 2, 3, 4, 5, 7, 8, 9, 10, 11, 14, 16, 17, None}
+
+
+def test_linked_groups_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, None)], "a long, b long")
+    got = {r["node"]: r["root"] for r in linked_groups(links).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_windows(text, items):
+    w = WORD.findall(lower(text))
+    hit, found = set(), set()
+    for item, body in items:
+        b = WORD.findall(lower(body))
+        k = min(10, len(b))
+        wins = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)} if k else set()
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in wins:
+                found.add(str(item) if item is not None else "")
+                hit.update(range(i, i + k))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [1 << 24, 60])
+def test_decontamination(spark, edge_docs, edge_rows, block):
+    items = [(1, "one two"), (2, " ".join(f"w{i}" for i in range(30, 45))), (3, None), (4, ""), (10, "A, b; c"), (10, "A, b; c"), (None, "CAFÉ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontamination.scan(edge_docs, bench, block_bytes=block).collect())
+    want = Counter()
+    for i, t in edge_rows:
+        n, h, f = brute_windows(t, items)
+        want[(i, n, h, tuple(f))] += 1
+    assert got == want
+    kept = {r["doc_id"] for r in decontamination.keep_clean(edge_docs, bench).collect()}
+    assert 14 not in kept and 5 not in kept and {2, 3, 4, 8, None} <= kept
+
+
+def test_decontamination_without_items(spark, edge_docs, no_docs):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.digest(decontamination.scan(edge_docs, bench)).where("contaminated or n_hit > 0").count() == 0
+    assert decontamination.scan(no_docs, bench).count() == 0
+
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def brute_secrets(text):
+    t = text or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def brute_entropy(text):
+    base, out = brute_secrets(text), []
+    for m in re.finditer(f"[A-Za-z0-9+/=_-]{{{secret_scan.LEAST},}}", text or ""):
+        v = m[0]
+        if not re.search("[0-9]", v) or not re.search("[A-Za-z]", v) or re.search(secret_scan.ALLOWED, v) or any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            continue
+        name, bound = next((n, e) for n, p, _, e in secret_scan.CLASSES if re.search(p, v))
+        best = 0.0
+        for i in range(max(1, len(v) - secret_scan.WINDOW + 1)):
+            c = Counter(v[i : i + secret_scan.WINDOW])
+            n = sum(c.values())
+            best = max(best, -sum(x / n * math.log2(x / n) for x in c.values()))
+        if best >= bound:
+            out.append((m.start(), secret_scan.KINDS.index(name), m.end(), name))
+    return sorted(base + out)
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+
+
+def test_secrets(edge_docs, edge_rows, small):
+    rows = list(edge_rows) + [tuple(r) for r in small.select("doc_id", "text").collect()]
+    both = edge_docs.select("doc_id", "text").unionByName(small.select("doc_id", "text"))
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in secret_scan.digest(secret_scan.scan(both)).collect())
+    want = Counter()
+    for i, t in rows:
+        b = brute_secrets(t)
+        n = Counter(x[3] for x in b)
+        want[(i, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(b).encode()).hexdigest(), joined(brute_entropy(t)))] += 1
+    assert got == want
+    assert any("entropy" in k[5] for k in got)
+
+
+def test_entropy_allow_list(spark):
+    rows = [(1, "id 123e4567-e89b-12d3-a456-426614174000 ok"), (2, "key EXAMPLEkey9Zx8Cv7Bn6Mq5Lp4 ok"), (3, "key Qm9Zx8Cv7Bn6Wq5Lp4Kd3Js2 ok"), (4, "aaaaaaaaaaaaaaaaaaaaaaaa1111")]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "", 2: "", 3: "entropy-base64:4:28", 4: ""}
+
+
+def test_redaction(edge_docs, edge_rows, no_docs):
+    out = secret_scan.redact(edge_docs)
+    assert out.columns == edge_docs.columns and out.count() == len(edge_rows)
+    want = Counter()
+    for i, t in edge_rows:
+        text, at = "", 0
+        for a, _, b, _ in brute_entropy(t):
+            if a >= at:
+                text += t[at:a] + "[redacted]"
+            at = max(at, b)
+        want[(i, t if not brute_entropy(t) else text + t[at:])] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert secret_scan.redact(no_docs).count() == 0
+
+
+def test_fingerprints(edge_docs, edge_rows):
+    rows = {(r["doc_id"], r["edited_sha256"]): r for r in fingerprints.edited_pairs(edge_docs).collect()}
+    order = sorted(((i is not None, i or 0, t or "") for i, t in edge_rows))
+    for (known, i, t), (_, _, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        r = rows[(i if known else None, hashlib.sha256(edited.encode()).hexdigest())]
+        assert r["n_chars"] == len(t)
+        a, b, c = shingles(t.lower()), shingles(edited.lower()), shingles(nxt.lower())
+        for near, x, y in ((r["near_edited"], a, b), (r["near_next"], a, c)):
+            exact = len(x & y) / len(x | y) if x | y else 1.0
+            assert abs(near - exact) < (1e-9 if len(x | y) <= fingerprints.K else 0.25)
+    assert fingerprints.edited_pairs(edge_docs.where("doc_id = 14")).first()["near_next"] == 1.0
+
+
+def test_next_over_far_runs(spark, no_docs):
+    ids = [-5, 0, 63, 64, 1000, 300_000, 700_000_000, 700_000_001]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(docs).collect()}
+    assert got == {f"text {a}": f"text {b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+    assert fingerprints.edited_pairs(no_docs).count() == 0
+
+
+def test_sketch_parts(spark):
+    rows = [(p, " ".join(f"w{i}" for i in range(p * 300, p * 300 + 500))) for p in range(4)]
+    parts = fingerprints.with_sketch(spark.createDataFrame(rows, "part long, text string"), "text", "s").withColumn("g", F.lit(1))
+    merged = fingerprints.merge_parts(parts, ["g"], "s").select("s", fingerprints.distinct_count("s").alias("d"), fingerprints.containment(F.col("s"), F.col("s")).alias("c")).first()
+    every = sorted({h for r in parts.collect() for h in r["s"]})
+    assert merged["s"] == every[: fingerprints.K] and merged["c"] == 1.0
+    assert 0.6 < merged["d"] / (1400 - 16) < 1.5
+
+
+def test_toxicity(spark, edge_docs, no_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    extra = labels.unionByName(spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 7)], labels.schema))
+    weights = toxicity.learn(docs, extra, toxicity.training_id)
+    scored = toxicity.score(docs, weights).join(labels, "doc_id").where(~toxicity.training_id(F.col("doc_id"))).toPandas()
+    right = (scored.predicted == scored.toxic).mean()
+    assert right >= 0.97 and scored[scored.toxic == 1].predicted.mean() >= 0.8
+    edge = toxicity.score(edge_docs, weights)
+    assert edge.count() == edge_docs.count() and edge.where("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.score(no_docs, weights).count() == 0
+    none = toxicity.learn(docs, labels.limit(0), toxicity.training_id)
+    assert toxicity.score(edge_docs, none).where("score <> 0 or predicted <> 0").count() == 0
