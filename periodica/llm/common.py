@@ -59,8 +59,9 @@ def gram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     out = np.full(n, np.uint64(size), dtype=np.uint64)
     for j in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
-    return out
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[j : j + n]
+    return mix(out)
 
 
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -58,13 +58,10 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cache = np.zeros(cells, dtype=np.int64), WordHashes()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h = cache.of(blank_words(text))
-                if len(h):
-                    grams = gram_hashes(h, min(words, len(h)))
-                    held += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells) if len(grams) > cells // 64 else 0
-                    if len(grams) <= cells // 64:
-                        np.add.at(held, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for start in range(0, batch.num_rows, 512):
+                hashed = (cache.of(blank_words(t)) for t in batch.slice(start, 512).column("text").to_pylist())
+                grams = np.concatenate([gram_hashes(h, min(words, len(h))) for h in hashed if len(h)] or [np.empty(0, dtype=np.uint64)])
+                held += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
         parts = np.split(held, SLICES)
         yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
 
@@ -86,14 +83,14 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """doc_id, n, class, and the keys of the class on its first row in a task."""
+    """doc_id, n, class, and the keys and count point of the class on its first row in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, rarity = WordHashes(), set(), levels.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                size, classes, keys = [], [], []
+                size, classes, keys, points = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(cache.of(blank_words(text)), words)
                     c = _class_of(s) if len(s) else None
@@ -101,14 +98,16 @@ def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
                     classes.append(c)
                     if c is None or c in seen:
                         keys.append(s[:0].view(np.int64))
+                        points.append(None)
                         continue
+                    points.append(count_point(s))
                     seen.add(c)
                     level = rarity[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     rare = s[np.argsort(level, kind="stable")] if level.any() else s
                     keys.append(signed(rare[: len(s) - -(-percent * len(s) // 100) + 1]))
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "c": pa.array(classes, pa.int64()), "keys": list_array(keys, pa.int64())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "c": pa.array(classes, pa.int64()), "keys": list_array(keys, pa.int64()), "point": pa.array(points, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, keys array<long>, point binary")
 
 
 def _scramble(values: np.ndarray) -> np.ndarray:
@@ -152,14 +151,14 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "c", "n", "middle", "middle_n", "size").agg(F.count("*").alias("shared"))
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Whole shingle sets of the classes in ``wanted(c)``: one row (c, n, members) each.
+def class_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """Whole shingle sets of classes: one row (c, n, members) for each class of ``reps(c, doc_id)``.
 
-    The wanted classes reach the tasks as a bitmap of fixed size; classes that
-    merely share a bit come along and do no harm.
+    The ids reach the tasks as a bitmap of fixed size, so that other documents
+    are passed over; those that merely share a bit come along and do no harm.
     """
-    cell = F.pmod(F.col("c"), F.lit(1 << FILTER_BITS)) + 1
-    marked = wanted.groupBy(F.bitmap_bucket_number(cell).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    marked = reps.groupBy(F.bitmap_bucket_number(cell + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell + 1)).alias("bits"))
     bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for row in marked.collect():
         at = (row["b"] - 1) * 4096
@@ -167,24 +166,24 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, bitmap = WordHashes(), set(), known.value
+        cache, seen, bitmap = WordHashes(), set(), np.frombuffer(known.value, dtype=np.uint8)
         for whole in batches:
+            at = whole.column("cell").to_numpy()
+            whole = whole.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1).astype(bool)))
             for start in range(0, whole.num_rows, 512):
                 classes, members = [], []
                 for text in whole.slice(start, 512).column("text").to_pylist():
                     s = shingle_set(cache.of(blank_words(text)), words)
                     c = _class_of(s) if len(s) else None
-                    if c is None or c in seen:
-                        continue
-                    at = c % (1 << FILTER_BITS)
-                    if bitmap[at >> 3] >> (at & 7) & 1:
+                    if c is not None and c not in seen:
                         seen.add(c)
                         classes.append(c)
                         members.append(signed(s))
                 if classes:
                     yield pa.record_batch({"c": pa.array(classes, pa.int64()), "n": pa.array([len(m) for m in members], pa.int64()), "members": list_array(members, pa.int64())})
 
-    return docs.mapInArrow(run, "c long, n long, members array<long>").dropDuplicates(["c"])
+    found = docs.select("text", cell.alias("cell")).mapInArrow(run, "c long, n long, members array<long>")
+    return found.join(reps.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,20 +194,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("ma") + F.size("mb") - F.col("common"))).select("a", "b")
 
 
-def count_points(sets: DataFrame) -> DataFrame:
+def count_point(members: np.ndarray) -> bytes:
     """Counts of a set's members in hash groups: a power of two of groups that grows with the set."""
+    bits = min(12, max(4, (len(members) // 3).bit_length()))
+    groups = (_scramble(members) >> np.uint64(64 - bits)).astype(np.int64)
+    return zlib.compress(np.bincount(groups, minlength=1 << bits).astype("<u4").tobytes(), 1)
+
 
+def _point(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.int64)
+
+
+def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose summed coordinate minima reach the overlap that linked sets have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = []
-            for members in batch.column("members"):
-                s = members.values.to_numpy().view(np.uint64)
-                bits = min(12, max(4, int(len(s) // 3).bit_length()))
-                groups = (_scramble(s) >> np.uint64(64 - bits)).astype(np.int64)
-                points.append(np.bincount(groups, minlength=1 << bits).astype("<u4").tobytes())
-            yield pa.record_batch({"c": batch.column("c"), "point": pa.array(points, pa.binary())})
+            keep = []
+            for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True):
+                x, y = _point(x), _point(y)
+                width = min(len(x), len(y))
+                overlap = np.minimum(x.reshape(width, -1).sum(axis=1), y.reshape(width, -1).sum(axis=1)).sum()
+                keep.append((100 + percent) * overlap >= percent * (x.sum() + y.sum()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sets.select("c", "members").mapInArrow(run, "c long, point binary")
+    left = points.select(F.col("c").alias("a"), F.col("point").alias("pa"))
+    right = points.select(F.col("c").alias("b"), F.col("point").alias("pb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 class CountTree:
@@ -238,8 +249,8 @@ class CountTree:
                     yield self.order[rows[x]], other.order[cols[y]]
 
 
-def _fold(blobs: list[bytes], width: int) -> np.ndarray:
-    return np.stack([np.frombuffer(b, dtype="<u4").astype(np.int64).reshape(width, -1).sum(axis=1) for b in blobs])
+def _fold(points: list[np.ndarray], width: int) -> np.ndarray:
+    return np.stack([p.reshape(width, -1).sum(axis=1) for p in points])
 
 
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -258,7 +269,9 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     rows = one.unionByName(two).select("bucket", "l1", "l2", "side", "c", "n", "comp", "point").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
 
     def join(group: list[dict]) -> Iterator[tuple[int, int]]:
-        width = min(len(r["point"]) // 4 for r in group)
+        for r in group:
+            r["point"] = _point(r["point"])
+        width = min(len(r["point"]) for r in group)
         sides = [[r for r in group if r["side"] == s] for s in (0, 1)]
         own = not sides[1]
         sides[1] = sides[1] or sides[0]
@@ -297,22 +310,27 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     sigs = cut_lineage(signatures(texts, levels, words, percent), "signatures")
     members = cut_lineage(buckets(sigs), "buckets")
     fits = F.lit(100) * F.least("n", "middle_n") >= F.lit(percent) * F.greatest("n", "middle_n")
-    sets = cut_lineage(class_sets(texts, members.select("c").distinct(), words), "sets")
+    classes = sigs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    points = sigs.where("point is not null").select("c", "point").dropDuplicates(["c"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs, "pairs")
+        used = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        sets = cut_lineage(class_sets(texts, used.join(classes, "c"), words), "sets")
+        return cut_lineage(verified(pairs, sets, percent), "links")
 
     star = members.where((F.col("c") != F.col("middle")) & fits).groupBy("c", "middle").agg(F.sum("shared").alias("shared"))
     star = star.groupBy("c").agg(F.max_by("middle", F.struct("shared", "middle")).alias("b")).select(F.col("c").alias("a"), "b")
-    links = cut_lineage(verified(star, sets, percent), "links")
+    links = linked(within_bound(star, points, percent))
     roots = cut_lineage(linked_groups(links), "roots")
 
     grouped = members.join(roots, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
     open_buckets = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    left = grouped.join(open_buckets, "bucket").groupBy("bucket", "c", "n", "size", "comp").agg(F.sum("shared").alias("shared"))
-    pairs = tree_pairs(left.join(count_points(sets), "c").drop("shared"), percent)
-    more = cut_lineage(verified(cut_lineage(pairs, "pairs"), sets, percent), "links")
+    left = grouped.join(open_buckets, "bucket").select("bucket", "c", "n", "size", "comp").distinct()
+    more = linked(tree_pairs(left.join(points, "c"), percent))
     roots = cut_lineage(linked_groups(links.unionByName(more)), "roots")
 
-    lowest = sigs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("lowest"))
-    lowest = lowest.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).select("c", "root", "lowest")
+    lowest = classes.withColumnRenamed("doc_id", "lowest").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).select("c", "root", "lowest")
     lowest = cut_lineage(lowest, "lowest")
     named = lowest.groupBy("root").agg(F.min("lowest").alias("component_id")).join(lowest, "root").select("c", "component_id")
     named = cut_lineage(named, "named")
