@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import byte_bpe, decontamination, fingerprints, ngram_join, secret_scan, toxicity
+from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, ngram_join, secret_scan, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,12 @@ ALNUM = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 BLANK = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 
 
+@query
+def op1_grammar_output(spark, folder):
+    """Token ids of every document, written as grammar-compressed shards and read back."""
+    return grammar_output.written_and_read(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 @query
 def op2_byte_bpe(spark, folder):
     """Token ids of every document by shuffled distinct words, and the bytes they decode to."""
@@ -76,6 +82,27 @@ def op8_fingerprints(spark, folder):
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark, folder):
+    """Documents without the bytes of 100-byte strings that start earlier."""
+    return suffix_dedup.digest(suffix_dedup.repeats(table(spark, folder, "documents")))
+
+
+SQL["op9_suffix_dedup"] = """
+with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
+s as (select doc_id, i, hex(b)[2 * i + 1 : 2 * i + 200] as g from t, unnest(range(0, octet_length(b) - 99)) as u(i)),
+r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from s),
+c as (select distinct doc_id, i + j as at from r, unnest(range(0, 100)) as u(j) where k > 1),
+n as (select doc_id, count(*) as n_removed, count(*) filter (where at <> before + 1 or before is null) as n_spans
+  from (select doc_id, at, lag(at) over (partition by doc_id order by at) as before from c) group by doc_id),
+kept as (select doc_id, string_agg(hex(b)[2 * i + 1 : 2 * i + 2], '' order by i) as h
+  from (select doc_id, b, unnest(range(0, octet_length(b))) as i from t) as p where not exists (select 1 from c where c.doc_id = p.doc_id and c.at = p.i) group by doc_id)
+select t.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(h, ''))) as kept_sha256
+from t left join n using (doc_id) left join kept using (doc_id)
+"""
+
+
 @query
 def op10_decontamination(spark, folder):
     """Words of every document that lie in windows of benchmark items."""

@@ -2,13 +2,16 @@
 
 import base64
 import hashlib
+import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
-from periodica.llm import byte_bpe
+from periodica.llm import byte_bpe, grammar_output
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -45,3 +48,37 @@ def test_splitter(encoding, text):
     words = list(s.codes)
     ids = [x for c in codes for x in encoding._core_bpe.encode_single_piece(words[c])]
     assert ids == encoding.encode_ordinary(text)
+
+
+WORDS = P.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 500])
+def test_grammar_shards(spark, edge_docs, edge_rows, small, shard):
+    rows = list(edge_rows) + [(r["doc_id"] + 100, r["text"]) for r in small.collect()]
+    docs = edge_docs.select("doc_id", "text").unionByName(small.selectExpr("doc_id + 100 as doc_id", "text")).repartition(5)
+    got = Counter(tuple(r) for r in grammar_output.written_and_read(docs, WORDS, 2, shard).collect())
+    tokenizer, start, want = Tokenizer.from_file(WORDS), 0, Counter()
+    for known, i, t in sorted((i is not None, i or 0, t or "") for i, t in rows):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], dtype="<u4")
+        want[(i if known else None, start, len(ids), zlib.crc32(ids.tobytes()))] += 1
+        start += len(ids)
+    assert got == want
+
+
+def test_grammar_without_rows(no_docs):
+    assert grammar_output.written_and_read(no_docs, WORDS, 2).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[5] * 1000, [1, 2, 3] * 400 + [7], list(range(500)), [1, 1, 2, 1, 1, 1, 2, 2] * 90, [9]])
+def test_grammar_ranges(ids):
+    flat = np.array(ids, dtype=np.uint32)
+    half = len(flat) // 2
+    shard = grammar_output.Shard(grammar_output.pack([4, None], [flat[:half], flat[half:]], 1000))
+    assert shard.doc_ids == [4, None] and shard.tokens(0, len(flat)).tolist() == ids
+    assert shard.document(0).tolist() == ids[:half] and shard.document(1).tolist() == ids[half:]
+    rng = np.random.default_rng(1)
+    for a, b in rng.integers(0, len(ids) + 1, (50, 2)).tolist():
+        assert shard.tokens(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)]
+    if len(set(ids)) < 5 and len(ids) > 100:
+        assert len(shard.sequence) < len(ids) / 4
