@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from periodica.llm.common import list_array, text_columns
 
 #: UTF-8 bytes after which a block is closed.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 #: Largest vocabulary file that is broadcast; those of byte-level tokenizers hold a few MB.
 MOST_VOCABULARY_BYTES = 64 << 20
 
