@@ -81,7 +81,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         codes = self.owner.codes
-        found = [codes.setdefault(m.encode(), len(codes)) for m in self.owner.pattern.findall(self.lead + piece.decode())]
+        if piece.isalpha():  # ASCII letters only: one match
+            found = [codes.setdefault(self.lead.encode() + piece, len(codes))]
+        else:
+            found = [codes.setdefault(m.encode(), len(codes)) for m in self.owner.pattern.findall(self.lead + piece.decode())]
         value = self[piece] = np.array(found, dtype="<u4").tobytes()
         return value
 
