@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, ngram_join, secret_scan, suffix_dedup, toxicity
+from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, secret_scan, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,6 +62,18 @@ from d left join n using (doc_id) left join reach on node = d.doc_id group by d.
 """
 
 
+@query
+def op4_ngram_trie(spark, folder):
+    """Log10 probability of every document under a bigram model in Elias-Fano tries."""
+    return ngram_trie.scores(table(spark, folder, "documents"))
+
+
+@query
+def op5_licenses(spark, folder):
+    """License phrases and notices in every document, by votes along diagonals."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op6_toxicity(spark, folder):
     """Toxicity score of every document, learned from labelled rows outside the held-out quarter."""
