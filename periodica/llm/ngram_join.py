@@ -198,11 +198,13 @@ def count_point(members: np.ndarray) -> bytes:
     """Counts of a set's members in hash groups: a power of two of groups that grows with the set."""
     bits = min(12, max(4, (len(members) // 3).bit_length()))
     groups = (_scramble(members) >> np.uint64(64 - bits)).astype(np.int64)
-    return zlib.compress(np.bincount(groups, minlength=1 << bits).astype("<u4").tobytes(), 1)
+    counts = np.bincount(groups, minlength=1 << bits)
+    kind = "u1" if counts.max() < 256 else "<u4"
+    return kind[-1].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
 def _point(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(blob[1:]), dtype="u1" if blob[:1] == b"1" else "<u4").astype(np.int64)
 
 
 def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
