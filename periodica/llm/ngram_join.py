@@ -258,8 +258,9 @@ def _fold(points: list[np.ndarray], width: int) -> np.ndarray:
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of ``members(bucket, c, n, size, comp, point)`` in different groups of one bucket."""
     spread = F.ceil(F.col("size") / LEAF)
-    leaf = F.concat_ws(":", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long"), F.pmod(F.xxhash64("c"), spread))
-    members = members.withColumn("leaf", leaf)
+    cut = F.concat_ws(":", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long"), F.pmod(F.xxhash64("c"), spread))
+    # A small bucket is one leaf, a larger one is cut by size band and salt.
+    members = members.withColumn("leaf", F.when(spread > 1, cut).otherwise("0:0"))
     leaves = members.select("bucket", "leaf").distinct()
     band = F.split("leaf", ":")[0].cast("int")
     left = leaves.select("bucket", F.col("leaf").alias("l1"), band.alias("b1"))
