@@ -390,11 +390,13 @@ def _(t):
     return ag.dictionary_coverage(with_frequency(t), ["indicator"], "period", "value", "frequency", F.lit("2001-05-20").cast("date"))
 
 
+_FLAGS = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
 @query("a33_pivot_indicators", ctes("flag_month") + """
-select period, max(qty) filter (where indicator = 'AF') as "AF", max(qty) filter (where indicator = 'AO') as "AO",
-  max(qty) filter (where indicator = 'RF') as "RF" from flag_month group by 1""")
+select period, """ + ", ".join(f"max(qty) filter (where indicator = '{i}') as \"{i}\"" for i in _FLAGS) + """ from flag_month group by 1""")
 def _(t):
-    return ag.pivot_indicators(c.flag_month(t), "period", "indicator", "qty", ["AF", "AO", "RF"])
+    return ag.pivot_indicators(c.flag_month(t), "period", "indicator", "qty", list(_FLAGS))
 
 
 @query("a34_identity_fill", ctes("supplier_day") + """

@@ -73,11 +73,11 @@ def _band_sql(kind: str, year: str, season: str) -> str:
 
 @query("t05_seasonal_band", ctes("flag_day") + "\n" + " union all ".join([
     _band_sql("daily", "year(period)", "dayofyear(make_date(2000, month(period)::int, day(period)::int))"), _band_sql("weekly", "isoyear(period)", "week(period)"),
-    _band_sql("ten_day", "year(period)", "(month(period) - 1) * 3 + case when day(period) <= 10 then 1 when day(period) <= 20 then 2 else 3 end"), _band_sql("monthly", "year(period)", "month(period)")]))
+    _band_sql("ten_day", "year(period)", "(month(period) - 1) * 3 + case when day(period) <= 10 then 1 when day(period) <= 20 then 2 else 3 end"), _band_sql("monthly", "year(period)", "month(period)"), _band_sql("quarterly", "year(period)", "quarter(period)")]))
 def _(t):
     d = c.flag_day(t)
     out = None
-    for f in ("daily", "weekly", "ten_day", "monthly"):
+    for f in ("daily", "weekly", "ten_day", "monthly", "quarterly"):
         b = pv.seasonal_band(d, "indicator", "period", "value", f, 2001).withColumn("frequency", F.lit(f)).withColumn("hist_mean", f32("hist_mean"))
         out = b if out is None else out.unionByName(b)
     return out
@@ -113,15 +113,15 @@ def _(t):
 @query("t20_revenue_estimate", ctes("flag_day", "priority_month") + f"""
 , cut as (select case when max(period) = last_day(max(period)) then max(period) else last_day((max(period) - interval 1 month)::date) end as c from flag_day where indicator = 'AF'),
 p as (select last_day(period) as period, avg(value) as price from flag_day, cut where indicator = 'AF' and period <= c group by 1),
-v as (select period, avg(value) as volume from priority_month where indicator = '1-URGENT' group by 1),
-g as (select v.period, price, volume, day(v.period) as days, price * volume * day(v.period) / 1e8 as revenue from v left join p using (period)),
-y as (select *, sum(revenue) over (partition by year(period) order by period) as ytd from g)
-select y.period, {qf('y.price')} as price, y.volume, y.days::int as days, {qf('y.revenue')} as revenue, {q6('(y.revenue / nullif(b.revenue, 0) - 1) * 100')} as yoy, {qf('y.ytd')} as ytd, {q6('(y.ytd / nullif(b.ytd, 0) - 1) * 100')} as ytd_yoy
-from y left join y b on year(b.period) * 12 + month(b.period) = year(y.period) * 12 + month(y.period) - 12 where y.revenue is not null""")
+v as (select indicator, period, avg(value) as volume from priority_month group by 1, 2),
+g as (select indicator, v.period, price, volume, day(v.period) as days, price * volume * day(v.period) / 1e8 as revenue from v left join p using (period)),
+y as (select *, sum(revenue) over (partition by indicator, year(period) order by period) as ytd from g)
+select y.indicator, y.period, {qf('y.price')} as price, y.volume, y.days::int as days, {qf('y.revenue')} as revenue, {q6('(y.revenue / nullif(b.revenue, 0) - 1) * 100')} as yoy, {qf('y.ytd')} as ytd, {q6('(y.ytd / nullif(b.ytd, 0) - 1) * 100')} as ytd_yoy
+from y left join y b on b.indicator = y.indicator and year(b.period) * 12 + month(b.period) = year(y.period) * 12 + month(y.period) - 12 where y.revenue is not null""")
 def _(t):
     prices = c.flag_day(t).where("indicator = 'AF'").select(F.col("period").alias("day"), F.col("value").alias("price"))
-    out = pr.revenue_estimate(prices, c.priority_month(t).where("indicator = '1-URGENT'"), "day", "price", "period", "value")
-    return out.select("period", f32("price").alias("price"), "volume", "days", f32("revenue").alias("revenue"), r6("yoy").alias("yoy"), f32("ytd").alias("ytd"), r6("ytd_yoy").alias("ytd_yoy"))
+    out = pr.revenue_estimate(prices, c.priority_month(t), ["indicator"], "day", "price", "period", "value")
+    return out.select("indicator", "period", f32("price").alias("price"), "volume", "days", f32("revenue").alias("revenue"), r6("yoy").alias("yoy"), f32("ytd").alias("ytd"), r6("ytd_yoy").alias("ytd_yoy"))
 
 
 _Q = """
@@ -390,12 +390,14 @@ def _(t):
 
 
 @query("t33_modelling_bounds", ctes("supplier_day") + """
-, m as (select node, day, case when imports - 20 <= 0 then null else imports - 20 end as value from supplier_day where day between date '1996-01-01' and date '2000-12-31' and node < 3),
-f as (select day from m where value is not null group by 1 having count(distinct node) = 3) select min(day) as first_period, max(day) as last_period from f""")
+, m as (select node, day, case when imports - 20 <= 0 then null else imports - 20 end as value from supplier_day where day between date '1996-01-01' and date '2000-12-31'),
+g as (select node, node // 3 as team from (select distinct node from m) as x), z as (select team, count(*) as size from g group by 1),
+f as (select team, day from m join g using (node) join z using (team) where value is not null group by team, day, size having count(distinct node) = size)
+select team, min(day) as first_period, max(day) as last_period from f group by 1""")
 def _(t):
-    d = c.supplier_day(t).where("node < 3").select("node", "day", (F.col("imports") - 20).alias("value"))
+    d = c.supplier_day(t).select("node", "day", (F.col("imports") - 20).alias("value"), F.floor(F.col("node") / 3).cast("long").alias("team"))
     m = md.modelling_frame(d, "node", "day", "value", D("1996-01-01"), D("2000-12-31"), True, True, None)
-    return md.common_bounds(m, "node", "day", "value", 3)
+    return md.common_bounds(m, "node", "day", "value", ["team"])
 
 
 @query("t34_forecast_calendar", ctes("customer_month") + """

@@ -64,15 +64,14 @@ def _(t):
 
 
 @query("q06_check_report", ctes("flag_day") + """
-, f as (select * from flag_day where indicator = 'AF'), m as (select last_day(period) as p, count(*) as n, count(distinct period) as d, count(qty) as v, min(qty) as lo, max(qty) as hi from f group by 1),
-o as (select min(p) as first, max(p) as last, count(*) as months, sum(n) as rows, sum(v) as vals, min(lo) as lo, max(hi) as hi, sum(d) as days,
-  (year(max(p)) - year(min(p))) * 12 + month(max(p)) - month(min(p)) + 1 as span, (2002 - year(max(p))) * 12 + 1 - month(max(p)) as lag from m)
-select 'history_length' as "check", months >= 60 as passed, months::bigint as detail from o union all select 'monthly_continuity', months = span, (span - months)::bigint from o
-union all select 'fresh', lag between 0 and 3, lag::bigint from o union all select 'value_range', lo >= 0 and hi <= 500, (rows - vals)::bigint from o
-union all select 'unique_periods', rows = days, (rows - days)::bigint from o""")
-def _(t):
-    f = c.flag_day(t).where("indicator = 'AF'")
-    return qa.check_report(f, "period", "qty", D("2002-01-15"), 3, 0.0, 500.0, 60)
+, m as (select indicator, last_day(period) as p, count(*) as n, count(distinct period) as d, count(qty) as v, min(qty) as lo, max(qty) as hi from flag_day group by 1, 2),
+o as (select indicator, min(p) as first, max(p) as last, count(*) as months, sum(n) as rows, sum(v) as vals, min(lo) as lo, max(hi) as hi, sum(d) as days,
+  (year(max(p)) - year(min(p))) * 12 + month(max(p)) - month(min(p)) + 1 as span, (2002 - year(max(p))) * 12 + 1 - month(max(p)) as lag from m group by 1)
+select indicator, 'history_length' as "check", months >= 60 as passed, months::bigint as detail from o union all select indicator, 'monthly_continuity', months = span, (span - months)::bigint from o
+union all select indicator, 'fresh', lag between 0 and 3, lag::bigint from o union all select indicator, 'value_range', lo >= 0 and hi <= 500, (rows - vals)::bigint from o
+union all select indicator, 'unique_periods', rows = days, (rows - days)::bigint from o""")
+def _(t):
+    return qa.check_report(c.flag_day(t), ["indicator"], "period", "qty", D("2002-01-15"), 3, 0.0, 500.0, 60)
 
 
 @query("q07_accounting_closure", ctes("supplier_day", "lines_day") + f"""

@@ -49,7 +49,7 @@ def _(t):
 @query("c04_source_names", """
 select doc_id, case source when 'src1' then '一号源' when 'src2' then '二号源' else source end || '、' || 'lang ' || lang as label from documents""")
 def _(t):
-    raw = F.concat(F.col("source"), F.lit("；lang "), F.col("lang"), F.lit("（note (inner)）(x)"))
+    raw = F.concat(F.col("source"), F.lit("；lang "), F.col("lang"), F.lit("（note (inner)）(x) (1(2（3(4(5(6)))）))"))
     return t.documents.select("doc_id", tx.translate_sources(raw, {"src1": "一号源", "src2": "二号源"}).alias("label"))
 
 
@@ -102,9 +102,10 @@ _CNT = "case when a < 1000 then format('{:,.0f}', a) || ' 件' when a < 1e7 then
 
 @query("c13_magnitude_format", f"""
 with x as (select o_orderkey, floor(o_totalprice) as a from orders)
-select o_orderkey, {_CNT} as as_count, rtrim(rtrim(format('{{:,.2f}}', a / 1e4), '0'), '.') || ' 万元' as as_scaled, rtrim(rtrim(format('{{:,.2f}}', a * 1e6 / 1e8), '0'), '.') || ' 亿元' as as_currency from x where a >= 10000 and (a * 1e6 / 1e8) < 1000""")
+select o_orderkey, {_CNT} as as_count, case when a >= 1e4 then rtrim(rtrim(format('{{:,.2f}}', a / 1e4), '0'), '.') || ' 万元' when a >= 100 then rtrim(rtrim(format('{{:,.2f}}', a / 1e2), '0'), '.') || ' 百元' else rtrim(rtrim(format('{{:,.2f}}', a), '0'), '.') || ' 元' end as as_scaled,
+  case when a * 1e6 / 1e8 < 1000 then rtrim(rtrim(format('{{:,.2f}}', a * 1e6 / 1e8), '0'), '.') || ' 亿元' else rtrim(rtrim(format('{{:,.2f}}', a * 1e6 / 1e12), '0'), '.') || ' 万亿元' end as as_currency from x""")
 def _(t):
-    x = t.orders.select("o_orderkey", F.floor("o_totalprice").cast("double").alias("a")).where((F.col("a") >= 10000) & (F.col("a") * 1e6 / 1e8 < 1000))
+    x = t.orders.select("o_orderkey", F.floor("o_totalprice").cast("double").alias("a"))
     a = F.col("a")
     return x.select("o_orderkey", tx.format_count(a, "件").alias("as_count"), tx.format_scaled(a, "元").alias("as_scaled"), tx.format_currency(a, "元", 1e6).alias("as_currency"))
 

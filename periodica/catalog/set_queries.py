@@ -55,11 +55,11 @@ def _(t):
 
 @query("o05_composite_order", ctes("supplier_day") + """
 , d as (select node, sum(qty) as qty from supplier_day where day = date '1999-03-03' group by 1)
-select s_suppkey as node, s_name, qty, qty is not null as has_data from supplier left join d on node = s_suppkey order by (qty is not null) desc, coalesce(qty, 0) desc, s_name limit 20""")
+select s_suppkey as node, s_name, qty, qty is not null as has_data from supplier left join d on node = s_suppkey order by (qty is not null) desc, coalesce(qty, 0) desc, s_name""")
 def _(t):
     d = c.supplier_day(t).where(F.col("day") == F.lit("1999-03-03").cast("date")).groupBy("node").agg(F.sum("qty").alias("qty"))
     p = t.supplier.select(F.col("s_suppkey").alias("node"), "s_name").join(d, "node", "left").withColumn("has_data", F.col("qty").isNotNull())
-    return tk.composite_order(p, "has_data", "qty", "s_name", 20)
+    return tk.composite_order(p, "has_data", "qty", "s_name")
 
 
 @query("u01_shared_bounds", """

@@ -58,15 +58,15 @@ def sheet_input(t):
 
 
 @query("s04_protocol_sheet", ctes("flag_day") + """
-select '指标: (' || indicator || ')' as indicator, 'daily' as frequency, period, case when qty > 30 then qty end as value from flag_day where indicator <> 'RO'""")
+-- the sheet has a cell for every day and column; days without a figure stay as empty cells
+select '指标: (' || i.indicator || ')' as indicator, 'daily' as frequency, d.period, case when qty > 30 then qty end as value
+from (select distinct indicator from flag_day where indicator <> 'RO') i cross join (select distinct period from flag_day) d left join flag_day f on f.indicator = i.indicator and f.period = d.period""")
 def _(t):
     long, meta = sheet_input(t)
     registered = meta.where("column <> 'RO'").select("name", F.lit("flow").alias("type"))
     good, problems = pr.parse_sheet(long, meta, registered)
     pr.require_valid(problems)
-    full = good.select("indicator", "frequency", "period", "value")
-    have = c.flag_day(t).select(F.concat(F.lit("指标: ("), "indicator", F.lit(")")).alias("indicator"), "period")
-    return full.join(have, ["indicator", "period"], "left_semi")
+    return good.select("indicator", "frequency", "period", "value")
 
 
 @query("s05_target_series", ctes("flag_day") + """
@@ -137,13 +137,13 @@ def _(t):
 
 
 @query("s10_parallel_arrays", ctes("customer_month") + """
-select period, 'over ' || right(indicator, 1) as indicator, value from customer_month where right(indicator, 1) = '7' union all select period, 'half', value / 2 from customer_month where right(indicator, 1) = '7'""")
+select period, 'over' as indicator, value from customer_month union all select period, 'half', value / 2 from customer_month""")
 def _(t):
     # One document per series; a series is as long as its calendar.
-    m = c.customer_month(t).where(F.col("indicator").endswith("7"))
+    m = c.customer_month(t)
     doc = m.groupBy("indicator").agg(F.array_sort(F.collect_list(F.struct("period", "value"))).alias("s"))
     body = F.to_json(F.struct(F.transform("s", lambda x: F.date_format(x["period"], "dd MMM yyyy")).alias("dates"), F.transform("s", lambda x: x["value"]).alias("on"), F.transform("s", lambda x: x["value"] / 2).alias("half")))
-    return ne.parallel_series(doc.select(body.alias("j")), "j", "dates", {"on": "over 7", "half": "half"}, "dd MMM yyyy")
+    return ne.parallel_series(doc.select(body.alias("j")), "j", "dates", {"on": "over", "half": "half"}, "dd MMM yyyy")
 
 
 @query("s10_record_series", ctes("customer_month") + """

@@ -34,12 +34,22 @@ def normalise_text(value: Column | str, lower: bool = True) -> Column:
     return F.when(c.rlike(r"[\x00-\x7F]"), F.lower(c)).otherwise(c)
 
 
-def strip_parentheses(value: Column | str, depth: int = 4) -> Column:
-    """Bracketed remarks removed from the inside out, up to ``depth`` levels."""
+# fixed values: the brackets of remarks
+BRACKETS = (("（", "）"), ("(", ")"))
+INNER_REMARK = r"\s*(?:" + "|".join(f"[{a}][^{a}{b}]*[{b}]" for a, b in BRACKETS) + ")"
+
+
+def strip_parentheses(value: Column | str) -> Column:
+    """Bracketed remarks removed from the inside out, at any depth.
+
+    Each pass takes the innermost remarks, so as many passes as the text has
+    closing brackets leave none.
+    """
     c = as_col(value)
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\s*(?:（[^（）]*）|\([^()]*\))", "")
-    return F.trim(c)
+    closing = "".join(b for _, b in BRACKETS)
+    passes = F.length(c) - F.length(F.translate(c, closing, ""))
+    turns = F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))
+    return F.trim(F.aggregate(turns, c, lambda text, _: F.regexp_replace(text, INNER_REMARK, "")))
 
 
 def translate_sources(value: Column | str, names: dict[str, str]) -> Column:

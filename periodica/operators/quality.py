@@ -87,14 +87,14 @@ def guard_history(before: DataFrame, after: DataFrame, keys: list[str], numeric:
     require(history_failures(before, after, keys, numeric), "history must not shrink")
 
 
-def check_report(df: DataFrame, period: str, value: str, as_of: Column, fresh_months: int, low: float, high: float, minimum: int) -> DataFrame:
-    """Named checks over one series table as (check, passed, detail) rows.
+def check_report(df: DataFrame, keys: list[str], period: str, value: str, as_of: Column, fresh_months: int, low: float, high: float, minimum: int) -> DataFrame:
+    """Named checks over every series as (keys, check, passed, detail) rows.
 
     One aggregation reads the data once; periods are few and checked on it.
     """
-    per = df.groupBy(F.last_day(period).alias("p")).agg(
+    per = df.groupBy(*keys, F.last_day(period).alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.count(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.countDistinct(period).alias("d"))
-    one = per.agg(
+    one = per.groupBy(*keys).agg(
         F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("months"), F.sum("n").alias("rows"),
         F.sum("v").alias("values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("d").alias("days"))
     span = F.months_between("last", "first").cast("long") + 1
@@ -107,7 +107,7 @@ def check_report(df: DataFrame, period: str, value: str, as_of: Column, fresh_mo
         ("unique_periods", F.col("rows") == F.col("days"), F.col("rows") - F.col("days")),
     ]
     packed = F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("passed"), d.cast("long").alias("detail")) for n, ok, d in checks])
-    return one.select(F.inline(packed))
+    return one.select(*keys, F.inline(packed))
 
 
 def closure_breaks(parts: DataFrame, total: DataFrame, period: str, value: str, tolerance: float) -> DataFrame:

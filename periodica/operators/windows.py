@@ -125,10 +125,10 @@ YOY_LAG = {"yearly": 1, "monthly": 12, "quarterly": 4, "weekly": 52, "ten_day":
 
 
 def transform_series(keys: list[str], order: str, value: str, transformation: str, frequency: str = "monthly") -> Column:
-    """Row-lag difference transforms; logs need positive values."""
+    """Row-lag difference transforms; a value that is not positive has no log and fails the job."""
     w = over(keys, order)
     x = F.col(value)
-    log = F.when(x > 0, F.ln(x))
+    log = F.when(x > 0, F.ln(x)).when(x.isNotNull(), F.raise_error(F.lit("logs need positive values")).cast("double"))
     if transformation in ("yoy_diff", "log_yoy_diff"):
         if frequency not in YOY_LAG:
             raise ValueError(f"no year lag for frequency {frequency!r}")

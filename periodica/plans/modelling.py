@@ -45,10 +45,12 @@ def modelling_frame(df: DataFrame, key: str, period: str, value: str, start: Col
     return cut if fill is None else fill_gaps(cut, [key], period, value, fill, value)
 
 
-def common_bounds(df: DataFrame, key: str, period: str, value: str, members: int) -> DataFrame:
-    """First and last period on which every series has a value."""
-    full = df.where(F.col(value).isNotNull()).groupBy(period).agg(F.countDistinct(key).alias("_n")).where(F.col("_n") == members)
-    return full.agg(F.min(period).alias("first_period"), F.max(period).alias("last_period"))
+def common_bounds(df: DataFrame, key: str, period: str, value: str, group: list[str]) -> DataFrame:
+    """First and last period on which every series of a group has a value; groups without one have no row."""
+    members = df.select(*group, key).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
+    full = df.where(F.col(value).isNotNull()).groupBy(*group, period).agg(F.countDistinct(key).alias("_n"))
+    full = full.join(members, group).where(F.col("_n") == F.col("_all"))
+    return full.groupBy(*group).agg(F.min(period).alias("first_period"), F.max(period).alias("last_period"))
 
 
 def forecast_calendar(model: DataFrame, observed: DataFrame, key: str, period: str, training_end: Column, steps: int, unit: str) -> DataFrame:

@@ -52,7 +52,7 @@ def summary(df: DataFrame, key: str, period: str, value: str, frequency: str, un
 
 SEASON_KEYS = {
     "daily": (F.year, cal.leap_day_of_year), "weekly": (cal.iso_year, F.weekofyear),
-    "ten_day": (F.year, cal.ten_day_index), "monthly": (F.year, F.month),
+    "ten_day": (F.year, cal.ten_day_index), "monthly": (F.year, F.month), "quarterly": (F.year, F.quarter),
 }
 
 

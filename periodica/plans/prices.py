@@ -22,18 +22,18 @@ def chained_yoy(df: DataFrame, keys: list[str], period: str, official: str, mont
         F.when(F.col(official).isNotNull(), "official").when(F.col("_c").isNotNull(), "compounded").when(F.col("_i").isNotNull(), "index").alias("basis"))
 
 
-def revenue_estimate(prices: DataFrame, output: DataFrame, day: str, price: str, period: str, volume: str, scale: float = 1e8) -> DataFrame:
-    """Monthly price times volume times days, with year-on-year and year-to-date figures."""
+def revenue_estimate(prices: DataFrame, output: DataFrame, keys: list[str], day: str, price: str, period: str, volume: str, scale: float = 1e8) -> DataFrame:
+    """Monthly price times the volume of each series times days, with year-on-year and year-to-date figures."""
     known = complete_months(prices.where(F.col(price).isNotNull()), day)
     p = known.groupBy(F.last_day(day).alias("period")).agg(F.avg(price).alias("price"))
-    v = output.where(F.col(volume).isNotNull()).groupBy(F.last_day(period).alias("period")).agg(F.avg(volume).alias("volume"))
-    rows = on_spine(v.withColumn("_k", F.lit(1)), ["_k"], "period", "month").join(p, "period", "left")
+    v = output.where(F.col(volume).isNotNull()).groupBy(*keys, F.last_day(period).alias("period")).agg(F.avg(volume).alias("volume"))
+    rows = on_spine(v, keys, "period", "month").join(p, "period", "left")
     days = F.dayofmonth("period")
     rows = rows.withColumn("days", days).withColumn("revenue", F.col("price") * F.col("volume") * days / scale)
-    rows = rows.withColumn("ytd", win.year_to_date(["_k"], "period", "revenue"))
+    rows = rows.withColumn("ytd", win.year_to_date(keys, "period", "revenue"))
     out = rows.select(
-        "period", "price", "volume", "days", "revenue", calendar_growth(["_k"], "period", "revenue", 12).alias("yoy"), "ytd",
-        calendar_growth(["_k"], "period", "ytd", 12).alias("ytd_yoy"))
+        *keys, "period", "price", "volume", "days", "revenue", calendar_growth(keys, "period", "revenue", 12).alias("yoy"), "ytd",
+        calendar_growth(keys, "period", "ytd", 12).alias("ytd_yoy"))
     return out.where("revenue is not null")
 
 

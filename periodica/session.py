@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -34,20 +33,28 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return prepare_session(spark)
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared checkpoint folder the cluster names.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, laptops) a temporary folder is
-    chosen, and it is then set on the session so later calls agree.
+    Only a local session that names none gets a temporary folder of its own; a
+    cluster without the setting is an error, as its machines share no disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), f"periodica-{uuid.uuid4().hex[:8]}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="periodica-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared folder."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -60,8 +67,3 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = shared_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame has at most ``max_rows`` rows (reads no more)."""
-    return df.limit(max_rows + 1).count() <= max_rows

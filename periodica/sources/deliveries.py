@@ -115,5 +115,5 @@ def run_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]
             n = sink(name, build())
             rows.append((name, "ok", n, "", started, datetime.now(timezone.utc)))
         except Exception as exc:  # noqa: BLE001 - sources are isolated from each other
-            rows.append((name, "failed", 0, f"{type(exc).__name__}: {str(exc)[:500]}", started, datetime.now(timezone.utc)))
+            rows.append((name, "failed", 0, f"{type(exc).__name__}: {exc}", started, datetime.now(timezone.utc)))
     return spark.createDataFrame(rows, "source string, status string, rows long, note string, started_at timestamp, finished_at timestamp")

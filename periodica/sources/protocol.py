@@ -31,7 +31,7 @@ def parse_sheet(long: DataFrame, metadata: DataFrame, dictionary: DataFrame) ->
     table = F.create_map(*[F.lit(x) for kv in FREQUENCY_LABELS.items() for x in kv])
     m = m.withColumn("label", F.trim("frequency")).withColumn("frequency", F.try_element_at(table, F.trim("frequency")))
     text = F.trim("value_text")
-    rows = long.join(m, "column").withColumn("period", F.substring("period_text", 1, 10).try_cast("date")).withColumn("value", text.try_cast("double"))
+    rows = long.join(m, "column").withColumn("period", F.trim("period_text").try_cast("date")).withColumn("value", text.try_cast("double"))
     problems = (
         m.groupBy("indicator").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("indicator", F.lit("repeated_indicator").alias("problem"))
         .unionByName(m.where("frequency is null").select("indicator", F.lit("unknown_frequency").alias("problem")))
@@ -62,7 +62,7 @@ def read_targets(long: DataFrame, metadata: DataFrame, targets: DataFrame, frequ
     state = t.select("display").join(per, "display", "left").withColumn("problem", problem)
     v = F.trim("value_text").try_cast("double")
     rows = long.join(state.where("problem is null").select("display", "column"), "column").select(
-        "display", F.substring("period_text", 1, 10).try_cast("date").alias("period"), (F.when(v != 0, v) if zero_is_missing else v).alias("value"))
+        "display", F.trim("period_text").try_cast("date").alias("period"), (F.when(v != 0, v) if zero_is_missing else v).alias("value"))
     return rows.where("value is not null"), state.where("problem is not null").select("display", "problem")
 
 
