@@ -54,6 +54,9 @@ def advance(memory: dict, point: tuple, areas: dict) -> tuple[dict, list[tuple]]
     return {"last": [stamp, lat, lon], "sides": sides, "waiting": waiting}, events
 
 
+QUIET_MS = 1800 * 1000  # fixed value: the longest pause between two reports of one passage
+
+
 class EntryDetector:
     """Entries per vessel; reports wait until the watermark passes them, so order does not matter.
 
@@ -83,9 +86,14 @@ class EntryDetector:
                 continue
             memory, events = advance(memory, (micros, lat, lon, source), self._areas)
             out += [(key[0], area, entered, before, confirmed, src) for area, entered, before, confirmed, src in events]
-        state.update((json.dumps({"memory": memory, "waiting": waiting}),))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(waiting) // 1000, mark) + 1)
+        # A report more than half an hour after the last one starts afresh, so a quiet vessel needs no state.
+        ends = (memory["last"][0] // 1000 + QUIET_MS) if memory.get("last") else 0
+        if not waiting and mark > ends:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps({"memory": memory, "waiting": waiting}),))
+            state.setTimeoutTimestamp(max(min(waiting) // 1000 if waiting else ends, mark) + 1)
         if out:
             pdf = pd.DataFrame(out, columns=["mmsi", "area", "entered", "before", "confirmed", "source"])
             for c in ("entered", "before", "confirmed"):
