@@ -273,18 +273,24 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of decoded rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown_ids = None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                n, named, shown = [], [], []
-                for ids, body in zip(batch.column("ids"), batch.column("decoded"), strict=True):
-                    flat = ids.values.to_numpy()
-                    n.append(len(flat))
-                    named.append(hashlib.sha256(" ".join(map(str, flat.tolist())).encode()).hexdigest())
-                    shown.append(hashlib.sha256(body.as_buffer()).hexdigest())
-                out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(named), "decoded_sha256": pa.array(shown)}
+                ids = batch.column("ids")
+                flat = ids.flatten().to_numpy()
+                top = int(flat.max()) + 1 if len(flat) else 0
+                if shown_ids is None or len(shown_ids) < top:
+                    shown_ids = pa.array([b"%d " % i for i in range(max(top, 1))], pa.large_binary())
+                body, offsets = _joined(shown_ids, flat)
+                n = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
+                ends = np.cumsum(n)
+                # The last id of a row is shown without its blank.
+                named = [hashlib.sha256(body[offsets[e - k] : offsets[e] - 1] if k else b"").hexdigest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                shown = [hashlib.sha256(d.as_buffer()).hexdigest() for d in batch.column("decoded")]
+                out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "ids_sha256": pa.array(named, pa.string()), "decoded_sha256": pa.array(shown, pa.string())}
                 if keep_ids:
-                    out["ids"] = batch.column("ids")
+                    out["ids"] = ids
                 yield pa.record_batch(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
