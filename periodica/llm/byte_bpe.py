@@ -41,6 +41,8 @@ BLOCK_BYTES = 12 << 20
 MOST_VOCABULARY_BYTES = 64 << 20
 
 SPACE_THEN_BLANK = re.compile(r"\s ")
+#: White space of ASCII before a blank, as ``re`` sees it.
+ASCII_PAIRS = [bytes([c, 0x20]) for c in (0x20, *range(0x09, 0x0E), *range(0x1C, 0x20))]
 WORD_END = re.compile(r"(?<=\S)(?= )")
 
 
@@ -68,24 +70,27 @@ class Splitter:
         self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
 
     def split(self, text: str) -> np.ndarray:
-        if SPACE_THEN_BLANK.search(text):
+        body = text.encode()
+        doubled = any(pair in body for pair in ASCII_PAIRS) or (not text.isascii() and SPACE_THEN_BLANK.search(text))
+        if doubled:
             return np.frombuffer(b"".join([self.first[p.encode()] for p in WORD_END.split(text)]), dtype="<u4")
-        head, *rest = text.encode().split(b" ")
+        head, *rest = body.split(b" ")
         return np.frombuffer(self.first[head] + b"".join(map(self.later.__getitem__, rest)), dtype="<u4")
 
 
 class _Pieces(dict):
     def __init__(self, owner: Splitter, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.mark = owner, lead, lead.encode()
 
     def __missing__(self, piece: bytes) -> bytes:
         codes = self.owner.codes
         if piece.isalpha():  # ASCII letters only: one match
-            found = [codes.setdefault(self.lead.encode() + piece, len(codes))]
+            value = codes.setdefault(self.mark + piece, len(codes)).to_bytes(4, "little")
         else:
-            found = [codes.setdefault(m.encode(), len(codes)) for m in self.owner.pattern.findall(self.lead + piece.decode())]
-        value = self[piece] = np.array(found, dtype="<u4").tobytes()
+            found = self.owner.pattern.findall(self.lead + piece.decode())
+            value = b"".join([codes.setdefault(m.encode(), len(codes)).to_bytes(4, "little") for m in found])
+        self[piece] = value
         return value
 
 
