@@ -169,9 +169,15 @@ def _(t):
                                       r6(min_max_index(v, F.min(v).over(w), F.max(v).over(w)), 5).alias("scaled"))
 
 
-@query("c19_content_signature", None)
+_LINE = ("l_discount", "l_extendedprice", "l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate", "l_suppkey", "l_tax")
+_MONEY = ("l_discount", "l_extendedprice", "l_quantity", "l_tax")
+
+
+@query("c19_content_signature", "with h as (select ('0x' || md5(concat_ws('|', " + ", ".join(f"coalesce('=' || {x}::{'decimal(18,4)' if x in _MONEY else 'date' if x == 'l_shipdate' else 'varchar'}::varchar, '')" for x in _LINE) + """))[1:15])::bigint as h from lineitem)
+select count(*) as rows, sum(h)::decimal(38,0) as hash_sum, bit_xor(h) as hash_xor from h""")
 def _(t):
-    return signature(t.lineitem)
+    kind = lambda x: F.col(x).cast("decimal(18,4)" if x in _MONEY else "date" if x == "l_shipdate" else "string")
+    return signature(t.lineitem.select(*[kind(x).alias(x) for x in _LINE]))
 
 
 @query("c20_train_standardise", ctes("customer_month") + f"""

@@ -56,12 +56,15 @@ def _(t):
     return spairs.kl_divergence(spairs.shared_histogram(v, spairs.PAIR), spairs.PAIR).withColumn("kl", r6("kl"))
 
 
-@query("n03_lead_lag_scan", ctes("customer_month") + _PAIRS + """
+_LAGS = ctes("customer_month") + _PAIRS + """
 , u as (select target, candidate, ts, max(x) as x, max(y) as y from (select target, candidate, ts, value as x, null::double as y from p join s on n = target
   union all select target, candidate, ts, null, value from p join s on n = candidate) group by 1, 2, 3),
 z as (select target, candidate, row_number() over (partition by target, candidate order by ts) as i, count(*) over (partition by target, candidate) as n, x, y from u),
 lg as (select unnest(generate_series(-6, 6))::int as lag),
-v as (select a.target, a.candidate, lag, a.x as x, b.y as y from z a cross join lg join z b on b.target = a.target and b.candidate = a.candidate and b.i = a.i - lag where a.x is not null and b.y is not null and abs(lag) < a.n)""" + _kl_sql("target, candidate, lag") + f"""
+v as (select a.target, a.candidate, lag, a.x as x, b.y as y from z a cross join lg join z b on b.target = a.target and b.candidate = a.candidate and b.i = a.i - lag where a.x is not null and b.y is not null and abs(lag) < a.n)""" + _kl_sql("target, candidate, lag")
+
+
+@query("n03_lead_lag_scan", _LAGS + f"""
 select target, candidate, lag, samples, {q6('kl')} as kl from kl""")
 def _(t):
     s, p = customer_pairs(t)
@@ -69,10 +72,11 @@ def _(t):
     return scan.withColumn("kl", r6("kl"))
 
 
-@query("n03_best_lag", None)
+@query("n03_best_lag", _LAGS + f"""
+select target, candidate, arg_min(lag, (kl, lag)) as lag, {q6('min(kl)')} as kl from kl where abs(lag) <= 5 group by 1, 2""")
 def _(t):
     s, p = customer_pairs(t)
-    _scan, best = spairs.lead_lag_scan(s, p, 6)
+    _scan, best = spairs.lead_lag_scan(s, p, 6, standardise=False)
     return best.withColumn("kl", r6("kl"))
 
 

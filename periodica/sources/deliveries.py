@@ -53,16 +53,18 @@ def verified_history(stored: DataFrame) -> DataFrame:
 
 def content_version(df: DataFrame) -> str:
     """Order-free signature of schema and rows; one aggregated row reaches the driver."""
-    cols = sorted(df.columns)
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).cast("decimal(38,0)")
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in cols])).alias("x")).first()
+    row = signature(df).first()
     names = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
-    return hashlib.sha256(f"{names}|{row['n']}|{row['s']}|{row['x']}".encode()).hexdigest()[:32]
+    return hashlib.sha256(f"{names}|{row['rows']}|{row['hash_sum']}|{row['hash_xor']}".encode()).hexdigest()[:32]
 
 
 def signature(df: DataFrame) -> DataFrame:
-    """The same signature parts as a one-row frame."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    """The parts of the signature as a one-row frame: sixty bits of each row's md5, summed and combined.
+
+    Columns are taken in the order of their names, as text; a null is an empty text behind a mark.
+    """
+    text = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in sorted(df.columns)]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
 
 
