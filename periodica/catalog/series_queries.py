@@ -20,12 +20,12 @@ SERIES = lambda df: df.select(F.col("indicator").alias("series"), F.col("period"
 
 def flag_pairs(t):
     s = SERIES(c.flag_day(t))
-    return s, spairs.all_pairs(s)
+    return s, spairs.target_pairs(s, "AF")
 
 
 _FLAG_PAIRS = """
 , s as (select indicator as n, period as ts, value from flag_day),
-p as (select a.n as target, b.n as candidate from (select distinct n from s) a join (select distinct n from s) b on a.n < b.n)"""
+p as (select a.n as target, b.n as candidate from (select distinct n from s) a join (select distinct n from s) b on a.n = 'AF' and b.n <> a.n)"""
 
 
 def _kl_sql(keys: str) -> str:

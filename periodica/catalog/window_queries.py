@@ -174,13 +174,13 @@ def _(t):
   count(*) over (partition by indicator) as n from priority_month),
 l as (select unnest(generate_series(-6, 6))::int as lag)
 select a.indicator as target, b.indicator as candidate, lag, count(*) as pairs, {q6('corr(a.value, b.value)')} as correlation
-from i a cross join l join i b on a.indicator < b.indicator and b.i = a.i - lag
-where abs(lag) < least(a.n, b.n) group by 1, 2, 3""")
+from i a cross join l join i b on b.indicator <> a.indicator and b.i = a.i - lag
+where a.indicator = '1-URGENT' and abs(lag) < least(a.n, b.n) group by 1, 2, 3""")
 def _(t):
-    from periodica.plans.series_pairs import all_pairs, lagged_pairs
+    from periodica.plans.series_pairs import lagged_pairs, target_pairs
 
     m = c.priority_month(t).select(F.col("indicator").alias("series"), F.col("period").alias("ts"), "value")
-    both = lagged_pairs(m, all_pairs(m), 6)
+    both = lagged_pairs(m, target_pairs(m, "1-URGENT"), 6)
     return both.groupBy("target", "candidate", "lag").agg(
         F.count(F.lit(1)).alias("pairs"), r6(F.corr("x", "y")).alias("correlation"))
 

@@ -100,7 +100,10 @@ def last_sample_stock(df: DataFrame, unit: str, minutes: int = 120) -> DataFrame
     keep = anchor.withColumn("bucket", cal.bucket_start("day", unit)).groupBy("bucket").agg(
         F.max("day").alias("day"), F.max_by("anchor", "day").alias("anchor")
     )
-    fresh = rows.join(keep, "day").where(F.col("observed") >= F.col("anchor") - F.expr(f"interval {minutes} minutes"))
+    # Only the hours of a sample meet it; the other reports of a day find no partner and go no further.
+    since = F.greatest(F.col("anchor") - F.expr(f"interval {minutes} minutes"), F.col("day").cast("timestamp"))
+    hours = keep.withColumn("since", since).withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "since"), F.date_trunc("hour", "anchor"), F.expr("interval 1 hour")))).drop("day")
+    fresh = rows.withColumn("hour", F.date_trunc("hour", "observed")).join(hours, "hour").where(F.col("observed") >= F.col("since"))
     last = fresh.groupBy("bucket", "anchor", "mmsi").agg(F.max_by("region", F.struct("observed", "event_id")).alias("region"))
     return last.groupBy("bucket", F.col("anchor").alias("sample_at"), "region").agg(F.count(F.lit(1)).alias("vessels"))
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions import calendar as cal
-from periodica.operators import chunked
 from periodica.session import cut_lineage
 
 
@@ -64,18 +63,21 @@ def weight_for_year(df: DataFrame, weights: DataFrame, key: str, period: str) ->
 
 
 def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, name: str) -> DataFrame:
-    """Last right value at or before each left time, by one union and one ordered pass.
+    """Last right value at or before each left time.
 
-    Long keys are walked in yearly chunks.
+    ``right`` holds one row per key and time, few beside ``left``. Each row is valid
+    until the next; validity meets the left rows on the key and the month, so
+    left rows are neither sorted nor gathered by key.
     """
-    extra = [c for c in left.columns if c not in keys and c != left_at]
-    l = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*extra).alias("_row") if extra else F.lit(True).alias("_row"),
-                    F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    r = right.where(F.col(value).isNotNull()).select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"),
-                     F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    both = l.unionByName(r).withColumn("_chunk", F.year("_at"))
-    out = chunked.last_before(both, keys, "_chunk", ["_at", "_side"], F.col("_v"), name).where("_side = 1")
-    return out.select(*keys, F.col("_at").alias(left_at), *[F.col(f"_row.{c}").alias(c) for c in extra], name)
+    month = lambda at: F.trunc(at, "MM")
+    last = left.agg(F.max(left_at).alias("m")).scalar()
+    r = right.where(F.col(value).isNotNull()).select(*keys, F.col(right_at).alias("_from"), F.col(value).alias(name))
+    r = r.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from")))
+    end = F.greatest(month(F.col("_from")), month(F.coalesce(F.col("_to"), last)))
+    r = r.withColumn("_month", F.explode(F.sequence(month(F.col("_from")), end, F.expr("interval 1 month"))))
+    l = left.withColumn("_month", month(F.col(left_at)))
+    meets = [l[k].eqNullSafe(r[k]) for k in [*keys, "_month"]] + [l[left_at] >= r["_from"], r["_to"].isNull() | (l[left_at] < r["_to"])]
+    return l.join(r, meets, "left").select(*[l[c] for c in left.columns], name)
 
 
 def nearest_day(days: DataFrame, day: str, selected: Column) -> DataFrame:

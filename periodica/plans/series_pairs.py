@@ -23,16 +23,10 @@ def indexed(series: DataFrame) -> DataFrame:
     )
 
 
-def all_pairs(series: DataFrame) -> DataFrame:
-    """Every unordered pair of series names, by rank and an equality join.
-
-    For a chosen set of series; the result grows with its square.
-    """
-    names = series.select("series").distinct()
-    top = names.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = names.withColumn("r", F.row_number().over(Window.orderBy("series")))  # one row per name
-    left = ranked.where(F.col("r") < top).select(F.col("series").alias("target"), F.explode(F.sequence(F.col("r") + 1, top.cast("int"))).alias("r"))
-    return left.join(ranked.withColumnRenamed("series", "candidate"), "r").select("target", "candidate")
+def target_pairs(series: DataFrame, target: str) -> DataFrame:
+    """The target beside every other series, one row each."""
+    names = series.select("series").where(F.col("series") != target).distinct()
+    return names.select(F.lit(target).alias("target"), F.col("series").alias("candidate"))
 
 
 def lagged_pairs(series: DataFrame, pairs: DataFrame, max_lag: int) -> DataFrame:
