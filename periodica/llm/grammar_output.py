@@ -24,6 +24,7 @@ No rows give no shards. Other columns are not carried.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,28 +41,95 @@ MAGIC = b"RPG1"
 #: Tokens after which a shard is closed; a longer document is one shard.
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced where it stands this often at least.
-LEAST_COUNT = 6
+LEAST_COUNT = 24
+#: Passes over a shard; each takes all pairs that cannot overlap, and the first ones find most of what there is.
+PASSES = 6
 SYMBOLS = 1 << 16
 MOST_TOKENIZER_BYTES = 64 << 20
 
 
+#: Letters below U+0180 whose lower case stands alone, then the end or an ASCII character that is no letter.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)(?:$|(?=[\x00-\x40\x5b-\x60\x7b-\x7f]))")
+
+
+def byte_letters() -> dict[int, str]:
+    """Printable stand-ins of the 256 bytes: themselves, or the next free letters from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 class PieceIds(dict):
-    """Ids of blank-separated pieces as bytes; forgets all when full."""
+    """Ids of blank-separated pieces as bytes; forgets all when full.
+
+    A piece is encoded by the library. One that starts with a plain word, as most
+    do, takes the word and the rest apart, since the tokenizer's pattern ends a
+    match there; the library's model then encodes the word alone.
+    """
 
-    def __init__(self, tokenizer, most: int = 500_000):
+    def __init__(self, tokenizer, most: int = 300_000):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.most, self.model = tokenizer, most, tokenizer.model
+        self.letters, self.words, self.rests = byte_letters(), {}, {}
+        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        new = list({p for text in texts for p in text if p not in self})
-        if len(self) + len(new) > self.most:
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            new = list({p for text in texts for p in text})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, text)), dtype="<u4") for text in texts]
+        if piece.isalpha():
+            value = self[piece] = self._word(piece.lower().decode())
+            return value
+        text = piece.decode()
+        found = WORD.match(text)
+        if found:
+            end = found.end()
+            value = self._word(text[:end].lower())
+            if end < len(text):
+                value += self._rest(text[end:])
+        else:
+            value = self._library(text)
+        self[piece] = value
+        return value
+
+    def _word(self, word: str) -> bytes:
+        value = self.words.get(word)
+        if value is None:
+            if len(self.words) >= self.most:
+                self.words.clear()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            value = self.words[word] = b"".join([self.ids[t.id] for t in self.model.tokenize(shown)])
+        return value
+
+    def _rest(self, rest: str) -> bytes:
+        value = self.rests.get(rest)
+        if value is None:
+            if len(self.rests) >= self.most:
+                self.rests.clear()
+            value = self.rests[rest] = self._library(rest)
+        return value
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join([self[p] for p in text]), dtype="<u4") for text in texts]
+
+
+def _places(seq: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted pairs ``wanted`` stand in ``seq``, and which pair each is."""
+    left, lefts = np.unique(wanted >> np.uint32(16), return_inverse=True)
+    right, rights = np.unique(wanted & np.uint32(0xFFFF), return_inverse=True)
+    if len(left) * len(right) > 1 << 22:  # too wide for a table: search
+        slot = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        at = np.flatnonzero(wanted[slot] == keys)
+        return at, slot[at]
+    table = np.full((len(left) + 1, len(right) + 1), -1, dtype=np.int32)
+    table[lefts + 1, rights + 1] = np.arange(len(wanted))
+    row, column = np.zeros(SYMBOLS, dtype=np.int32), np.zeros(SYMBOLS, dtype=np.int32)
+    row[left], column[right] = np.arange(1, len(left) + 1) * (len(right) + 1), np.arange(1, len(right) + 1)
+    found = table.ravel()[row[seq[:-1]] + column[seq[1:]]]
+    at = np.flatnonzero(found >= 0)
+    return at, found[at]
 
 
 def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +141,9 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
     """
     seq = ids.astype(np.uint32)
     lefts, rights, free = [], [], first_free
-    while len(seq) > 1 and free < SYMBOLS:
+    for _ in range(PASSES):
+        if len(seq) < 2 or free >= SYMBOLS:
+            break
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
         found, counts = np.unique(keys, return_counts=True)
         often = np.flatnonzero(counts >= LEAST_COUNT)
@@ -96,12 +166,7 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
         lefts.append(wanted >> np.uint32(16))
         rights.append(wanted & np.uint32(0xFFFF))
         free += len(wanted)
-        able = np.zeros(SYMBOLS, dtype=bool)
-        able[lefts[-1]] = True
-        at = np.flatnonzero(able[seq[:-1]])
-        slot = np.minimum(np.searchsorted(wanted, keys[at]), len(wanted) - 1)
-        hit = wanted[slot] == keys[at]
-        at, slot = at[hit], slot[hit]
+        at, slot = _places(seq, keys, wanted)
         twin = seq[at] == seq[at + 1]
         if twin.any():
             change = np.concatenate([[True], seq[1:] != seq[:-1]])
