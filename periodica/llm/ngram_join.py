@@ -274,14 +274,22 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     def join(group: list[dict]) -> Iterator[tuple[int, int]]:
         for r in group:
             r["point"] = _point(r["point"])
-        width = min(len(r["point"]) for r in group)
-        sides = [[r for r in group if r["side"] == s] for s in (0, 1)]
-        own = not sides[1]
-        sides[1] = sides[1] or sides[0]
-        trees = [CountTree(np.array([r["n"] for r in s]), _fold([r["point"] for r in s], width)) for s in sides]
+        by_width: list[dict[int, list[dict]]] = [{}, {}]
+        for r in group:
+            by_width[r["side"]].setdefault(len(r["point"]), []).append(r)
+        own = not by_width[1]
+        left, right = by_width[0], by_width[0] if own else by_width[1]
+        # Sets that can link have points of equal width, or one is twice as wide and is folded.
+        for wide, rows in left.items():
+            for other in (wide // 2, wide, wide * 2):
+                if other in right and not (own and other < wide):
+                    yield from _meet(rows, right[other], min(wide, other), own and other == wide)
+
+    def _meet(rows: list[dict], others: list[dict], width: int, own: bool) -> Iterator[tuple[int, int]]:
+        trees = [CountTree(np.array([r["n"] for r in s]), _fold([r["point"] for r in s], width)) for s in (rows, others)]
         for x, y in trees[0].candidates(trees[1], percent):
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = sides[0][i], sides[1][j]
+                a, b = rows[i], others[j]
                 if a["comp"] != b["comp"] and (not own or a["c"] < b["c"]):
                     yield min(a["c"], b["c"]), max(a["c"], b["c"])
 
