@@ -194,24 +194,31 @@ def _(t):
 
 
 @query("s13_archived_reports", ctes("reports") + """
-select mmsi, observed, event_id % 5 <> 0 as moving, source from reports where user_id % 17 <> 0 and observed <= timestamp '2024-01-25 00:05:00' and event_id % 9 <> 0""")
+select mmsi, observed, event_id % 5 <> 0 as moving, source, case event_id % 4 when 0 then 'tanker' when 1 then 'cargo' when 2 then 'tug' else 'unknown' end as category
+from reports where user_id % 17 <> 0 and observed <= timestamp '2024-01-25 00:05:00' and event_id % 9 <> 0 and event_id % 22 <> 0""")
 def _(t):
     r = c.reports(t).select(
-        F.when(F.col("user_id") % 17 != 0, F.col("mmsi")).alias("MMSI"), F.date_format("observed", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("AIS报告时间 UTC"), (F.col("lat") + 2).cast("string").alias("纬度"), F.col("lon").cast("string").alias("lon"),
-        F.when(F.col("event_id") % 5 != 0, "12.5").otherwise("0.1").alias("航速 节"), F.when(F.col("event_id") % 9 != 0, F.col("source")).otherwise(" ").alias("数据源"))
+        F.when(F.col("user_id") % 17 != 0, F.col("mmsi")).alias("MMSI"), F.date_format("observed", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("received_at"), F.when(F.col("event_id") % 11 != 0, F.date_format("observed", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("AIS报告时间 UTC"), (F.col("lat") + 2).cast("string").alias("纬度"), F.col("lon").cast("string").alias("lon"),
+        F.when(F.col("event_id") % 5 != 0, "12.5").otherwise("0.1").alias("航速 节"), F.when(F.col("event_id") % 9 != 0, F.col("source")).otherwise(" ").alias("数据源"),
+        F.when(F.col("event_id") % 22 == 0, "live").alias("data_source"), F.when(F.col("event_id") % 4 == 2, "tug").alias("category"),
+        F.when(F.col("event_id") % 4 == 0, "油轮/液货船").when(F.col("event_id") % 4 == 1, "货船").otherwise("潜艇").alias("船型"))
     good, _bad = ps.normalise_reports(r, TS("2024-01-25 00:00:00"))
-    return good.select("mmsi", "observed", "moving", "source")
+    return good.select("mmsi", "observed", "moving", "source", "category")
 
 
 @query("s14_track_points", ctes("reports") + f"""
-select mmsi, observed, {q6('lat')} as lat, lon from reports where observed::date = date '2024-01-07'""")
+select mmsi, observed, {q6('lat + 2')} as lat, lon from reports where observed::date = date '2024-01-07' and event_id % 6 <> 0""")
 def _(t):
     # A track document holds one vessel's points of one block of 1000 event numbers, so it stays small.
     r = c.reports(t).withColumn("h", F.floor(F.col("event_id") / 1000))
-    d = r.groupBy("mmsi", "h").agg(F.array_sort(F.collect_list(F.struct("observed", "lon", "lat", "event_id"))).alias("p"))
-    j = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.transform("p", lambda x: F.array(x["lon"], x["lat"])).alias("coordinates")).alias("geometry"),
-                           F.struct("mmsi", F.transform("p", lambda x: F.date_format(x["observed"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("times")).alias("properties")))
-    out = ps.explode_tracks(d.select(j.alias("j")), "j", F.lit("2024-01-07").cast("date"))
+    d = r.groupBy("mmsi", "h").agg(F.array_sort(F.collect_list(F.struct("observed", "lon", (F.col("lat") + F.when(F.col("event_id") % 6 == 0, 60).otherwise(2)).alias("lat"), "event_id"))).alias("p"))
+    # A track of one point is written as a point.
+    first = F.get("p", F.lit(0))
+    point = F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(F.array(first["lon"], first["lat"])), F.lit("}"))
+    line = F.concat(F.lit('{"type":"LineString","coordinates":'), F.to_json(F.transform("p", lambda x: F.array(x["lon"], x["lat"]))), F.lit("}"))
+    props = F.to_json(F.struct("mmsi", F.transform("p", lambda x: F.date_format(x["observed"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("times")))
+    j = F.concat(F.lit('{"type":"Feature","geometry":'), F.when(F.size("p") == 1, point).otherwise(line), F.lit(',"properties":'), props, F.lit("}"))
+    out = ps.explode_tracks(d.select(j.alias("j"), "mmsi"), "j", F.lit("2024-01-07").cast("date"), F.col("mmsi"))
     return out.select("mmsi", "observed", r6("lat").alias("lat"), "lon")
 
 

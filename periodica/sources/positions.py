@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from periodica.functions.geo import region_of, valid_coordinate
 from periodica.functions.text import parse_utc
 from periodica.operators.filters import ship_class
-from periodica.operators.quality import quarantine
+from periodica.operators.quality import quarantine, require
 
 # fixed values: message types
 POSITION_TYPES = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport", "LongRangeAisBroadcastMessage")
@@ -24,6 +24,10 @@ COLLECTION_BOXES = [
     ("红海北段", 20.3, 28.4396, 33.3393, 43.8056), ("红海南段", 12.1562, 20.3, 33.3393, 43.8056), ("红海北部两湾", 28.1396, 30.5, 32.0, 35.8),
     ("苏伊士运河", 29.4, 31.6, 31.7, 33.5), ("曼德海峡", 11.0, 15.4, 42.0, 45.7),
 ]
+# fixed values: vessel classes and their labels
+CLASS_LABELS = {
+    "tanker": "油轮/液货船", "cargo": "货船", "passenger": "客船", "fishing": "渔船", "tug": "拖轮/作业船", "pleasure": "帆船/游艇", "other": "其他船舶", "unknown": "船型待识别",
+}
 ID_LOW, ID_HIGH = 100000000, 999999999
 
 
@@ -100,21 +104,32 @@ def normalise_messages(df: DataFrame, content: str, received: str) -> tuple[Data
     return out, bad.drop("_kind", "_meta", "_payload", "_a", "_b")
 
 
-# aliases of the archived report columns, first present wins
+# fixed values: aliases of the archived report columns, first present wins
 REPORT_ALIASES = {
     "mmsi": ("mmsi", "MMSI"), "observed": ("observed_at", "AIS报告时间 UTC"), "received": ("received_at", "采集器接收时间 UTC"), "lat": ("lat", "纬度"), "lon": ("lon", "经度"),
-    "sog": ("sog", "航速 节"), "course": ("course", "航向 °"), "source": ("source", "data_source", "数据源"), "name": ("name", "船名"), "category": ("category", "船型"), "destination": ("destination", "目的地"),
+    "sog": ("sog", "航速 节"), "course": ("course", "航向 °"), "source": ("source", "data_source", "数据源"), "name": ("name", "船名"), "category": ("category",), "label": ("船型",), "live": ("data_source",), "destination": ("destination", "目的地"),
 }
 
 
+def known_class(category: Column, label: Column) -> Column:
+    """Vessel class from its name, or else from its label; any other is unknown."""
+    names = F.create_map(*[F.lit(x) for kv in CLASS_LABELS.items() for x in kv[::-1]])
+    found = F.coalesce(F.nullif(category, F.lit("")), F.try_element_at(names, label))
+    return F.when(found.isin(*CLASS_LABELS), found).otherwise("unknown")
+
+
 def normalise_reports(df: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Archived reports with aliased columns, and the rejected ones with reasons."""
+    """Archived reports with aliased columns, and the rejected ones with reasons.
+
+    A historic import names no data source; where it has no report time the time
+    of receipt stands in. Live rows must have their own.
+    """
     have = set(df.columns)
     pick = lambda n: F.coalesce(*[F.col(f"`{c}`").cast("string") for c in REPORT_ALIASES[n] if c in have], F.lit(None).cast("string"))
     r = df.select(*[pick(n).alias(n) for n in REPORT_ALIASES])
-    r = r.select(F.col("mmsi").try_cast("long").alias("mmsi"), parse_utc("observed").alias("observed"), parse_utc("received").alias("received"), F.col("lat").try_cast("double").alias("lat"),
+    r = r.select(F.col("mmsi").try_cast("long").alias("mmsi"), F.coalesce(parse_utc("observed"), F.when(F.coalesce(F.col("live"), F.lit("")) == "", parse_utc("received"))).alias("observed"), parse_utc("received").alias("received"), F.col("lat").try_cast("double").alias("lat"),
                  F.col("lon").try_cast("double").alias("lon"), usable(F.col("sog"), 102.3).alias("sog"), usable(F.col("course"), 360.0).alias("course"), F.when(F.trim("source") != "", F.col("source")).alias("source"),
-                 "name", F.coalesce("category", F.lit("unknown")).alias("category"), "destination")
+                 "name", known_class(F.col("category"), F.col("label")).alias("category"), "destination")
     inside = region_of(F.col("lat"), F.col("lon"), COLLECTION_BOXES).isNotNull()
     good, bad = quarantine(r, [
         (~valid_id(F.col("mmsi")), "invalid_id"), (F.col("observed").isNull() | (F.col("observed") > now + F.expr("interval 5 minutes")), "bad_time"),
@@ -123,17 +138,27 @@ def normalise_reports(df: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]
         "moving", F.coalesce(F.col("sog"), F.lit(0.0)) >= 0.5), bad
 
 
-def explode_tracks(df: DataFrame, content: str, day: Column) -> DataFrame:
-    """Aligned coordinate and time arrays to one row per point of the requested day."""
-    doc = df.select(F.from_json(content, "type string, geometry struct<type string, coordinates array<array<double>>>, properties struct<mmsi string, times array<string>, sog array<double>, cog array<double>, heading array<double>>").alias("f"))
-    ok = (F.col("f.type") == "Feature") & (F.size("f.geometry.coordinates") == F.size("f.properties.times"))
+def explode_tracks(df: DataFrame, content: str, day: Column, expected: Column | None = None) -> DataFrame:
+    """Aligned coordinate and time arrays to one row per point of the requested day.
+
+    Lines and single points are read. Points outside the collection area are left
+    out; a track of another vessel than ``expected`` fails the job.
+    """
+    doc = df.select(*([expected.cast("string").alias("expected")] if expected is not None else []), F.from_json(content, "type string, geometry struct<type string, coordinates string>, properties struct<mmsi string, times array<string>, sog array<double>, cog array<double>, heading array<double>>").alias("f"))
+    if expected is not None:
+        require(doc.where(~F.col("f.properties.mmsi").eqNullSafe(F.col("expected"))), "track of another vessel")
+    text, shape = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    places = F.when(shape == "LineString", F.from_json(text, "array<array<double>>")).when(shape == "Point", F.array(F.from_json(text, "array<double>")))
+    doc = doc.withColumn("places", places)
+    ok = (F.col("f.type") == "Feature") & (F.size("places") == F.size("f.properties.times"))
     series = lambda name: F.coalesce(F.col(f"f.properties.{name}"), F.array().cast("array<double>"))
-    z = F.arrays_zip(F.col("f.geometry.coordinates").alias("c"), F.col("f.properties.times").alias("t"), series("sog").alias("s"), series("cog").alias("g"), series("heading").alias("h"))
+    z = F.arrays_zip(F.col("places").alias("c"), F.col("f.properties.times").alias("t"), series("sog").alias("s"), series("cog").alias("g"), series("heading").alias("h"))
     rows = doc.where(ok).select(F.col("f.properties.mmsi").alias("mmsi"), F.posexplode(z).alias("point_no", "p"))
     observed = parse_utc(F.col("p.t"))
+    lat, lon = F.try_element_at("p.c", F.lit(2)), F.try_element_at("p.c", F.lit(1))
     return rows.select(
-        "mmsi", "point_no", observed.alias("observed"), F.col("p.c")[1].alias("lat"), F.col("p.c")[0].alias("lon"), usable(F.col("p.s"), 102.3).alias("sog"),
-        F.coalesce(usable(F.col("p.h"), 360.0), F.col("p.g")).alias("course")).where(F.to_date("observed") == day)
+        "mmsi", "point_no", observed.alias("observed"), lat.alias("lat"), lon.alias("lon"), usable(F.col("p.s"), 102.3).alias("sog"),
+        F.coalesce(usable(F.col("p.h"), 360.0), F.col("p.g")).alias("course")).where((F.to_date("observed") == day) & valid_coordinate(F.col("lat"), F.col("lon")) & region_of(F.col("lat"), F.col("lon"), COLLECTION_BOXES).isNotNull())
 
 
 def feature_positions(df: DataFrame, content: str, received: str) -> DataFrame:
