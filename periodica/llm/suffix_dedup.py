@@ -274,9 +274,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             asked = [_unpack(r["body"]) for r in rows]
             keys = [np.cumsum(steps.view(np.uint64)) for steps, _ in asked]
             found, counts = np.unique(np.concatenate(keys), return_counts=True)
-            shared = found[counts > 1]
             for r, k, (_, often) in zip(rows, keys, asked, strict=True):
-                yes = (often > 0) | np.isin(k, shared, assume_unique=True)
+                yes = (often > 0) | (counts[np.searchsorted(found, k)] > 1)
                 yield _row(key=r["key"], part=shard, body=np.packbits(yes).tobytes(), more=len(yes).to_bytes(8, "little"), docs=None)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +300,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             distinct = np.unique(np.concatenate([a[0] for _, _, a in found])) if found else np.empty(0, dtype=np.uint64)
             if len(distinct) != len(known):
                 raise RuntimeError("a block changed between two readings; write the documents first")
-            shared, first, here, sent = distinct[known], {}, [], []
+            first, here, sent = {}, [], []
             place = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
             rank = {k: r for r, k in enumerate(place)}
             for k, _, (keys, at, lo, hi) in sorted(found, key=lambda f: rank[f[0]]):
                 body = bodies[k]
-                for i in np.flatnonzero(np.isin(keys, shared)).tolist():
+                for i in np.flatnonzero(known[np.searchsorted(distinct, keys)]).tolist():
                     a, b = int(lo[i]), int(hi[i])
                     around = (body[a : b + length], int(at[i]) - a)
                     if around in first:
@@ -356,9 +355,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             rank[place] = np.arange(len(inst))
             marks = np.zeros(len(inst), dtype=bool)
             marks[order] = repeated(PrefixHashes(data, powers), (base[inst] + step)[order], segment[order], rank[order], length)
-            starts = lo[inst] + step
+            starts, ends = lo[inst] + step, np.searchsorted(owner[inst], np.arange(len(rows) + 1))
             for r in range(len(rows)):
-                mine = owner[inst] == r
+                mine = slice(ends[r], ends[r + 1])
                 yield _spans_row(rows[r]["key"], shard, starts[mine], marks[mine], inst[mine], k)
 
     def _spans_row(key: int, shard: int, starts: np.ndarray, marks: np.ndarray, inst: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
