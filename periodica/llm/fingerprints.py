@@ -93,9 +93,7 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     after = runs.withColumn("_then", F.lead("_run").over(Window.partitionBy("_far").orderBy("_run"))).join(far.select("_far", "_after"), "_far")
     after = after.select("_run", F.coalesce("_then", "_after").alias("_then"))
     # Only the last run has none after it: it meets the first.
-    tails = after.where("_then is not null").unionByName(
-        after.where("_then is null").select("_run").withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").select("_run", F.col("_first").alias("_then"))
-    )
+    tails = after.select("_run", F.coalesce(F.col("_then"), first.scalar()).alias("_then"))
     tails = tails.join(heads.withColumnRenamed("_run", "_then"), "_then").select(F.lit(None).cast("long").alias("doc_id"), "text", "_run", F.lit(1).alias("_end"))
     rows = with_sketch(base.withColumn("_end", F.lit(0)).unionByName(tails), "text", "sketch", k)
     w = Window.partitionBy("_run").orderBy("_end", F.col("doc_id").asc_nulls_first(), "text")
