@@ -101,17 +101,17 @@ def op9_suffix_dedup(spark, folder):
 
 
 SQL["op9_suffix_dedup"] = """
-with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
-s as (select doc_id, i, hex(b)[2 * i + 1 : 2 * i + 200] as g from t, unnest(range(0, octet_length(b) - 99)) as u(i)),
+with t as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select doc_id, i, substr(h, 2 * i + 1, 200) as g from t, unnest(range(0, n - 99)) as u(i)),
 r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from s),
-c as (select distinct doc_id, i + j as at from r, unnest(range(0, 100)) as u(j) where k > 1),
-n as (select doc_id, count(*) as n_removed, count(*) filter (where at <> before + 1 or before is null) as n_spans
-  from (select doc_id, at, lag(at) over (partition by doc_id order by at) as before from c) group by doc_id),
-kept as (select doc_id, string_agg(hex(b)[2 * i + 1 : 2 * i + 2], '' order by i) as h
-  from (select doc_id, b, unnest(range(0, octet_length(b))) as i from t) as p where not exists (select 1 from c where c.doc_id = p.doc_id and c.at = p.i) group by doc_id)
-select t.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
-  sha256(unhex(coalesce(h, ''))) as kept_sha256
-from t left join n using (doc_id) left join kept using (doc_id)
+c as (select distinct doc_id, i + j as pos from (select doc_id, i from r where k > 1) as x, unnest(range(0, 100)) as u(j)),
+m as (select doc_id, count(*) as n_removed, count(*) filter (where before is null or pos <> before + 1) as n_spans
+  from (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from c) as y group by doc_id),
+kept as (select p.doc_id, string_agg(substr(h, 2 * i + 1, 2), '' order by i) as h
+  from (select doc_id, h, unnest(range(0, n)) as i from t) as p anti join c on c.doc_id = p.doc_id and c.pos = p.i group by p.doc_id)
+select t.doc_id, t.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) as kept_sha256
+from t left join m using (doc_id) left join kept using (doc_id)
 """
 
 
