@@ -9,9 +9,10 @@ hashes of shingles.
    keys the rarest ``n - ceil(percent * n / 100) + 1`` of its ``n`` shingles, so
    linked classes share a key. Rarity comes from a fixed-size count sketch over
    all documents: it only settles the order of shingles, never which pairs count.
-2. Classes of one key form a bucket. Each class is first verified against the
-   bucket middle with which it shares most keys. That links most of a large
-   group of copies at a cost linear in its rows.
+2. Classes of one key form a bucket. The pivot of a bucket is the member whose
+   keys are shared most, as an original's are beside its edited copies. Each class
+   is first verified against the pivot with which it shares most keys. That links
+   most of a large group of copies at a cost linear in its rows.
 3. Buckets that still hold several groups are cut into leaves by size and salt;
    pairs of leaves are spread over tasks. In a task the shingles are hashed into
    coordinate groups, the group counts are points, and a packed R-tree over the
@@ -116,7 +117,7 @@ def _scramble(values: np.ndarray) -> np.ndarray:
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
-    """Members of buckets with two classes or more: bucket, c, n, middle, shared keys.
+    """Members of buckets with two classes or more: bucket, c, n, size, shared keys.
 
     Buckets with the same members count as one; ``bucket`` is a hash of the members.
     """
@@ -129,11 +130,9 @@ def buckets(sigs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
         length = np.diff(np.append(first, len(k)))
         mark = np.add.reduceat(_scramble(c), first).view(np.int64) if len(first) else first
-        middle = c[first + length // 2]
         keep = np.repeat(length >= 2, length)
         return pa.record_batch({
             "bucket": pa.array(np.repeat(mark, length)[keep], pa.int64()), "c": pa.array(c[keep], pa.int64()), "n": pa.array(n[keep], pa.int64()),
-            "middle": pa.array(np.repeat(middle, length)[keep], pa.int64()), "middle_n": pa.array(np.repeat(n[first + length // 2], length)[keep], pa.int64()),
             "size": pa.array(np.repeat(length, length)[keep], pa.int64()),
         })
 
@@ -147,8 +146,8 @@ def buckets(sigs: DataFrame) -> DataFrame:
             rest = [k[cut:], c[cut:], n[cut:]]
         yield found(*rest)
 
-    rows = keys.mapInArrow(run, "bucket long, c long, n long, middle long, middle_n long, size long")
-    return rows.groupBy("bucket", "c", "n", "middle", "middle_n", "size").agg(F.count("*").alias("shared"))
+    rows = keys.mapInArrow(run, "bucket long, c long, n long, size long")
+    return rows.groupBy("bucket", "c", "n", "size").agg(F.count("*").alias("shared"))
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -320,7 +319,6 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     levels = spark.sparkContext.broadcast(rarity_levels(texts.select("text"), words))
     sigs = cut_lineage(signatures(texts, levels, words, percent), "signatures")
     members = cut_lineage(buckets(sigs), "buckets")
-    fits = F.lit(100) * F.least("n", "middle_n") >= F.lit(percent) * F.greatest("n", "middle_n")
     classes = sigs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     points = sigs.where("point is not null").select("c", "point").dropDuplicates(["c"])
 
@@ -330,8 +328,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         sets = cut_lineage(class_sets(texts, used.join(classes, "c"), words), "sets")
         return cut_lineage(verified(pairs, sets, percent), "links")
 
-    star = members.where((F.col("c") != F.col("middle")) & fits).groupBy("c", "middle").agg(F.sum("shared").alias("shared"))
-    star = star.groupBy("c").agg(F.max_by("middle", F.struct("shared", "middle")).alias("b")).select(F.col("c").alias("a"), "b")
+    open_share = members.groupBy("c").agg((F.sum("shared") / F.max("n")).alias("open"))
+    pivots = members.join(open_share, "c").groupBy("bucket").agg(F.max_by(F.struct("c", "n"), F.struct("open", "c")).alias("p"))
+    star = members.join(pivots.select("bucket", F.col("p.c").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket")
+    fits = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
+    star = star.where((F.col("c") != F.col("pivot")) & fits).groupBy("c", "pivot").agg(F.sum("shared").alias("shared"))
+    star = star.groupBy("c").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b")).select(F.col("c").alias("a"), "b")
     links = linked(within_bound(star, points, percent))
     roots = cut_lineage(linked_groups(links), "roots")
 
