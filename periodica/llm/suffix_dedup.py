@@ -246,19 +246,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
     spark = docs.sparkSession
     texts = text_columns(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 4 * parts
+    shards = shards or 16 * parts
     edges = (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64)
 
     def block_anchors(bodies: list[bytes]):
         powers = Powers()
         for k, body in enumerate(bodies):
             if len(body) >= length:
-                h = PrefixHashes(np.frombuffer(body, dtype=np.uint8), powers)
-                yield k, h, anchors(h, length, gram)
+                yield k, anchors(PrefixHashes(np.frombuffer(body, dtype=np.uint8), powers), length, gram)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, bodies in _blocks(batches, block_bytes):
-            keys = [a[0] for _, _, a in block_anchors(bodies)]
+            keys = [a[0] for _, a in block_anchors(bodies)]
             if not keys:
                 continue
             found, counts = np.unique(np.concatenate(keys), return_counts=True)
@@ -297,13 +296,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             flags = [np.unpackbits(np.frombuffer(r["body"], dtype=np.uint8), count=int.from_bytes(r["more"], "little")) for r in asked.values()]
             known = np.concatenate(flags).astype(bool) if flags else np.empty(0, dtype=bool)
             found = list(block_anchors(bodies))
-            distinct = np.unique(np.concatenate([a[0] for _, _, a in found])) if found else np.empty(0, dtype=np.uint64)
+            distinct = np.unique(np.concatenate([a[0] for _, a in found])) if found else np.empty(0, dtype=np.uint64)
             if len(distinct) != len(known):
                 raise RuntimeError("a block changed between two readings; write the documents first")
             first, here, sent = {}, [], []
             place = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, k))
             rank = {k: r for r, k in enumerate(place)}
-            for k, _, (keys, at, lo, hi) in sorted(found, key=lambda f: rank[f[0]]):
+            for k, (keys, at, lo, hi) in sorted(found, key=lambda f: rank[f[0]]):
                 body = bodies[k]
                 for i in np.flatnonzero(known[np.searchsorted(distinct, keys)]).tolist():
                     a, b = int(lo[i]), int(hi[i])
@@ -348,13 +347,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             _, anchor = np.unique(keys.view(np.uint64), return_inverse=True)
             segment = anchor[inst] * length + (at - lo)[inst] - step
             order = np.argsort(segment, kind="stable")
-            twice = np.bincount(np.unique(segment, return_inverse=True)[1])
-            order = order[np.repeat(twice, twice) > 1]
-            place = np.lexsort((lo[inst] + step, k[inst], block[inst], doc_ids[inst]))
-            rank = np.empty(len(inst), dtype=np.int64)
-            rank[place] = np.arange(len(inst))
+            first = np.flatnonzero(np.concatenate([[True], segment[order][1:] != segment[order][:-1]]))
+            size = np.diff(np.append(first, len(order)))
+            order = order[np.repeat(size, size) > 1]  # a lone string is no repeat
+            who = inst[order]
+            place = np.lexsort((lo[who] + step[order], k[who], block[who], doc_ids[who]))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[place] = np.arange(len(order))
             marks = np.zeros(len(inst), dtype=bool)
-            marks[order] = repeated(PrefixHashes(data, powers), (base[inst] + step)[order], segment[order], rank[order], length)
+            marks[order] = repeated(PrefixHashes(data, powers), base[who] + step[order], segment[order], rank, length)
             starts, ends = lo[inst] + step, np.searchsorted(owner[inst], np.arange(len(rows) + 1))
             for r in range(len(rows)):
                 mine = slice(ends[r], ends[r + 1])
