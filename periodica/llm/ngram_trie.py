@@ -117,6 +117,10 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value that is not below each ``x`` (``n`` where there is none)."""
+        return self.find(x)[0]
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor's index of each ``x``, and whether the successor is ``x`` itself."""
         bucket = (x >> np.uint64(self.low_bits)).astype(np.int64)
         last = int(self.zeros[-1])
         edge = np.clip(np.concatenate([bucket - 1, bucket]), 0, last - 1)
@@ -124,11 +128,14 @@ class EliasFano:
         begin, end = np.where(bucket > 0, found[: len(x)], 0), found[len(x) :]
         begin = np.where(bucket > last, self.n, begin)
         end = np.where(bucket >= last, self.n, end)
-        low = x & np.uint64((1 << self.low_bits) - 1)
+        low, stop = x & np.uint64((1 << self.low_bits) - 1), end.copy()
         while True:
             live = np.flatnonzero(begin < end)
             if not len(live):
-                return begin
+                # Below ``stop`` the high bits are those of ``x``.
+                same = begin < stop
+                same[same] = self._low(begin[same]) == low[same]
+                return begin, same
             mid = (begin[live] + end[live]) >> 1
             below = self._low(mid) < low[live]
             begin[live], end[live] = np.where(below, mid + 1, begin[live]), np.where(below, end[live], mid)
@@ -180,10 +187,8 @@ class Trie:
         begin, end = self.pointers.get(node), self.pointers.get(node + 1)
         ask = np.flatnonzero(known[owner])
         want = (node[owner[ask]].astype(np.uint64) << np.uint64(ID_BITS)) | ids[ask]
-        at = self.successors.successor(want)
-        inside = (at >= begin[owner[ask]].astype(np.int64)) & (at < end[owner[ask]].astype(np.int64))
-        ask, at, want = ask[inside], at[inside], want[inside]
-        same = self.successors.get(at) == want
+        at, same = self.successors.find(want)
+        same &= (at >= begin[owner[ask]].astype(np.int64)) & (at < end[owner[ask]].astype(np.int64))
         out[ask[same]] = self.codes[at[same]]
         return out
 
