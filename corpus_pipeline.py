@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from periodica.llm import byte_bpe, decontamination, ngram_join, secret_scan, toxicity
+from periodica.llm.common import lean_batches
 from periodica.session import shared_dir
 
 
@@ -17,16 +18,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
+    lean_batches(spark)
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of linked documents."""
+    lean_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
+    lean_batches(spark)
     return decontamination.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
@@ -37,6 +41,7 @@ def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the bytes they decode to."""
+    lean_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path), keep_ids=True)
 

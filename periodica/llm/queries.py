@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, secret_scan, suffix_dedup, toxicity
+from periodica.llm.common import lean_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +20,7 @@ def query(build):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
