@@ -39,7 +39,7 @@ from periodica.llm.common import mix, text_columns
 LENGTH, GRAM = 100, 40
 #: Marks the row that holds a block's texts; it sorts behind the answers to the block.
 WHOLE = 1 << 30
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Odd base of the polynomial and its inverse mod 2**64, and a random-looking value per byte.
 BASE = np.uint64(0x9E3779B97F4A7C15)
