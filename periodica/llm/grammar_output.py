@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from periodica.llm.common import text_columns
+from periodica.llm.common import text_columns, without_cycles
 from periodica.session import shared_dir
 
 MAGIC = b"RPG1"
@@ -279,7 +279,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, shard_to
         if ids:
             yield record()
 
-    ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, body binary").write.mode("errorifexists").parquet(path)
+    ordered.mapInArrow(without_cycles(run), "part int, seq int, n_docs long, n_tokens long, body binary").write.mode("errorifexists").parquet(path)
 
 
 def offsets(shards: DataFrame) -> DataFrame:
