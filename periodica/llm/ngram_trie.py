@@ -40,7 +40,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from periodica.llm.common import blank_words, mix, text_columns
+from periodica.llm.common import blank_words, mix, text_columns, without_cycles
 from periodica.session import cut_lineage
 
 MU = 8.0
@@ -400,11 +400,11 @@ def scores(docs: DataFrame, mu: float = MU, block_bytes: int = BLOCK_BYTES, shar
         return run
 
     schema = "key long, part int, body binary, docs array<long>"
-    asked = texts.mapInArrow(ask_words, "shard int, key long, body binary").repartition(parts, "shard").sortWithinPartitions("shard", "key")
+    asked = texts.mapInArrow(without_cycles(ask_words), "shard int, key long, body binary").repartition(parts, "shard").sortWithinPartitions("shard", "key")
     words = cut_lineage(asked.mapInArrow(answer_words, schema + ", n long, v long"), "word-counts")
     total = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = int(total["n"] or 0), int(total["v"] or 0)
-    blocks = words.drop("n", "v").unionByName(texts.mapInArrow(whole, schema))
+    blocks = words.drop("n", "v").unionByName(texts.mapInArrow(without_cycles(whole), schema))
     pairs = blocks.repartition(parts, "key").sortWithinPartitions("key", "part").mapInArrow(ask_pairs(n_all), "shard int, key long, body binary")
     told = pairs.repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(answer_pairs, schema)
     together = told.unionByName(blocks).repartition(parts, "key").sortWithinPartitions("key", "part")
