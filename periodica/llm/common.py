@@ -148,9 +148,10 @@ def linked_groups(links: DataFrame, label: str = "groups") -> DataFrame:
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         small = small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
         small = cut_lineage(small, label)
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
         edges = small
-        if not changed:
+        # Done when only stars are left: no node hangs on two, and no centre hangs on another.
+        double = edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
+        if not double and not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
