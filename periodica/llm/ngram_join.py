@@ -9,10 +9,12 @@ hashes of shingles.
    keys the rarest ``n - ceil(percent * n / 100) + 1`` of its ``n`` shingles, so
    linked classes share a key. Rarity comes from a fixed-size count sketch over
    all documents: it only settles the order of shingles, never which pairs count.
-2. Classes of one key form a bucket. The pivot of a bucket is the member whose
-   keys are shared most, as an original's are beside its edited copies. Each class
-   is first verified against the pivot with which it shares most keys. That links
-   most of a large group of copies at a cost linear in its rows.
+2. Classes of one key form a bucket. A bucket has three pivots: the member whose
+   keys are shared most, as an original's are beside its edited copies, and those
+   first and last by a hash, so that the buckets of a group mostly agree on them.
+   Each class is first verified against the pivot of each kind with which it
+   shares most keys. That links most of a large group of copies at a cost linear
+   in its rows.
 3. Buckets that still hold several groups are cut into leaves by size and salt;
    pairs of leaves are spread over tasks. In a task the shingles are hashed into
    coordinate groups, the group counts are points, and a packed R-tree over the
@@ -329,11 +331,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         return cut_lineage(verified(pairs, sets, percent), "links")
 
     open_share = members.groupBy("c").agg((F.sum("shared") / F.max("n")).alias("open"))
-    pivots = members.join(open_share, "c").groupBy("bucket").agg(F.max_by(F.struct("c", "n"), F.struct("open", "c")).alias("p"))
-    star = members.join(pivots.select("bucket", F.col("p.c").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket")
+    member, mark = F.struct("c", "n"), F.xxhash64("c")
+    pivots = members.join(open_share, "c").groupBy("bucket").agg(F.array(F.max_by(member, F.struct("open", "c")), F.max_by(member, mark), F.min_by(member, mark)).alias("p"))
+    star = members.join(pivots.select("bucket", F.posexplode("p").alias("turn", "p")), "bucket").select("c", "n", "shared", "turn", F.col("p.c").alias("pivot"), F.col("p.n").alias("pivot_n"))
     fits = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
-    star = star.where((F.col("c") != F.col("pivot")) & fits).groupBy("c", "pivot").agg(F.sum("shared").alias("shared"))
-    star = star.groupBy("c").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b")).select(F.col("c").alias("a"), "b")
+    star = star.where((F.col("c") != F.col("pivot")) & fits).groupBy("c", "turn", "pivot").agg(F.sum("shared").alias("shared"))
+    star = star.groupBy("c", "turn").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot")).select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct()
     links = linked(within_bound(star, points, percent))
     roots = cut_lineage(linked_groups(links), "roots")
 
