@@ -101,7 +101,8 @@ def anchors(hashes: PrefixHashes, length: int, gram: int) -> tuple[np.ndarray, n
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], n) - 1
     place = at[first].astype(np.int64)
-    return keys[place], place, first, last
+    # The smallest of many hashes are small; mixed again they spread evenly over shards.
+    return mix(keys[place]), place, first, last
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
