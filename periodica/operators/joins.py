@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.functions import calendar as cal
 from periodica.session import cut_lineage
 
 
