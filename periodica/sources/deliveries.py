@@ -71,7 +71,8 @@ def signature(df: DataFrame) -> DataFrame:
 def publish(observations: DataFrame, root: str) -> str:
     """Write (sheet, column, period, value) under its content version, then move the release pointer.
 
-    Readers follow the pointer, so a failed write is never seen.
+    Releases are appended and readers take the newest, so there is one at any
+    time and a failed write is never seen.
     """
     bad = F.col("period").isNull() | (F.abs("value") == float("inf")) | F.isnan("value")
     require(observations.where(F.coalesce(bad, F.lit(False))), "null period or non-finite value")
@@ -80,12 +81,12 @@ def publish(observations: DataFrame, root: str) -> str:
     version = content_version(observations)
     observations.where("value is not null").write.mode("overwrite").partitionBy("sheet").parquet(f"{root}/version={version}")
     release = spark.createDataFrame([(version, datetime.now(timezone.utc))], "version string, published_at timestamp")
-    release.coalesce(1).write.mode("overwrite").parquet(f"{root}/release")
+    release.coalesce(1).write.mode("append").parquet(f"{root}/release")
     return version
 
 
 def released_version(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/release").first()["version"]
+    return spark.read.parquet(f"{root}/release").agg(F.max_by("version", "published_at").alias("version")).first()["version"]
 
 
 def read_published(spark: SparkSession, root: str, version: str, sheet: str) -> DataFrame:
