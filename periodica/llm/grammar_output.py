@@ -41,9 +41,7 @@ MAGIC = b"RPG1"
 #: Tokens after which a shard is closed; a longer document is one shard.
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced where it stands this often at least.
-LEAST_COUNT = 24
-#: Passes over a shard; each takes all pairs that cannot overlap, and the first ones find most of what there is.
-PASSES = 6
+LEAST_COUNT = 6
 SYMBOLS = 1 << 16
 MOST_TOKENIZER_BYTES = 64 << 20
 
@@ -141,9 +139,7 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
     """
     seq = ids.astype(np.uint32)
     lefts, rights, free = [], [], first_free
-    for _ in range(PASSES):
-        if len(seq) < 2 or free >= SYMBOLS:
-            break
+    while len(seq) > 1 and free < SYMBOLS:
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
         found, counts = np.unique(keys, return_counts=True)
         often = np.flatnonzero(counts >= LEAST_COUNT)

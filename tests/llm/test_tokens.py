@@ -82,3 +82,15 @@ def test_grammar_ranges(ids):
         assert shard.tokens(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)]
     if len(set(ids)) < 5 and len(ids) > 100:
         assert len(shard.sequence) < len(ids) / 4
+
+
+def test_grammar_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.permutation(900).astype(np.uint32)
+    flat = np.concatenate([np.concatenate([passage, [1000 + k]]) for k in range(8)]).astype(np.uint32)
+    left, right, size, seq = grammar_output.compress(flat, 2000)
+    assert size.max() == 900 and len(seq) == 16
+    pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    assert max(pairs.values()) < 6
+    shard = grammar_output.Shard(grammar_output.pack([1], [flat], 2000))
+    assert shard.tokens(0, len(flat)).tolist() == flat.tolist()
