@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of linked documents."""
+    """One row, the one with the smallest id, of each group of linked documents; other texts under its ids stay."""
     lean_batches(spark)
     return ngram_join.keep_one(docs)
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from periodica.session import cut_lineage
 
@@ -121,6 +122,24 @@ def by_document(docs: DataFrame, schema: str, rows: Callable[[list, list], pa.Re
     return docs.mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """Rows whose own text is kept, all columns as they are; ``judge()`` gives a task its function from texts to flags."""
+    plain = isinstance(docs.schema[text_col].dataType, StringType)
+    given = docs if plain else docs.withColumn("_text", F.col(text_col).cast("string"))
+    at, width = docs.columns.index(text_col) if plain else len(docs.columns), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = judge()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                out = part.filter(pa.array(np.asarray(kept(part.column(at).to_pylist()), dtype=bool)))
+                if out.num_rows:
+                    yield pa.RecordBatch.from_arrays(out.columns[:width], schema=pa.schema([out.schema.field(i) for i in range(width)]))
+
+    return given.mapInArrow(run, docs.schema)
+
+
 def null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[c]) for c in cols))
 

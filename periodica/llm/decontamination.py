@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from periodica.llm.common import WordHashes, alnum_words, gram_hashes, list_array, text_columns
+from periodica.llm.common import WordHashes, alnum_words, gram_hashes, keep_rows, list_array, text_columns
 from periodica.session import cut_lineage
 
 #: Bytes of benchmark text that one broadcast set holds; a larger benchmark is scanned block by block.
@@ -70,20 +70,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
     the documents are scanned once per block, each pass written before the next,
     so a worker never holds more than one block.
     """
-    spark = docs.sparkSession
+    found = text_columns(docs).withColumn("items", F.array().cast("array<string>")).withColumn("hit_words", F.array().cast("array<int>"))
+    for rows, last in _blocks(benchmark, block_bytes):
+        found = _pass(found, docs.sparkSession.sparkContext.broadcast(rows), size, last)
+        if not last:
+            found = cut_lineage(found, "windows")
+    return found
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, bool]]:
+    """(item, words) of each block of items, and whether it is the last."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     measured = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(measured) // block_bytes))
-    found = text_columns(docs).withColumn("items", F.array().cast("array<string>")).withColumn("hit_words", F.array().cast("array<int>"))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [(r["item_id"], alnum_words(r["text"])) for r in part.toLocalIterator()]
-        found = _pass(found, spark.sparkContext.broadcast(rows), size, last=b == blocks - 1)
-        if b < blocks - 1:
-            found = cut_lineage(found, "windows")
-    return found
+        yield [(r["item_id"], alnum_words(r["text"])) for r in part.toLocalIterator()], b == blocks - 1
 
 
 def _pass(docs: DataFrame, items, size: int, last: bool) -> DataFrame:
@@ -121,11 +125,22 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Documents without a benchmark window, all columns kept.
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows without a benchmark window in their own text, all columns kept; block by block as in ``scan``."""
+    def judge(items):
+        def made():
+            windows, cache = WindowSet(items.value, size), WordHashes()
 
-    The contaminated ids are those of a mapped scan; rows that share an id with
-    a contaminated row go with it.
-    """
-    bad = scan(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+            def clean(texts: list) -> list[bool]:
+                split = (alnum_words(t) for t in texts)
+                return [not windows.scan(words, cache.of(words))[1] for words in split]
+
+            return clean
+
+        return made
+
+    for rows, last in _blocks(benchmark, block_bytes):
+        docs = keep_rows(docs, judge(docs.sparkSession.sparkContext.broadcast(rows)))
+        if not last:
+            docs = cut_lineage(docs, "clean")
+    return docs

@@ -86,7 +86,8 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """doc_id, n, class, and the keys and count point of the class on its first row in a task."""
+    """doc_id, n, class, and the keys and count point of the class on its first row in a task; a column ``mark`` is carried."""
+    carried = [c for c in docs.columns if c == "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen, rarity = WordHashes(), set(), levels.value
@@ -108,9 +109,9 @@ def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
                     level = rarity[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     rare = s[np.argsort(level, kind="stable")] if level.any() else s
                     keys.append(signed(rare[: len(s) - -(-percent * len(s) // 100) + 1]))
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "c": pa.array(classes, pa.int64()), "keys": list_array(keys, pa.int64()), "point": pa.array(points, pa.binary())})
+                yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "c": pa.array(classes, pa.int64()), "keys": list_array(keys, pa.int64()), "point": pa.array(points, pa.binary()), **{x: batch.column(x) for x in carried}})
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, keys array<long>, point binary")
+    return docs.mapInArrow(run, "doc_id long, n long, c long, keys array<long>, point binary" + "".join(f", {x} binary" for x in carried))
 
 
 def _scramble(values: np.ndarray) -> np.ndarray:
@@ -316,8 +317,13 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
-    texts = text_columns(docs)
+    rows = _grouped(text_columns(docs), words, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every row's signature with ``root``, which the rows of a group share, and ``component_id``, both null without words."""
+    spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(rarity_levels(texts.select("text"), words))
     sigs = cut_lineage(signatures(texts, levels, words, percent), "signatures")
     members = cut_lineage(buckets(sigs), "buckets")
@@ -348,16 +354,27 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
     lowest = classes.withColumnRenamed("doc_id", "lowest").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).select("c", "root", "lowest")
     lowest = cut_lineage(lowest, "lowest")
-    named = lowest.groupBy("root").agg(F.min("lowest").alias("component_id")).join(lowest, "root").select("c", "component_id")
+    named = lowest.groupBy("root").agg(F.min("lowest").alias("component_id")).join(lowest, "root").select("c", "root", "component_id")
     named = cut_lineage(named, "named")
-    rows = sigs.select("doc_id", F.col("n").alias("n_shingles"), "c").join(named, "c", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sigs.drop("keys", "point").join(named, "c", "left")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each linked group, the one with the smallest id; all columns kept.
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each linked group, the one with the smallest id (none last) and then digest; all columns kept.
 
-    Rows that share the kept id stay together, as do rows without an id.
+    Rows are told apart by id and digest of the text, so other texts under the
+    id of a copy stay. Rows without words are groups of their own and all stay.
+    Only repeats of a kept id and text meet in an aggregate.
     """
-    drop = components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    id_, mark = F.col("doc_id").cast("long"), F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+    rows = _grouped(text_columns(docs).withColumn("mark", mark), words, percent).where("c is not null")
+    keys = cut_lineage(rows.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times")), "keys")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"))
+    told = keys.join(first, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    told = told.where("not kept or times > 1").select(F.col("doc_id").alias("_told_id"), F.col("mark").alias("_told_mark"), "kept")
+    told = cut_lineage(told, "told")
+    marked = docs.withColumn("_id", id_).withColumn("_mark", mark)
+    same = F.col("_id").eqNullSafe(F.col("_told_id")) & (F.col("_mark") == F.col("_told_mark"))
+    rest = marked.join(told, same, "left_anti")
+    once = marked.join(told.where("kept"), same, "left_semi").dropDuplicates(["_id", "_mark"])
+    return rest.unionByName(once).drop("_id", "_mark")

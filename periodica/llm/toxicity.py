@@ -14,13 +14,14 @@ repeated id is learned once per row. Without labelled rows every score is 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from periodica.llm.common import WordHashes, alnum_words, by_document, mix, text_columns
+from periodica.llm.common import WordHashes, alnum_words, by_document, keep_rows, mix, text_columns
 
 BITS = 22
 #: Most labelled rows that the model is fitted on, and most words they may hold.
@@ -100,20 +101,29 @@ def learn(docs: DataFrame, labels: DataFrame, usable, rates: Rates = Rates(), ma
     return model["slot"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score, predicted) of every row of ``docs``."""
+def _scorer(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> Callable[[list], np.ndarray]:
+    """Function from texts to scores, for tasks over ``docs``."""
     slots, values = weights
     model = docs.sparkSession.sparkContext.broadcast((slots.astype(np.int32), values.astype(np.float32)))
-    held: list = []
-    cache = WordHashes()
+    some, held, cache = len(slots) > 0, [], WordHashes()
 
-    def mapped(ids: list, texts: list) -> pa.RecordBatch:
+    def scores(texts: list) -> np.ndarray:
         if not held:
             dense = np.zeros(1 << BITS, dtype=np.float32)
             dense[model.value[0]] = model.value[1]
             held.append(dense)
         total = np.array([float(held[0][features(alnum_words(t), cache)].sum()) for t in texts])
-        p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))) if len(slots) else np.zeros(len(texts))
+        return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))) if some else np.zeros(len(texts))
+
+    return scores
+
+
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, score, predicted) of every row of ``docs``."""
+    scores = _scorer(docs, weights)
+
+    def mapped(ids: list, texts: list) -> pa.RecordBatch:
+        p = scores(texts)
         return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
     return by_document(text_columns(docs), "doc_id long, score double, predicted int", mapped)
@@ -125,6 +135,6 @@ def training_id(doc_id):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not rejected, all columns kept; rows that share a rejected id go with it."""
-    bad = score(docs, learn(docs, labels, training_id)).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows that are not rejected by their own text, all columns kept."""
+    scores = _scorer(docs, learn(docs, labels, training_id))
+    return keep_rows(docs, lambda: lambda texts: scores(texts) < THRESHOLD)
