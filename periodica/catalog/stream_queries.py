@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from periodica.catalog import carriers as c
@@ -88,6 +90,13 @@ def _(t):
     return out.where(F.col("confirmed") <= edge - F.expr("interval 1801 seconds"))
 
 
+@query("r05_area_entries_stream_closed", ctes("positions") + _ENTRIES + " select * from ent")
+def _(t):
+    pl.use_rocksdb(t.spark)
+    p = c.positions(t, events=c.event_stream(t)).select("mmsi", "observed", "lat", "lon", "source")
+    return pl.run_closed(p, lambda s: pl.entries(s, AREAS), "observed", timedelta(minutes=30), "r05c")
+
+
 @query("r06_late_replay", ctes("positions") + _ENTRIES + " select * from ent")
 def _(t):
     p = c.positions(t)
@@ -113,6 +122,13 @@ def _(t):
     return pl.run_to_parquet(pl.daily_counts(s, "ts", F.col("event_type")), "r08")
 
 
+@query("r08_daily_counts_closed", """
+select ts::date as day, event_type as area, count(*) as events from events group by 1, 2""")
+def _(t):
+    s = c.event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    return pl.run_closed(s, lambda x: pl.daily_counts(x, "ts", F.col("event_type")), "ts", timedelta(days=1, hours=1), "r08c")
+
+
 @query("r09_snapshot_fallback", ctes("reports") + f"""
 , m as (select max(observed) as top from reports), w as (select *, row_number() over (partition by mmsi order by observed desc, event_id desc) as rn from reports, m where observed >= top - interval 120 minute)
 select mmsi, observed, {q6('lat')} as lat from w where rn = 1""")

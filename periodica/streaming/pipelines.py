@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import StructField, StructType
 
 from periodica.operators.latest import latest_by
 from periodica.session import shared_dir
@@ -120,6 +122,37 @@ def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_closed(stream: DataFrame, build: Callable[[DataFrame], DataFrame], stamp: str, past: timedelta, label: str) -> DataFrame:
+    """Process everything available, then close: what the watermark still held back is written too.
+
+    After the reports a second run takes one marker row, null but for ``stamp``,
+    that stands ``past`` or more after the last report. ``past`` holds the delay of
+    ``build`` and the length of its windows, so nothing real stays open; the marker's
+    own group or window does. Reports before the new watermark then count as late.
+    """
+    spark = stream.sparkSession
+    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])
+    out, marks = shared_dir(spark, label), shared_dir(spark, f"{label}-marks")
+    spark.createDataFrame([], schema).write.parquet(marks)
+    both = build(stream.unionByName(spark.readStream.schema(schema).parquet(marks)))
+
+    def run() -> list:
+        q = both.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [p["eventTime"] for p in q.recentProgress]
+
+    times = run()
+    # Old progress entries are forgotten; the watermark then still bounds the last report, as ``past`` is no less than the delay.
+    held = [datetime.fromisoformat(t["watermark"]) for t in times if "watermark" in t]
+    last = max([datetime.fromisoformat(t["max"]) for t in times if "max" in t] + [w + past for w in held if w.timestamp() > 0], default=None)
+    if last is not None:
+        row = spark.createDataFrame([((last + past + timedelta(seconds=1)).isoformat(),)], "at string")
+        cols = [(F.col("at") if f.name == stamp else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        row.select(*cols).write.mode("append").parquet(marks)
+        run()
+    return spark.read.schema(both.schema).parquet(out)
+
+
 def run_each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     spark = stream.sparkSession
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_dir(spark, label)).outputMode(mode).trigger(availableNow=True).start()

@@ -167,6 +167,20 @@ def test_stream_equals_batch_on_shuffled_files(spark, frame, tmp_path):
     assert micros(got) == by_machine(data)
 
 
+def test_closed_stream_gives_the_last_entries_and_days(spark, frame, tmp_path):
+    data = sorted(random_tracks(7, n=3, length=60), key=lambda r: r[1])
+    folder = str(tmp_path / "in")
+    for part in (data[:-40], data[-40:]):
+        frame(part, POINT).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(frame(data, POINT).schema).parquet(folder)
+    got = pl.run_closed(stream, lambda s: pl.entries(s, AREAS), "observed", timedelta(minutes=30), "t")
+    assert micros(got) == by_machine(data)
+    days = pl.run_closed(stream, lambda s: pl.daily_counts(s, "observed", F.lit("a")), "observed", timedelta(days=1, hours=1), "t")
+    want = frame(data, POINT).groupBy(F.to_date("observed").alias("day")).count()
+    assert rows(days, "day", "events") == rows(want, "day", "count")
+    assert pl.run_closed(stream.where("mmsi = 'no such'"), lambda s: pl.entries(s, AREAS), "observed", timedelta(minutes=30), "t").count() == 0
+
+
 def test_snapshot_fallback(frame):
     now = datetime(2024, 1, 11)
     data = [("1", now - timedelta(days=1)), ("2", now - timedelta(days=1, minutes=30)), ("3", now - timedelta(days=10))]
