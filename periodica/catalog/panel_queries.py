@@ -363,6 +363,24 @@ def _(t):
     return out.where("i = 1 or (i > 3 and i <= n - 3)").select("indicator", "period", f32("smoothed").alias("smoothed"))
 
 
+_EDGES = ("32 15 3 -4 -6 -3 5 42", "5 4 3 2 1 0 -1 14", "1 3 4 4 3 1 -2 14")  # weights of the three end positions, then their divisor
+
+
+def _edge(name: str, weights: str) -> str:
+    *w, whole = weights.split()
+    return "(" + " + ".join(f"({x}) * {name}{k}" for k, x in enumerate(w)) + f") / {whole}"
+
+
+@query("t29_smooth_whole", ctes("flag_month") + f"""
+, s as (select indicator, period, row_number() over w as i, row_number() over wr as j, (-2 * lag(value, 3) over w + 3 * lag(value, 2) over w + 6 * lag(value) over w + 7 * value
+  + 6 * lead(value) over w + 3 * lead(value, 2) over w - 2 * lead(value, 3) over w) / 21 as mid, {', '.join(f'nth_value(value, {k + 1}) over wf as f{k}, nth_value(value, {k + 1}) over wb as b{k}' for k in range(7))}
+  from flag_month window w as (partition by indicator order by period), wr as (partition by indicator order by period desc),
+  wf as (partition by indicator order by period rows between unbounded preceding and unbounded following), wb as (partition by indicator order by period desc rows between unbounded preceding and unbounded following))
+select indicator, period, {qf('case ' + ' '.join(f'when i = {k + 1} then {_edge("f", w)} when j = {k + 1} then {_edge("b", w)}' for k, w in enumerate(_EDGES)) + ' else mid end')} as smoothed from s""")
+def _(t):
+    return pr.smooth(c.flag_month(t), ["indicator"], "period", "value", "smoothed").select("indicator", "period", f32("smoothed").alias("smoothed"))
+
+
 @query("t30_timeline_months", """
 select date_trunc('month', o_orderdate)::date as month, o_orderpriority as keyword, ((avg(o_custkey::double))::float)::double as value
 from orders where o_orderstatus <> 'P' and date_trunc('month', o_orderdate) < date '2001-06-01' group by 1, 2""")
