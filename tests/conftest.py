@@ -21,7 +21,3 @@ def frame(spark):
         return spark.createDataFrame(rows, schema)
 
     return make
-
-
-def rows(df, *cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())

@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from periodica.functions.measures import exact_median
 from periodica.operators import aggregates as ag
 from periodica.operators import chunked, windows as win

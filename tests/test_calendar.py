@@ -3,7 +3,7 @@ from datetime import date
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from periodica.functions import calendar as cal
 from periodica.functions import text as tx
 from periodica.operators import spine as sp

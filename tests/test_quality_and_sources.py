@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from periodica.operators import quality as qa
 from periodica.operators.joins import closure, nearest_prior, set_relations
 from periodica.operators.setops import bag_difference

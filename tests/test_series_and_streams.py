@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from periodica.functions import geo
 from periodica.plans import factors as fa
 from periodica.plans import forecasts as fc
