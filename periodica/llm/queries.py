@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, secret_scan, suffix_dedup, toxicity
+from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, periodic_runs, secret_scan, suffix_dedup, toxicity
 from periodica.llm.common import lean_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join places using (doc_id) left join items using (doc_id)
 """
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    """Periodic runs of words in every document, a tenth of them with a planted period, and the texts without repetition."""
+    return periodic_runs.digest(periodic_runs.detect(table(spark, folder, "documents"), change=periodic_runs.with_period))
