@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import byte_bpe, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, periodic_runs, secret_scan, suffix_dedup, toxicity
+from periodica.llm import byte_bpe, conversation_repair, decontamination, fingerprints, grammar_output, licenses, ngram_join, ngram_trie, periodic_runs, secret_scan, sharding, suffix_dedup, toxicity
 from periodica.llm.common import lean_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,18 @@ from d left join places using (doc_id) left join items using (doc_id)
 """
 
 
+@query
+def op11_sharding(spark, folder):
+    """A shard and a slot in it for every document: equal texts together, near equal bytes."""
+    return sharding.digest(sharding.assign(table(spark, folder, "documents")))
+
+
+@query
+def op12_conversation_repair(spark, folder):
+    """Faults of every conversation, its turns damaged by checksum, and its cheapest repair."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, folder, "conversations")))
+
+
 @query
 def op13_periodic_runs(spark, folder):
     """Periodic runs of words in every document, a tenth of them with a planted period, and the texts without repetition."""
