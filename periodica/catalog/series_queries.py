@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from periodica.catalog import carriers as c
 from periodica.catalog.carriers import ctes
@@ -93,7 +95,7 @@ q as (select indicator, n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) as t from r
 select indicator as series, 'df' as test, {q6('t', 4)} as statistic, 0::int as lags, n as nobs, -2.86::double as critical, case when t < -2.86 then 'stationary' else 'non_stationary' end as decision from q""")
 def _(t):
     s = SERIES(c.flag_month(t)).withColumn("value", F.col("value"))
-    return st.dickey_fuller(s).withColumn("statistic", r6("statistic", 4))
+    return st.dickey_fuller(s).drop("trend").withColumn("statistic", r6("statistic", 4))
 
 
 @query("n05_kpss", ctes("flag_month") + f"""
@@ -104,7 +106,56 @@ g as (select x.indicator, sum((1 - k::double / (x.l + 1)) * x.e * y.e) as g from
 f as (select b.indicator, l, n, ss / (n * n) / ((g0 + 2 * coalesce(g, 0)) / n) as stat from b left join g using (indicator))
 select indicator as series, 'kpss' as test, {q6('stat')} as statistic, l as lags, n as nobs, 0.463::double as critical, case when stat > 0.463 then 'non_stationary' else 'stationary' end as decision from f""")
 def _(t):
-    return st.kpss_statistic(SERIES(c.flag_month(t))).withColumn("statistic", r6("statistic"))
+    return st.kpss_statistic(SERIES(c.flag_month(t))).drop("trend").withColumn("statistic", r6("statistic"))
+
+
+def _residual(column: str, terms: str, by: str = "series") -> str:
+    """Residual of a column on deterministic terms, from the centred line ``u`` and square ``v`` of each row."""
+    over = f"over (partition by {by})"
+    line = f" - u * sum({column} * u) {over} / sum(u * u) {over}"
+    square = f" - v * sum({column} * v) {over} / sum(v * v) {over}"
+    return {"n": column, "c": f"{column} - avg({column}) {over}", "ct": f"{column} - avg({column}) {over}{line}", "ctt": f"{column} - avg({column}) {over}{line}{square}"}[terms]
+
+
+def _terms_sql() -> str:
+    """All tests with all their deterministic terms, from lagged products written out lag by lag."""
+    ctes_, parts = [], []
+    weighted = "select series, sum((1 - k::double / (l + 1)) * a * b) as g from (select x.series, x.l, k, x.e as a, y.e as b from (select *, unnest(generate_series(1, l)) as k from {r}) x join {r} y on y.series = x.series and y.i = x.i - k) group by 1"
+    for d in ("n", "c", "ct", "ctt"):
+        k = {"n": 0, "c": 1, "ct": 2, "ctt": 3}[d]
+        ctes_ += [f"df_{d} as (select series, {_residual('dy', d)} as a, {_residual('y1', d)} as b from lagged)",
+                  f"dfs_{d} as (select series, count(*) as n, sum(a * b) / sum(b * b) as beta, sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb from df_{d} group by 1)"]
+        parts.append(f"select series, 'df' as test, '{d}' as trend, beta / sqrt((aa - beta * ab) / (n - {k + 1}) / bb) as s, 0 as lags, n as nobs from dfs_{d}")
+    for d in ("c", "ct"):
+        k = {"c": 2, "ct": 3}[d]
+        ctes_ += [f"ke_{d} as (select series, i, n, l, {_residual('y', d)} as e from placed)",
+                  f"ks_{d} as (select *, sum(e) over (partition by series order by i) as cs from ke_{d})",
+                  f"kg_{d} as ({weighted.format(r=f'ke_{d}')})",
+                  f"pr_{d} as (select series, i, n, l, {_residual('y', d)} as a, {_residual('y1', d)} as b from lagged)",
+                  f"pf_{d} as (select series, sum(a * b) / sum(b * b) as rho, sum(b * b) as bb from pr_{d} group by 1)",
+                  f"pe_{d} as (select series, i, n, l, a - rho * b as e, rho, bb from pr_{d} join pf_{d} using (series))",
+                  f"pg_{d} as ({weighted.format(r=f'pe_{d}')})",
+                  f"pv_{d} as (select series, n, l, max(rho) as rho, sum(e * e) / (n - {k}) as s2, sqrt(sum(e * e) / (n - {k}) / max(bb)) as se, sum(e * e) / n as own, (sum(e * e) + 2 * max(g)) / n as lr from pe_{d} join pg_{d} using (series) group by 1, 2, 3)"]
+        parts.append(f"select series, 'kpss', '{d}', sum(cs * cs) / (n * n) / ((sum(e * e) + 2 * max(g)) / n), l, n from ks_{d} join kg_{d} using (series) group by series, l, n")
+        parts.append(f"select series, 'pp', '{d}', sqrt(own / lr) * (rho - 1) / se - 0.5 * (lr - own) / sqrt(lr) * n * se / sqrt(s2), l, n from pv_{d}")
+    critical = "case " + " ".join(
+        f"when test in ({names}) and trend = '{d}' then {table[d][0.05]}" for names, table in (("'df', 'pp'", st.DF_CRITICAL), ("'kpss'", st.KPSS_CRITICAL)) for d in table) + " end"
+    return f"""
+, base as (select indicator as series, value as y, row_number() over (partition by indicator order by period) as i, count(*) over (partition by indicator) as n, lag(value) over (partition by indicator order by period) as y1 from flag_month),
+sized as (select *, ceil(12 * pow(n / 100.0, 0.25))::int as l from base),
+placed as (select series, y, i, n, l, i - (n + 1) / 2.0 as u, pow(i - (n + 1) / 2.0, 2) - (n * n - 1) / 12.0 as v from sized),
+lagged as (select series, y, y1, y - y1 as dy, i - 1 as i, n - 1 as n, l, i - 1 - n / 2.0 as u, pow(i - 1 - n / 2.0, 2) - ((n - 1) * (n - 1) - 1) / 12.0 as v from sized where y1 is not null),
+{", ".join(ctes_)},
+found as ({" union all ".join(parts)}),
+judged as (select *, ({critical})::double as critical from found)
+select series, test, trend, {q6('s', 4)} as statistic, lags::int as lags, nobs, critical, case when test = 'kpss' and s > critical or test <> 'kpss' and s >= critical then 'non_stationary' else 'stationary' end as decision from judged"""
+
+
+@query("n05_trend_terms", ctes("flag_month") + _terms_sql())
+def _(t):
+    s = SERIES(c.flag_month(t))
+    found = [st.stationarity_battery(s, [test], trend=d) for test, terms in st.TERMS.items() for d in terms]
+    return reduce(DataFrame.unionByName, found).withColumn("statistic", r6("statistic", 4))
 
 
 @query("n06_autocorrelation", ctes("customer_month") + f"""

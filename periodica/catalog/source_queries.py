@@ -30,6 +30,14 @@ def _(t):
     return de.read_rows(t.spark, landed_csv(t, src, "s01"), 0, 1)
 
 
+@query("s01_quoted_breaks", """
+select doc_id::varchar as doc_id, lang, nullif(text, '') as text, n_chars::varchar as n_chars from documents""")
+def _(t):
+    src = t.documents.select("doc_id", "lang", "text", "n_chars")
+    options = {"escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return de.read_rows(t.spark, landed_csv(t, src, "s01q", **options), 0, 1)
+
+
 @query("s02_type_inference", """
 select o_orderdate as day, o_orderkey::double as o_orderkey, o_totalprice, o_orderpriority from orders""")
 def _(t):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from periodica.catalog import carriers as c
 from periodica.catalog.carriers import ctes
 from periodica.catalog.registry import q6, query, r6
 from periodica.functions import geo
+from periodica.session import shared_dir
 from periodica.streaming import entries as en
 from periodica.streaming import pipelines as pl
+from periodica.streaming.versions import DayTable, replace_keys
 
 AREAS = {
     "north": (geo.inset_box(24.15037, 24.9, 53.0, 56.0, 0.01), geo.inset_box(24.15037, 24.9, 53.0, 56.0, -0.01)),
@@ -51,6 +54,43 @@ def _(t):
     return pl.enrich_flags(stored, late).select("mmsi", "observed", "source", "flag")
 
 
+class LostOnce(DayTable):
+    """Stops between the rows of its second batch and their list, as when a driver is lost; the next try goes through."""
+
+    lost = False
+
+    def _write_list(self, days, batch):
+        if batch == 1 and not self.lost:
+            self.lost = True
+            raise RuntimeError("driver lost")
+        super()._write_list(days, batch)
+
+
+@query("r02_late_flags_stream", ctes("reports") + """
+select mmsi, observed, source, case when event_id % 3 = 1 then 'AE' when event_id % 2 = 0 then 'CN' end as flag from reports""")
+def _(t):
+    r = c.reports(t).select("mmsi", "observed", "source", "event_id", F.to_date("observed").alias("day"))
+    keys = ["mmsi", "observed", "source"]
+    flag = F.when(F.col("event_id") % 2 == 0, "CN")
+    reports = r.select(*keys, flag.alias("flag"), flag.alias("flag_country"), F.col("observed").alias("received"), "day")
+    flags = r.where("event_id % 3 = 1").select(*keys, F.lit("AE").alias("flag"), F.lit("AE").alias("flag_country"), (F.col("observed") + F.expr("interval 1 hour")).alias("received"), "day")
+    table = LostOnce(t.spark, shared_dir(t.spark, "r02"), reports.schema)
+    landed, run = shared_dir(t.spark, "r02-landed"), shared_dir(t.spark, "r02-run")
+    reports.write.parquet(landed)
+    stream = t.spark.readStream.schema(reports.schema).parquet(landed)
+
+    def deliver():
+        pl.run_each_batch(stream, run, lambda batch, number: table.merge(batch, number, pl.deliver_flags))
+
+    deliver()
+    flags.write.mode("append").parquet(landed)
+    try:
+        deliver()
+    except StreamingQueryException:
+        deliver()
+    return table.read().select(*keys, "flag")
+
+
 def vessel_stream(t):
     r = c.reports(t, c.event_stream(t))
     static = F.col("category").isin("signup", "purchase")
@@ -80,14 +120,27 @@ def _(t):
     return en.detect_entries(en.drop_conflicts(c.positions(t)), AREAS, "hour")
 
 
-@query("r05_area_entries_stream", ctes("positions") + _ENTRIES + """
-select * from ent where confirmed <= (select max(observed) - interval 30 minute - interval 1 second from positions)""")
-def _(t):
+def disordered(t):
+    """Entries and late reports of a stream to which every fortieth report comes only after all others."""
     pl.use_rocksdb(t.spark)
-    p = c.positions(t, events=c.event_stream(t)).select("mmsi", "observed", "lat", "lon", "source")
-    out = pl.run_to_parquet(pl.entries(p, AREAS), "r05")
-    edge = c.positions(t).agg(F.max("observed").alias("m")).scalar()
-    return out.where(F.col("confirmed") <= edge - F.expr("interval 1801 seconds"))
+    cols = ["mmsi", "observed", "lat", "lon", "source"]
+    first = c.positions(t, events=c.event_stream(t)).where("event_id % 40 <> 3").select(*cols)
+    held_up = c.positions(t).where("event_id % 40 = 3").select(*cols)
+    return pl.run_closed(first, lambda s: pl.entries_and_late(s, AREAS), "observed", timedelta(minutes=30), "r05", later=[held_up])
+
+
+@query("r05_area_entries_stream", ctes("positions") + _ENTRIES + " select * from ent")
+def _(t):
+    found = disordered(t)
+    return en.replay(pl.entry_rows(found), c.positions(t), pl.late_rows(found), AREAS, "hour")
+
+
+@query("r05_late_reports", ctes("positions") + """
+, mark as (select max(observed) - interval 30 minute as m from positions where event_id % 40 <> 3)
+select mmsi, count(*) as late, min(observed) as earliest, max(observed) as latest from positions, mark where event_id % 40 = 3 and observed < m group by 1""")
+def _(t):
+    late = pl.late_rows(disordered(t))
+    return late.groupBy("mmsi").agg(F.count(F.lit(1)).alias("late"), F.min("observed").alias("earliest"), F.max("observed").alias("latest"))
 
 
 @query("r05_area_entries_stream_closed", ctes("positions") + _ENTRIES + " select * from ent")
@@ -116,10 +169,13 @@ def _(t):
 
 
 @query("r08_daily_counts", """
-select ts::date as day, event_type as area, count(*) as events from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""")
+select ts::date as day, event_type as area, count(*) as events from events group by 1, 2""")
 def _(t):
     s = c.event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    return pl.run_to_parquet(pl.daily_counts(s, "ts", F.col("event_type")), "r08")
+    table = DayTable(t.spark, shared_dir(t.spark, "r08"), "area string, events long")
+    newest = replace_keys(["day", "area"])
+    pl.run_each_batch(pl.daily_counts(s, "ts", F.col("event_type")), shared_dir(t.spark, "r08-run"), lambda b, i: table.merge(b, i, newest), mode="update")
+    return table.read().select("day", "area", "events")
 
 
 @query("r08_daily_counts_closed", """
@@ -144,3 +200,12 @@ select count(*) as raw, count(reason) as rejected, arg_max(reason, event_id) fil
 def _(t):
     x = c.reports(t).withColumn("reason", F.when(F.col("category") == "error", "unsupported").when(F.col("user_id") % 13 == 0, "bad id"))
     return pl.ingest_counters(x, "reason")
+
+
+@query("r10_stream_counters", ctes("reports") + """
+, x as (select event_id, case when category = 'error' then 'unsupported' when user_id % 13 = 0 then 'bad id' end as reason from reports)
+select count(*) as raw, count(reason) as rejected, arg_max(reason, event_id) filter (where reason is not null) as last_reason from x""")
+def _(t):
+    s = c.reports(t, c.event_stream(t))
+    tagged = s.select("event_id", F.when(F.col("category") == "error", "unsupported").when(F.col("user_id") % 13 == 0, "bad id").alias("reason"))
+    return pl.total_counters(pl.counted_run(tagged, "reason", "r10"))

@@ -2,36 +2,105 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# fixed values: critical values with a constant
-KPSS_CRITICAL = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
-DF_CRITICAL = {0.10: -2.57, 0.05: -2.86, 0.01: -3.43}
+# fixed values: asymptotic critical values by deterministic terms and level
+KPSS_CRITICAL = {
+    "c": {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739},
+    "ct": {0.10: 0.119, 0.05: 0.146, 0.025: 0.176, 0.01: 0.216},
+}
+DF_CRITICAL = {
+    "n": {0.10: -1.62, 0.05: -1.94, 0.01: -2.57},
+    "c": {0.10: -2.57, 0.05: -2.86, 0.01: -3.43},
+    "ct": {0.10: -3.13, 0.05: -3.41, 0.01: -3.96},
+    "ctt": {0.10: -3.55, 0.05: -3.83, 0.01: -4.37},
+}
+#: Deterministic terms each test can have: none, a constant, a line, a parabola.
+TERMS = {"df": ("n", "c", "ct", "ctt"), "kpss": ("c", "ct"), "pp": ("c", "ct")}
 
 
-def kpss_statistic(series: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Level-stationarity statistic with Bartlett weights, as grouped sums of products."""
-    valid = series.where("value is not null")
+def _check_terms(test: str, trend: str) -> None:
+    if trend not in TERMS[test]:
+        raise ValueError(f"terms of {test} must be one of {TERMS[test]}")
+
+
+def _decision(statistic: Column, critical: float, rejects: Column, if_rejected: str, else_: str) -> list[Column]:
+    return [F.lit(critical).alias("critical"), F.when(statistic.isNull(), "undetermined").when(rejects, if_rejected).otherwise(else_).alias("decision")]
+
+
+def numbered(series: DataFrame) -> DataFrame:
+    """(series, i, n, value) of the valid values, i from 1."""
+    whole = Window.partitionBy("series")
+    return series.where("value is not null").select(
+        "series", F.row_number().over(whole.orderBy("ts")).alias("i"), F.count(F.lit(1)).over(whole).alias("n"), F.col("value").cast("double").alias("value"))
+
+
+def without_terms(rows: DataFrame, columns: list[str], trend: str, i: str = "i", n: str = "n") -> DataFrame:
+    """Residuals of ``columns`` on the deterministic terms of positions 1 to n.
+
+    Over equally spaced positions the centred line and the centred square are
+    orthogonal to each other and to the constant, so each coefficient is a
+    quotient of two sums.
+    """
+    if trend == "n":
+        return rows
     whole = Window.partitionBy("series")
-    w = whole.orderBy("ts")
-    r = valid.select("series", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(whole).alias("n"), (F.col("value") - F.avg("value").over(whole)).alias("e"))
-    r = r.withColumn("s", F.sum("e").over(Window.partitionBy("series").orderBy("i"))).withColumn("l", F.ceil(12 * F.pow(F.col("n") / 100, 0.25)).cast("int"))
-    base = r.groupBy("series", "n", "l").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("e") * F.col("e")).alias("g0"))
-    left = r.select("series", "i", "e", "l", F.explode(F.sequence(F.lit(1), "l")).alias("k")).withColumn("j", F.col("i") - F.col("k"))
-    right = r.select("series", F.col("i").alias("j"), F.col("e").alias("f"))
-    weight = 1 - F.col("k") / (F.col("l") + 1)
-    gam = left.join(right, ["series", "j"]).groupBy("series").agg(F.sum(weight * F.col("e") * F.col("f")).alias("g"))
-    lr = (F.col("g0") + 2 * F.coalesce("g", F.lit(0.0))) / F.col("n")
-    out = base.join(gam, "series", "left").withColumn("statistic", F.col("ss") / (F.col("n") * F.col("n")) / F.when(lr > 0, lr))
-    cv = KPSS_CRITICAL[alpha]
-    return out.select("series", F.lit("kpss").alias("test"), "statistic", F.col("l").alias("lags"), F.col("n").alias("nobs"), F.lit(cv).alias("critical"),
-                      F.when(F.col("statistic") > cv, "non_stationary").otherwise("stationary").alias("decision"))
-
-
-def dickey_fuller(series: DataFrame, lags: int = 0, alpha: float = 0.05) -> DataFrame:
-    """t-statistic of the lagged level in a fixed-lag regression with constant."""
+    line = F.col(i) - (F.col(n) + 1) / 2
+    square = line * line - (F.col(n) * F.col(n) - 1) / 12
+    parts = {"c": [], "ct": [line], "ctt": [line, square]}[trend]
+    out = {}
+    for c in columns:
+        e = F.col(c) - F.avg(c).over(whole)
+        for x in parts:
+            xx = F.sum(x * x).over(whole)
+            e = e - x * F.coalesce(F.sum(F.col(c) * x).over(whole) / F.when(xx > 0, xx), F.lit(0.0))
+        out[c] = e
+    return rows.withColumns(out)
+
+
+def long_run_sums(rows: DataFrame) -> DataFrame:
+    """(series, n, l, g0, g) of residuals (series, i, n, l, e): sum of squares, and twice the Bartlett-weighted sum of lagged products.
+
+    The weighted sum of the ``l`` residuals before a row is a difference of running
+    sums of e and i * e, looked up once ``l + 1`` rows before; no row is repeated
+    for each lag.
+    """
+    run = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumns({"p": F.sum("e").over(run), "q": F.sum(F.col("i") * F.col("e")).over(run)})
+    far = sums.select("series", (F.col("i") + F.col("l") + 1).alias("i"), F.col("p").alias("pf"), F.col("q").alias("qf"))
+    j = sums.join(far, ["series", "i"], "left")
+    near = F.col("p") - F.col("e") - F.coalesce("pf", F.lit(0.0))
+    distance = F.col("i") * near - (F.col("q") - F.col("i") * F.col("e") - F.coalesce("qf", F.lit(0.0)))
+    weighted = F.col("e") * (near - distance / (F.col("l") + 1))
+    return j.groupBy("series", "n", "l").agg(F.sum(F.col("e") * F.col("e")).alias("g0"), (2 * F.sum(weighted)).alias("g"))
+
+
+def _bartlett_lags(n: Column) -> Column:
+    return F.ceil(12 * F.pow(n / 100, 0.25)).cast("int")
+
+
+def kpss_statistic(series: DataFrame, alpha: float = 0.05, trend: str = "c") -> DataFrame:
+    """Stationarity statistic around a level or a line, with Bartlett weights, as grouped sums of products."""
+    _check_terms("kpss", trend)
+    r = without_terms(numbered(series), ["value"], trend).withColumnRenamed("value", "e").withColumn("l", _bartlett_lags(F.col("n")))
+    path = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    squares = r.withColumn("s", F.sum("e").over(path)).groupBy("series").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    out = squares.join(long_run_sums(r), "series")
+    variance = (F.col("g0") + F.col("g")) / F.col("n")
+    # What rounding leaves of a constant series, or of one on a line, is no variance.
+    out = out.withColumn("statistic", F.when(F.col("g0") > 0, F.col("ss") / (F.col("n") * F.col("n")) / F.when(variance > 0, variance)))
+    cv = KPSS_CRITICAL[trend][alpha]
+    return out.select("series", F.lit("kpss").alias("test"), F.lit(trend).alias("trend"), "statistic", F.col("l").alias("lags"), F.col("n").alias("nobs"),
+                      *_decision(F.col("statistic"), cv, F.col("statistic") > cv, "non_stationary", "stationary"))
+
+
+def dickey_fuller(series: DataFrame, lags: int = 0, alpha: float = 0.05, trend: str = "c") -> DataFrame:
+    """t-statistic of the lagged level in a fixed-lag regression with deterministic terms."""
+    _check_terms("df", trend)
     w = Window.partitionBy("series").orderBy("ts")
     d = series.where("value is not null").select("series", "ts", "value", (F.col("value") - F.lag("value").over(w)).alias("dy"), F.lag("value").over(w).alias("y1"))
     xs = ["y1"]
@@ -40,23 +109,59 @@ def dickey_fuller(series: DataFrame, lags: int = 0, alpha: float = 0.05) -> Data
         xs.append(f"d{k}")
     for x in ["dy", *xs]:
         d = d.where(F.col(x).isNotNull())
-    fit = least_squares(d, ["series"], "dy", xs, constant=True)
-    cv = DF_CRITICAL[alpha]
-    return fit.where("term = 'y1'").select("series", F.lit("df").alias("test"), F.col("t").alias("statistic"), F.lit(lags).alias("lags"), F.col("n").alias("nobs"), F.lit(cv).alias("critical"),
-                                           F.when(F.col("t") < cv, "stationary").otherwise("non_stationary").alias("decision"))
-
-
-def stationarity_battery(series: DataFrame, tests: list[str], alpha: float = 0.05, lags: int = 0) -> DataFrame:
-    """Chosen tests over all series as one long table."""
-    build = {"kpss": lambda: kpss_statistic(series, alpha), "df": lambda: dickey_fuller(series, lags, alpha)}
+    if trend in ("ct", "ctt"):  # a line from -1/2 to 1/2 keeps the normal equations well scaled
+        d = d.withColumn("line", (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy("series")) - 0.5)
+        xs.append("line")
+    if trend == "ctt":
+        d = d.withColumn("square", F.col("line") * F.col("line"))
+        xs.append("square")
+    fit = least_squares(d, ["series"], "dy", xs, constant=trend != "n")
+    cv = DF_CRITICAL[trend][alpha]
+    return fit.where("term = 'y1'").select("series", F.lit("df").alias("test"), F.lit(trend).alias("trend"), F.col("t").alias("statistic"), F.lit(lags).alias("lags"), F.col("n").alias("nobs"),
+                                           *_decision(F.col("t"), cv, F.col("t") < cv, "stationary", "non_stationary"))
+
+
+def phillips_perron(series: DataFrame, alpha: float = 0.05, trend: str = "c") -> DataFrame:
+    """t-statistic of the lagged level, corrected by the long-run variance of the residuals.
+
+    The deterministic terms are taken out of the level and its lag first, so the
+    regression is one quotient of sums per series.
+    """
+    _check_terms("pp", trend)
+    w = Window.partitionBy("series").orderBy("i")
+    r = numbered(series)
+    r = r.withColumns({"x": F.lag("value").over(w), "l": _bartlett_lags(F.col("n"))}).where("x is not null")
+    r = without_terms(r.withColumns({"i": F.col("i") - 1, "n": F.col("n") - 1}), ["value", "x"], trend)
+    whole = Window.partitionBy("series")
+    xx = F.sum(F.col("x") * F.col("x")).over(whole)
+    r = r.withColumn("xx", xx).withColumn("rho", F.sum(F.col("x") * F.col("value")).over(whole) / F.when(F.col("xx") > 0, F.col("xx")))
+    r = r.where("rho is not null").withColumn("e", F.col("value") - F.col("rho") * F.col("x"))
+    fit = r.groupBy("series").agg(F.max("rho").alias("rho"), F.max("xx").alias("xx"))
+    s = long_run_sums(r.select("series", "i", "n", "l", "e")).join(fit, "series")
+    n, free = F.col("n"), F.col("n") - (len(trend) + 1)
+    s2 = F.col("g0") / F.when(free > 0, free)
+    own, long = F.col("g0") / n, (F.col("g0") + F.col("g")) / n
+    long = F.when(long > 0, long)
+    error = F.sqrt(s2 / F.col("xx"))
+    plain = (F.col("rho") - 1) / F.when(error > 0, error)
+    s = s.withColumn("statistic", F.sqrt(own / long) * plain - 0.5 * (long - own) / F.sqrt(long) * n * error / F.sqrt(s2))
+    cv = DF_CRITICAL[trend][alpha]
+    return s.select("series", F.lit("pp").alias("test"), F.lit(trend).alias("trend"), "statistic", F.col("l").alias("lags"), n.alias("nobs"),
+                    *_decision(F.col("statistic"), cv, F.col("statistic") < cv, "stationary", "non_stationary"))
+
+
+def stationarity_battery(series: DataFrame, tests: list[str], alpha: float = 0.05, lags: int = 0, trend: str = "c", trends: dict[str, str] | None = None) -> DataFrame:
+    """Chosen tests over all series as one long table; ``trends`` sets the deterministic terms of single tests."""
+    build = {
+        "kpss": lambda d: kpss_statistic(series, alpha, d), "df": lambda d: dickey_fuller(series, lags, alpha, d),
+        "pp": lambda d: phillips_perron(series, alpha, d)}
     unknown = [x for x in tests if x not in build]
     if unknown or not tests:
         raise ValueError(f"unknown tests {unknown}" if unknown else "no test chosen")
-    out = None
-    for name in dict.fromkeys(tests):
-        one = build[name]()
-        out = one if out is None else out.unionByName(one)
-    return out
+    chosen = {name: (trends or {}).get(name, trend) for name in dict.fromkeys(tests)}
+    for name, terms in chosen.items():
+        _check_terms(name, terms)
+    return reduce(DataFrame.unionByName, [build[name](terms) for name, terms in chosen.items()])
 
 
 def least_squares(df: DataFrame, keys: list[str], y: str, xs: list[str], constant: bool = False, minimum: int | None = None) -> DataFrame:

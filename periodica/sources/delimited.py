@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from periodica.operators.quality import QualityError, require
+from periodica.sources.records import records
 
 ENCODINGS = ("UTF-8", "GBK", "GB2312")  # tried in this order
 DATE_PATTERN = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
@@ -24,17 +25,11 @@ def _decoded(spark: SparkSession, encoding: str) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines with their file; ``line_no`` is set for the first split of each file only.
-
-    Header rows live at the start of a file, so numbering that one split is
-    enough and the rest of a large file is never counted.
-    """
-    raw = spark.read.option("lineSep", "\n").text(path).select(
-        _decoded(spark, encoding).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"))
-    first = raw.where("_start = 0").groupBy("file").agg(F.min("_id").alias("_first"))
-    out = raw.join(first, "file", "left")
-    return out.select("file", F.regexp_replace("value", "\r$", "").alias("value"), F.when(F.col("_start") == 0, F.col("_id") - F.col("_first")).alias("line_no"))
+    """(file, start, length, id, value): lines with the split they were read in; ids ascend within it."""
+    meta = F.col("_metadata")
+    return spark.read.option("lineSep", "\n").text(path).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), meta["file_block_length"].alias("length"),
+        F.monotonically_increasing_id().alias("id"), _decoded(spark, encoding).alias("value"))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -77,20 +72,22 @@ def read_rows(spark: SparkSession, path: str, header_row: int = 0, data_row: int
     """Text columns of a delimited file or folder, addressed by row.
 
     Every file has the header on row ``header_row`` and data from ``data_row``,
-    counted from 0. Blank trailing headers are cut, extra filled cells are an
-    error, wholly blank rows are dropped.
+    counted from 0. Quoted cells may hold line breaks. Blank trailing headers are
+    cut, extra filled cells are an error, wholly blank rows are dropped.
     """
     if header_row < 0 or data_row <= header_row:
         raise QualityError("data must start after the header row")
-    lines = read_lines(spark, path, detect_encoding(spark, path))
-    heads = lines.where(F.col("line_no") == header_row).select("value").distinct().limit(2).collect()
+    found = records(read_lines(spark, path, detect_encoding(spark, path)), delimiter, numbered=data_row)
+    found = found.withColumn("value", F.regexp_replace("value", "\\r$", ""))
+    heads = found.where(F.col("row_no") == header_row).select("value").distinct().limit(2).collect()
     if len(heads) != 1:
         raise QualityError("header row missing or different between files")
     names = header_names(next(csv.reader(io.StringIO(heads[0]["value"].lstrip("﻿")), delimiter=delimiter)))
     fields = [f"_c{i}" for i in range(len(names))]
     ddl = ", ".join(f"{f} string" for f in [*fields, "_over", "_bad"])
-    data = lines.where(F.col("line_no").isNull() | (F.col("line_no") >= data_row))
-    parsed = data.select(F.from_csv("value", ddl, {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    data = found.where(F.col("row_no").isNull() | (F.col("row_no") >= data_row))
+    options = {"sep": delimiter, "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = data.select(F.from_csv("value", ddl, options).alias("r")).select("r.*")
     require(parsed.where(F.trim(F.coalesce("_over", F.lit(""))) != ""), "a row is wider than the header")
     filled = reduce(lambda a, b: a | b, [F.trim(F.coalesce(f, F.lit(""))) != "" for f in fields])
     return parsed.where(filled).select(*[F.when(F.trim(f) != "", F.col(f)).alias(n) for f, n in zip(fields, names)])

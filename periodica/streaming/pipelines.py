@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructField, StructType
 
 from periodica.operators.latest import latest_by
@@ -49,10 +50,33 @@ def append_new(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti"))
 
 
+def entries_and_late(stream: DataFrame, areas: dict, delay: str = "30 minutes") -> DataFrame:
+    """Area entries of a position stream, and the reports that came too late for it (rows without an area).
+
+    Spark itself drops rows older than the watermark before a state function sees
+    them. So each report is two rows: its instant, which moves the watermark, and
+    its content, which has no event time of its own and always arrives.
+    """
+    content = ["observed", "lat", "lon", "source"]
+    nothing = [F.lit(None).cast(stream.schema[c].dataType).alias(c) for c in content]
+    instant = F.struct("mmsi", F.col("observed").alias("clock"), *nothing)
+    report = F.struct("mmsi", F.lit(None).cast("timestamp").alias("clock"), *content)
+    both = stream.select(F.inline(F.array(instant, report)))
+    return both.withWatermark("clock", delay).groupBy("mmsi").applyInPandasWithState(
+        EntryDetector(areas).__call__, ENTRY_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+
+
+def entry_rows(found: DataFrame) -> DataFrame:
+    return found.where("area is not null").select("mmsi", "area", "entered", "before", "confirmed", "source")
+
+
+def late_rows(found: DataFrame) -> DataFrame:
+    return found.where("area is null").select("mmsi", "observed", "lat", "lon", "source")
+
+
 def entries(stream: DataFrame, areas: dict, delay: str = "30 minutes") -> DataFrame:
     """Area entries of a position stream."""
-    return stream.withWatermark("observed", delay).groupBy("mmsi").applyInPandasWithState(
-        EntryDetector(areas).__call__, ENTRY_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+    return entry_rows(entries_and_late(stream, areas, delay))
 
 
 def latest_vessels(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -85,32 +109,74 @@ def ingest_counters(tagged: DataFrame, reason: str) -> DataFrame:
         F.count(F.lit(1)).alias("raw"), F.count(reason).alias("rejected"), F.max_by(reason, F.when(F.col(reason).isNotNull(), F.col("event_id"))).alias("last_reason"))
 
 
-def observed_counts(df: DataFrame, reason: str, observation: Observation | str) -> DataFrame:
-    """The same counters as a side metric of a running job or stream."""
-    return df.observe(observation, F.count(F.lit(1)).alias("raw"), F.count(reason).alias("rejected"), F.max(reason).alias("a_reason"))
+def observed_counts(df: DataFrame, reason: str, observation: Observation | str, order: str = "event_id") -> DataFrame:
+    """The same counters as a side metric of a running job or stream; ``order`` tells which reason is the last."""
+    rejected = F.when(F.col(reason).isNotNull(), F.col(order))
+    return df.observe(
+        observation, F.count(F.lit(1)).alias("raw"), F.count(reason).alias("rejected"), F.max(rejected).alias("last_order"), F.max_by(reason, rejected).alias("last_reason"))
 
 
 class IngestListener(StreamingQueryListener):
-    """Adds up the observed counters of each trigger."""
+    """Keeps the observed counters of each trigger of the streams that report under ``name``.
+
+    A trigger that is repeated after a failure replaces its earlier row.
+    """
 
     def __init__(self, name: str):
-        self.name, self.raw, self.rejected, self.reason = name, 0, 0, None
+        self.name = name
+        self.triggers: dict[tuple[str, int], tuple] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        row = event.progress.observedMetrics.get(self.name)
-        if row:
-            self.raw += row["raw"]
-            self.rejected += row["rejected"]
-            self.reason = row["a_reason"] or self.reason
+        progress = event.progress
+        row = progress.observedMetrics.get(self.name)
+        if row and row["raw"]:
+            self.triggers[str(progress.id), progress.batchId] = (row["raw"], row["rejected"], row["last_order"], row["last_reason"])
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self._end(str(event.runId)).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Events arrive on a thread of their own; returns once those of an ended query are in."""
+        if not self._end(str(query.runId)).wait(seconds):
+            raise TimeoutError("the listener was not told of the end of the query")
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """One row per query and trigger."""
+        rows = [(*key, *counts) for key, counts in sorted(self.triggers.items())]
+        return spark.createDataFrame(rows, "query string, batch long, raw long, rejected long, last_order long, last_reason string")
+
+
+def counted_run(stream: DataFrame, reason: str, label: str, order: str = "event_id") -> DataFrame:
+    """Process everything available and return the counter table, one row per trigger, as the listener saw it."""
+    spark = stream.sparkSession
+    listener = IngestListener(label)
+    spark.streams.addListener(listener)
+    try:
+        out = shared_dir(spark, label)
+        q = observed_counts(stream, reason, label, order).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        listener.wait(q)
+    finally:
+        spark.streams.removeListener(listener)
+    table = shared_dir(spark, f"{label}-counters")
+    listener.frame(spark).coalesce(1).write.parquet(table)
+    return spark.read.parquet(table)
+
+
+def total_counters(counters: DataFrame) -> DataFrame:
+    """The state of the ingest over all triggers."""
+    return counters.agg(F.sum("raw").alias("raw"), F.sum("rejected").alias("rejected"), F.max_by("last_reason", "last_order").alias("last_reason"))
 
 
 def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
@@ -122,38 +188,68 @@ def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_closed(stream: DataFrame, build: Callable[[DataFrame], DataFrame], stamp: str, past: timedelta, label: str) -> DataFrame:
-    """Process everything available, then close: what the watermark still held back is written too.
+class ClosedRun:
+    """A stream that is run to the end of what is there, fed, run again, and in the end closed.
 
-    After the reports a second run takes one marker row, null but for ``stamp``,
-    that stands ``past`` or more after the last report. ``past`` holds the delay of
-    ``build`` and the length of its windows, so nothing real stays open; the marker's
-    own group or window does. Reports before the new watermark then count as late.
+    Closing takes one marker row, null but for ``stamp``, that stands ``past`` or
+    more after the last report. ``past`` holds the delay of ``build`` and the length
+    of its windows, so nothing real stays open; the marker's own group or window
+    does. Reports before the new watermark then count as late.
     """
-    spark = stream.sparkSession
-    schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])
-    out, marks = shared_dir(spark, label), shared_dir(spark, f"{label}-marks")
-    spark.createDataFrame([], schema).write.parquet(marks)
-    both = build(stream.unionByName(spark.readStream.schema(schema).parquet(marks)))
 
-    def run() -> list:
-        q = both.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    def __init__(self, stream: DataFrame, build: Callable[[DataFrame], DataFrame], stamp: str, past: timedelta, label: str):
+        spark = self.spark = stream.sparkSession
+        self.schema = StructType([StructField(f.name, f.dataType) for f in stream.schema])
+        self.stamp, self.past = stamp, past
+        self.out, self.fed = shared_dir(spark, label), shared_dir(spark, f"{label}-fed")
+        spark.createDataFrame([], self.schema).write.parquet(self.fed)
+        self.built = build(stream.unionByName(spark.readStream.schema(self.schema).parquet(self.fed)))
+        self.times: list[dict] = []
+
+    def run(self) -> None:
+        q = self.built.writeStream.format("parquet").option("path", self.out).option("checkpointLocation", self.out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
-        return [p["eventTime"] for p in q.recentProgress]
-
-    times = run()
-    # Old progress entries are forgotten; the watermark then still bounds the last report, as ``past`` is no less than the delay.
-    held = [datetime.fromisoformat(t["watermark"]) for t in times if "watermark" in t]
-    last = max([datetime.fromisoformat(t["max"]) for t in times if "max" in t] + [w + past for w in held if w.timestamp() > 0], default=None)
-    if last is not None:
-        row = spark.createDataFrame([((last + past + timedelta(seconds=1)).isoformat(),)], "at string")
-        cols = [(F.col("at") if f.name == stamp else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-        row.select(*cols).write.mode("append").parquet(marks)
-        run()
-    return spark.read.schema(both.schema).parquet(out)
+        self.times += [p["eventTime"] for p in q.recentProgress]
+
+    def feed(self, rows: DataFrame) -> None:
+        """Further reports, seen by the next run."""
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.mode("append").parquet(self.fed)
+
+    def close(self) -> DataFrame:
+        # Old progress entries are forgotten; the watermark then still bounds the last report, as ``past`` is no less than the delay.
+        held = [datetime.fromisoformat(t["watermark"]) for t in self.times if "watermark" in t]
+        last = max([datetime.fromisoformat(t["max"]) for t in self.times if "max" in t] + [w + self.past for w in held if w.timestamp() > 0], default=None)
+        if last is not None:
+            row = self.spark.createDataFrame([((last + self.past + timedelta(seconds=1)).isoformat(),)], "at string")
+            self.feed(row.select(*[(F.col("at") if f.name == self.stamp else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema]))
+            self.run()
+        return self.spark.read.schema(self.built.schema).parquet(self.out)
+
+
+def run_closed(stream: DataFrame, build: Callable[[DataFrame], DataFrame], stamp: str, past: timedelta, label: str, later: Sequence[DataFrame] = ()) -> DataFrame:
+    """Process everything available, then each of ``later`` in a run of its own, then close: what the watermark still held back is written too."""
+    closed = ClosedRun(stream, build, stamp, past, label)
+    closed.run()
+    for rows in later:
+        closed.feed(rows)
+        closed.run()
+    return closed.close()
+
+
+def run_each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Hand every batch that is available to ``handle``; a run after a failure goes on from ``checkpoint`` with the same batch."""
+
+    def held(batch: DataFrame, number: int) -> None:
+        batch.persist()  # else each use of the batch would run the stream's state again
+        try:
+            handle(batch, number)
+        finally:
+            batch.unpersist()
+
+    q = stream.writeStream.foreachBatch(held).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
-def run_each_batch(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    spark = stream.sparkSession
-    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_dir(spark, label)).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+def deliver_flags(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """New reports are added, flags of known ones filled or replaced; the merge of a ``DayTable``."""
+    return enrich_flags(append_new(stored, incoming.select(*stored.columns)), incoming)

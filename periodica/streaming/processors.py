@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming.state import GroupState
 
-ENTRY_SCHEMA = "mmsi string, area string, entered timestamp, before timestamp, confirmed timestamp, source string"
+ENTRY_SCHEMA = "mmsi string, area string, entered timestamp, before timestamp, confirmed timestamp, source string, observed timestamp, lat double, lon double"
 STATE_SCHEMA = "body string"
 LATEST_SCHEMA = "mmsi string, observed timestamp, received timestamp, lat double, lon double, sog double, static string"
 
@@ -60,8 +60,10 @@ QUIET_MS = 1800 * 1000  # fixed value: the longest pause between two reports of
 class EntryDetector:
     """Entries per vessel; reports wait until the watermark passes them, so order does not matter.
 
-    Used with ``applyInPandasWithState``: the state of a vessel is one small
-    text that travels with its group, without a round trip per lookup.
+    A report from before the watermark comes too late for its place in the order:
+    it goes out as a row without an area, for the replay. Rows without ``observed``
+    only move the watermark. Used with ``applyInPandasWithState``: the state of a
+    vessel is one small text that travels with its group.
     """
 
     def __init__(self, areas: dict):
@@ -71,13 +73,16 @@ class EntryDetector:
         held = json.loads(state.get[0]) if state.exists else {"memory": {}, "waiting": {}}
         mark = state.getCurrentWatermarkMs()
         waiting = {int(k): v for k, v in held["waiting"].items()}
+        late = []
         if not state.hasTimedOut:
             for pdf in batches:
-                pdf = pdf.dropna(subset=["lat", "lon"])
+                pdf = pdf.dropna(subset=["observed", "lat", "lon"])
                 for stamp, lat, lon, source in zip(pdf["observed"], pdf["lat"], pdf["lon"], pdf["source"]):
                     micros = stamp.value // 1000
                     if micros // 1000 >= mark:
                         waiting.setdefault(micros, []).append([source, lat, lon])
+                    else:
+                        late.append((key[0], None, None, None, None, source, micros, lat, lon))
         memory, out = held["memory"], []
         for micros in sorted(m for m in waiting if m // 1000 < mark):
             variants = sorted(waiting.pop(micros))
@@ -85,7 +90,7 @@ class EntryDetector:
             if any(_nm((lat, lon), (b, c)) > 0.1 for _s, b, c in variants):
                 continue
             memory, events = advance(memory, (micros, lat, lon, source), self._areas)
-            out += [(key[0], area, entered, before, confirmed, src) for area, entered, before, confirmed, src in events]
+            out += [(key[0], *event, None, None, None) for event in events]
         # A report more than half an hour after the last one starts afresh, so a quiet vessel needs no state.
         ends = (memory["last"][0] // 1000 + QUIET_MS) if memory.get("last") else 0
         if not waiting and mark > ends:
@@ -94,11 +99,11 @@ class EntryDetector:
         else:
             state.update((json.dumps({"memory": memory, "waiting": waiting}),))
             state.setTimeoutTimestamp(max(min(waiting) // 1000 if waiting else ends, mark) + 1)
-        if out:
-            pdf = pd.DataFrame(out, columns=["mmsi", "area", "entered", "before", "confirmed", "source"])
-            for c in ("entered", "before", "confirmed"):
-                pdf[c] = pd.to_datetime(pdf[c], unit="us")
-            yield pdf
+        if out or late:
+            pdf = pd.DataFrame(out + late, columns=["mmsi", "area", "entered", "before", "confirmed", "source", "observed", "lat", "lon"])
+            for c in ("entered", "before", "confirmed", "observed"):
+                pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us")
+            yield pdf.astype({"lat": "float64", "lon": "float64"})
 
 
 STATIC_FIELDS = ("name", "call_sign", "destination", "category")
