@@ -229,6 +229,53 @@ def _(t):
     return fc.pick_best(k, ["series"], "rmse", "model").withColumn("rmse", f32("rmse"))
 
 
+def _removal_sql() -> str:
+    """Every subset of three variables refitted by its own normal equations, then the way down through them."""
+    m = {"1": "c11 - s1 * s1 / n", "2": "c22 - s2 * s2 / n", "3": "c33 - s3 * s3 / n"}
+    cross = {"12": "c12 - s1 * s2 / n", "13": "c13 - s1 * s3 / n", "23": "c23 - s2 * s3 / n", **{f"{i}y": f"c{i}y - s{i} * sy / n" for i in "123"}}
+    moments = ", ".join(f"sum(x{a} * x{b}) filter (where fit) as c{a}{b}" for a, b in ("11", "22", "33", "12", "13", "23")) + ", " + ", ".join(f"sum(x{a} * y) filter (where fit) as c{a}y, sum(x{a}) filter (where fit) as s{a}" for a in "123")
+    centred = ", ".join(f"{e} as m{k}{k}" for k, e in m.items()) + ", " + ", ".join(f"{e} as m{k}" for k, e in cross.items())
+    det3 = "(m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13))"
+    betas = {
+        "x1,x2,x3": (f"(m1y * (m22 * m33 - m23 * m23) - m12 * (m2y * m33 - m23 * m3y) + m13 * (m2y * m23 - m22 * m3y)) / {det3}",
+                     f"(m11 * (m2y * m33 - m23 * m3y) - m1y * (m12 * m33 - m23 * m13) + m13 * (m12 * m3y - m2y * m13)) / {det3}",
+                     f"(m11 * (m22 * m3y - m2y * m23) - m12 * (m12 * m3y - m2y * m13) + m1y * (m12 * m23 - m22 * m13)) / {det3}")}
+    for a, b in ("12", "13", "23"):
+        det = f"(m{a}{a} * m{b}{b} - m{a}{b} * m{a}{b})"
+        own = {a: f"(m{a}y * m{b}{b} - m{a}{b} * m{b}y) / {det}", b: f"(m{b}y * m{a}{a} - m{a}{b} * m{a}y) / {det}"}
+        betas[f"x{a},x{b}"] = tuple(own.get(i, "0") for i in "123")
+    for a in "123":
+        betas[f"x{a}"] = tuple(f"m{a}y / m{a}{a}" if i == a else "0" for i in "123")
+    models = " union all ".join(f"select g, '{k}' as kept, {b[0]} as b1, {b[1]} as b2, {b[2]} as b3, n, s1, s2, s3, sy from centred" for k, b in betas.items())
+    return f"""
+, moments as (select g, count(*) filter (where fit) as n, sum(y) filter (where fit) as sy, {moments} from obs group by 1),
+centred as (select g, n, s1, s2, s3, sy, {centred} from moments),
+models as ({models}),
+scored as (select models.g, kept, len(string_split(kept, ',')) as k, sqrt(avg(pow(y - ((sy - b1 * s1 - b2 * s2 - b3 * s3) / n + b1 * x1 + b2 * x2 + b3 * x3), 2))) as score
+  from models join obs on obs.g = models.g and not fit group by 1, 2),
+r0 as (select g, score, kept from scored where k = 3),
+r1 as (select g, min(score) as score, min_by(kept, score) as kept from scored where k = 2 group by 1),
+r1k as (select r1.* from r1 join r0 using (g) where r1.score < r0.score),
+r2 as (select r1k.g, min(s.score) as score, min_by(s.kept, s.score) as kept, any_value(r1k.score) as before, any_value(r1k.kept) as had from r1k join scored s on s.g = r1k.g and s.k = 1 and contains(r1k.kept, s.kept) group by 1),
+way as (select g, 0 as round, null as removed, score, kept from r0
+  union all select r1k.g, 1, case when not contains(r1k.kept, 'x1') then 'x1' when not contains(r1k.kept, 'x2') then 'x2' else 'x3' end, r1k.score, r1k.kept from r1k
+  union all select g, 2, trim(replace(had, kept, ''), ','), score, kept from r2 where score < before)
+select g, round::int as round, removed, {q6('score')} as score, kept from way"""
+
+
+_REMOVAL = """
+, obs as (select indicator as g, day < date '1997-01-01' as fit, sum(amount)::double / 1e5 as y, (count(*) % 3)::double as x1, avg(o_custkey % 100)::double / 10 as x2, count(*)::double as x3 from orders_day group by indicator, day)"""
+
+
+@query("n10_backward_removal", ctes("orders_day") + _REMOVAL + _removal_sql())
+def _(t):
+    n = F.count(F.lit(1))
+    obs = c.orders_day(t).groupBy(F.col("indicator").alias("g"), "day").agg(
+        (F.sum("amount").cast("double") / 1e5).alias("y"), (n % 3).cast("double").alias("x1"), (F.avg(F.col("o_custkey") % 100) / 10).alias("x2"), n.cast("double").alias("x3"))
+    rounds = fc.backward_removal(obs, ["g"], "y", ["x1", "x2", "x3"], F.col("day") < D("1997-01-01"))
+    return rounds.withColumn("score", r6("score")).withColumn("kept", F.array_join("kept", ","))
+
+
 _FACTORS = """
 , f as (select period, max(qty) filter (where indicator = 'AF') / 1000 as f1, max(qty) filter (where indicator = 'RO') / 1000 as f2 from flag_month group by 1),
 y as (select indicator, period, value / 1000 as y from customer_month)"""

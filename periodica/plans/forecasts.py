@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -133,3 +134,107 @@ def backward_select(scores: Callable[[list[str]], DataFrame], variables: list[st
         best = row["score"]
         history.append((row["removed"], best))
     return current, history
+
+
+def _removal_rounds(train: np.ndarray, check: np.ndarray, rows: tuple[int, int], names: list[str], least: int) -> list[tuple[int, str | None, float | None, list[str]]]:
+    """(round, removed, score, kept) from the moments of (constant, variables, target) of training and checking rows.
+
+    All models that lack one more variable follow from the inverse Gram matrix of
+    the present one: their coefficients are shifted along its columns, and it
+    shrinks by the removed row and column.
+    """
+    kept = list(range(1, len(names) + 1))
+    target = len(names) + 1
+
+    def error(beta: np.ndarray, at: list[int]) -> float:
+        """Root of the mean squared error on the checking rows."""
+        sse = check[target, target] - 2 * beta @ check[at, target] + beta @ check[np.ix_(at, at)] @ beta
+        return float(np.sqrt(max(0.0, sse) / rows[1]))
+
+    def solved(at: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        gram = train[np.ix_(at, at)]
+        scale = 1 / np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+        scaled = gram * np.outer(scale, scale)
+        if rows[0] <= len(at) or np.linalg.matrix_rank(scaled, tol=1e-10, hermitian=True) < len(at):
+            return None
+        inverse = np.linalg.inv(scaled) * np.outer(scale, scale)
+        return inverse, inverse @ train[at, target]
+
+    if not rows[1]:
+        return [(0, None, None, names)]
+    now = solved([0, *kept])
+    best = error(now[1], [0, *kept]) if now else None
+    out = [(0, None, best, list(names))]
+    while len(kept) > least:
+        at = [0, *kept]
+        if now:
+            inverse, beta = now
+            tried = []
+            for place, variable in enumerate(kept, 1):
+                shifted = beta - inverse[:, place] * (beta[place] / inverse[place, place])
+                shifted[place] = 0.0
+                tried.append((error(shifted, at), names[variable - 1], variable))
+        else:  # dependent variables: each smaller model on its own, until one can be solved
+            alone = {v: solved([0, *[k for k in kept if k != v]]) for v in kept}
+            tried = [(error(fit[1], [0, *[k for k in kept if k != v]]), names[v - 1], v) for v, fit in alone.items() if fit]
+        score, name, variable = min(tried, default=(np.inf, None, 0))
+        if not np.isfinite(score) or best is not None and not score < best:
+            break
+        if now:
+            place = kept.index(variable) + 1
+            left = [i for i in range(len(at)) if i != place]
+            inverse = inverse - np.outer(inverse[:, place], inverse[place]) / inverse[place, place]
+            inverse = inverse[np.ix_(left, left)]
+            kept.remove(variable)
+            now = inverse, inverse @ train[[0, *kept], target]
+        else:
+            kept.remove(variable)
+            now = solved([0, *kept])
+        best = score
+        out.append((len(out), name, score, [names[v - 1] for v in kept]))
+    return out
+
+
+def backward_removal(df: DataFrame, keys: list[str], y: str, xs: list[str], train: Column, keep_at_least: int = 1) -> DataFrame:
+    """Rounds of dropping the variable whose absence lowers the error most: (keys, round, removed, score, kept).
+
+    Linear models with a constant are fitted on the ``train`` rows and scored by
+    the root mean squared error on the others. Round 0 is the full model; ties go
+    to the first name; a group ends where no removal helps or ``keep_at_least``
+    variables are left. The rows are read once, for the sums of products of each
+    group; a group's rounds then work on these alone. Rows with a null in ``y`` or
+    ``xs`` are left out; a group without rows to score has no score.
+    """
+    if keep_at_least < 1 or not xs:
+        raise ValueError("at least one variable must be kept")
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in [*xs, y]]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    valid = df.withColumn("_train", train)
+    for c in [y, *xs, "_train"]:
+        valid = valid.where(F.col(c).isNotNull())
+    part = lambda flag: F.array(*[F.sum(F.when(flag, cols[i] * cols[j]).otherwise(0.0)) for i, j in pairs])
+    sums = valid.groupBy(*keys).agg(part(F.col("_train")).alias("_fit"), part(~F.col("_train")).alias("_check"))
+    size, names = len(cols), list(xs)
+
+    def square(flat) -> np.ndarray:
+        m = np.zeros((size, size))
+        for (i, j), v in zip(pairs, flat):
+            m[i, j] = m[j, i] = v
+        return m
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                fit, check = square(row[-2]), square(row[-1])
+                rounds = _removal_rounds(fit, check, (int(fit[0, 0]), int(check[0, 0])), names, keep_at_least)
+                out += [(*row[:-2], *r) for r in rounds]
+            yield pd.DataFrame(out, columns=[*keys, "round", "removed", "score", "kept"])
+
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keys)
+    return sums.mapInPandas(run, f"{kinds}round int, removed string, score double, kept array<string>")
+
+
+def kept_variables(rounds: DataFrame, keys: list[str]) -> DataFrame:
+    """The last round of each group."""
+    return rounds.groupBy(*keys).agg(F.max_by(F.struct("score", "kept"), "round").alias("_l"), F.max("round").alias("removals")).select(*keys, "_l.*", "removals")
