@@ -9,6 +9,7 @@ from periodica.catalog.carriers import ctes
 from periodica.catalog.registry import f32, q6, qf, query, r6
 from periodica.functions import geo
 from periodica.functions import text as tx
+from periodica.functions.folding import fold_compatible
 from periodica.functions.measures import change_by_rule, difference_rule, min_max_index, zscore
 from periodica.plans.alignment import log_by_series
 from periodica.plans.factors import train_standardise
@@ -37,6 +38,13 @@ def _(t):
     return t.documents.select("doc_id", F.md5(tx.normalise_text(F.replace("text", F.lit("the"), F.lit("ＴＨＥ（")))).alias("digest"))
 
 
+@query("c02_compatible_forms", """
+select doc_id, md5(replace(replace(text, 'e', 'fi10ガ '), 'a', '(株)kg1⁄2é2IV')) as digest from documents""")
+def _(t):
+    folded = fold_compatible(F.replace(F.replace("text", F.lit("e"), F.lit("ﬁ⑩ｶﾞ　")), F.lit("a"), F.lit("㈱㎏½e\u0301²Ⅳ")))
+    return t.documents.select("doc_id", F.md5(folded).alias("digest"))
+
+
 @query("c03_match_names", """
 select l.lang, l.n, r.n as reversed from (select lower(lang) as lang, count(*) as n from documents group by 1) l join (select lower(upper(lang)) as lang, count(distinct source) as n from documents group by 1) r using (lang)""")
 def _(t):

@@ -15,6 +15,7 @@ from periodica.plans import forecasts as fc
 from periodica.plans import scopes as sc
 from periodica.plans import series_pairs as spairs
 from periodica.plans import series_tests as st
+from periodica.plans import warping as wp
 
 D = lambda s: F.lit(s).cast("date")
 SERIES = lambda df: df.select(F.col("indicator").alias("series"), F.col("period").alias("ts"), "value")
@@ -82,10 +83,54 @@ def _(t):
     return best.withColumn("kl", r6("kl"))
 
 
-@query("n04_dtw_distance", None)
-def _(t):
+def _warp_sql(strict: bool, radius: int | None) -> str:
+    """The cost matrix of each pair, one anti-diagonal a step, as lists over the target's places."""
+    common = """
+k as (select target, candidate, x.ts, x.value as x, y.value as y from p join s x on x.n = target join s y on y.n = candidate and y.ts = x.ts),
+pts as (select target, candidate, 'a' as side, ts, x as value from k union all select target, candidate, 'b', ts, y from k)"""
+    ranged = """
+bounds as (select n, min(ts) as f, max(ts) as l from s group by 1),
+r as (select target, candidate, greatest(x.f, y.f) as f, least(x.l, y.l) as l from p join bounds x on x.n = target join bounds y on y.n = candidate),
+pts as (select target, candidate, 'a' as side, ts, value from r join s on s.n = target and ts between f and l union all select target, candidate, 'b', ts, value from r join s on s.n = candidate and ts between f and l)"""
+    band = f"abs(i - (d + 1 - i)) <= {radius}" if radius else "true"
+    narrow = f"when abs(n - m) > {radius} then 'band_too_narrow'" if radius else ""
+    return f"""
+, {(common if strict else ranged).strip()},
+z as (select target, candidate, side, ts, coalesce((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), value) as v from pts window w as (partition by target, candidate, side)),
+seq as (select target, candidate, list(v order by ts) filter (where side = 'a') as a, list(v order by ts) filter (where side = 'b') as b from z group by 1, 2),
+sized as (select p.target, p.candidate, coalesce(len(a), 0) as n, coalesce(len(b), 0) as m, a, b from p left join seq using (target, candidate)),
+judged as (select *, case when n < 4 or m < 4 then 'insufficient_data' {narrow} end as reason from sized),
+-- cur and prev hold the cells of the last two anti-diagonals at place i + 1
+w as (select target, candidate, a, b, n, m, 1 as d, list_transform(range(0, n + 1), lambda i: 'inf'::double) as cur, list_transform(range(0, n + 1), lambda i: case when i = 0 then 0.0 else 'inf'::double end) as prev
+  from judged where reason is null
+  union all select target, candidate, a, b, n, m, d + 1, list_transform(range(0, n + 1), lambda i: case when i >= 1 and d + 1 - i between 1 and m and {band}
+    then pow(a[i] - b[d + 1 - i], 2) + least(cur[i], cur[i + 1], prev[i]) else 'inf'::double end), cur from w where d < n + m)
+select j.target, j.candidate, j.n::bigint as points, j.m::bigint as other_points, {q6('sqrt(w.cur[j.n + 1])')} as distance, reason from judged j left join w on w.target = j.target and w.candidate = j.candidate and w.d = j.n + j.m"""
+
+
+def warped(t, **options):
     s, p = customer_pairs(t)
-    return spairs.dtw_distances(s, p, radius=None, standardise=True, minimum=4).withColumn("distance", r6("distance"))
+    return wp.dtw_distances(s, p, standardise=True, minimum=4, **options).withColumn("distance", r6("distance"))
+
+
+@query("n04_dtw_distance", ctes("customer_month") + _PAIRS + _warp_sql(True, None))
+def _(t):
+    return warped(t)
+
+
+@query("n04_dtw_band", ctes("customer_month") + _PAIRS + _warp_sql(True, 2))
+def _(t):
+    return warped(t, radius=2)
+
+
+@query("n04_dtw_range", ctes("customer_month") + _PAIRS + _warp_sql(False, None))
+def _(t):
+    return warped(t, strict=False)
+
+
+@query("n04_dtw_range_band", ctes("customer_month") + _PAIRS + _warp_sql(False, 3))
+def _(t):
+    return warped(t, strict=False, radius=3)
 
 
 @query("n05_dickey_fuller", ctes("flag_month") + f"""
@@ -296,11 +341,40 @@ def _(t):
 
 @query("n12_factor_variance", None)
 def _(t):
-    size = 64
-    v = fa.factor_variance(t.embeddings, "embedding", F.col("vec_id") % 5 != 0, size)
-    picks = {m: fa.choose_factor_count(v, m, cumulative=0.5, elbow=-0.0005) if m != "elbow" else fa.choose_factor_count(v, m, elbow=0.1) for m in ("fixed", "cumulative", "elbow", "kaiser")}
-    means = t.embeddings.agg(F.count(F.lit(1)).alias("vectors"))
-    return means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("factors")) for m, k in picks.items()])).alias("r"), "vectors").select("r.*", "vectors")
+    v = fa.component_variance(t.embeddings, "embedding", F.col("vec_id") % 5 != 0)
+    return fa.factor_counts(v, cumulative=0.5, elbow=0.1).withColumn("vectors", t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+_ORDER_DAYS = """
+, obs as (select day, sum(amount)::double / 1e5 as x1, count(*)::double as x2, avg(o_custkey % 100)::double as x3 from orders_day where day < date '1997-01-01' group by day),
+r as (select corr(x1, x2) as a, corr(x1, x3) as b, corr(x2, x3) as c from obs),
+-- eigenvalues of a symmetric matrix of three variables with a unit diagonal
+q as (select sqrt((a * a + b * b + c * c) / 3) as p, a * b * c as d from r),
+f as (select p, acos(greatest(-1, least(1, d / pow(p, 3)))) / 3 as phi from q),
+e as (select 1 + 2 * p * cos(phi) as v1, 1 + 2 * p * cos(phi + 2 * pi() / 3) as v3 from f),
+v as (select unnest([1, 2, 3])::int as component, unnest([v1, 3 - v1 - v3, v3]) as eigenvalue from e)"""
+
+
+def order_components(t):
+    days = c.orders_day(t).groupBy("day").agg(
+        F.array((F.sum("amount").cast("double") / 1e5), F.count(F.lit(1)).cast("double"), F.avg(F.col("o_custkey") % 100)).alias("x"))
+    return fa.component_variance(days, "x", F.col("day") < D("1997-01-01"))
+
+
+@query("n12_components", ctes("orders_day") + _ORDER_DAYS + f"""
+select component, {q6('eigenvalue')} as eigenvalue, {q6('eigenvalue / 3')} as share from v""")
+def _(t):
+    return order_components(t).select("component", r6("eigenvalue").alias("eigenvalue"), r6("share").alias("share"))
+
+
+@query("n12_factor_counts", ctes("orders_day") + _ORDER_DAYS + """
+, w as (select component, eigenvalue, sum(eigenvalue / 3) over (order by component) as reached, (eigenvalue - lag(eigenvalue) over (order by component)) / 3 as step from v)
+select 'fixed' as method, 2 as factors union all
+select 'cumulative', greatest(1, least(min(component) filter (where reached >= 0.9), 2)) from w union all
+select 'elbow', case when count(*) filter (where step < -0.2) > 0 then greatest(1, least(min(component - 1) filter (where step < -0.2), 2)) end from w union all
+select 'kaiser', case when count(*) filter (where eigenvalue > 0.9) > 0 then greatest(1, least(count(*) filter (where eigenvalue > 0.9), 2)) end::int from w""")
+def _(t):
+    return fa.factor_counts(order_components(t), cumulative=0.9, elbow=-0.2, kaiser=0.9)
 
 
 _NEWS = """

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
+from periodica.functions.folding import fold_compatible
 from periodica.functions.measures import as_col
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with a value that is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # fixed values: full-width marks and their half-width forms
 WIDE_MARKS, NARROW_MARKS = "（）：　", "(): "
 
 
 def normalise_name(value: Column | str) -> Column:
-    """Half-width brackets and colons, one space after a colon, single spaces."""
-    c = F.translate(as_col(value), WIDE_MARKS, NARROW_MARKS)
-    c = F.regexp_replace(c, r":(?!\s)", ": ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Half-width brackets and colons; words, and what follows a colon, stand one space apart."""
+    parts = F.split(F.translate(as_col(value), WIDE_MARKS, NARROW_MARKS), ":")
+    words = F.split(F.array_join(parts, ": "), r"\s+")
+    return F.array_join(F.filter(words, lambda w: w != ""), " ")
 
 
 # fixed values: marks that shed the spaces around them
 TIGHT_MARKS = r":：,，()（）\[\]【】{}\-—·.。"
-WIDE_ASCII = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "　"
-ASCII = "".join(chr(i) for i in range(0x21, 0x7F)) + " "
 
 
 def normalise_text(value: Column | str, lower: bool = True) -> Column:
-    """Compatibility forms of the full-width block, no spaces around marks, lower case."""
-    c = F.translate(F.coalesce(as_col(value).cast("string"), F.lit("")), WIDE_ASCII, ASCII)
+    """Compatibility forms folded, no spaces around marks, lower case."""
+    c = fold_compatible(F.coalesce(as_col(value).cast("string"), F.lit("")))
     c = F.trim(c)
     c = F.regexp_replace(c, f" ?([{TIGHT_MARKS}]) ?", "$1")
     c = F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -35,21 +41,31 @@ def normalise_text(value: Column | str, lower: bool = True) -> Column:
 
 
 # fixed values: the brackets of remarks
-BRACKETS = (("（", "）"), ("(", ")"))
-INNER_REMARK = r"\s*(?:" + "|".join(f"[{a}][^{a}{b}]*[{b}]" for a, b in BRACKETS) + ")"
+OPENING, CLOSING = "（(", "）)"
 
 
 def strip_parentheses(value: Column | str) -> Column:
-    """Bracketed remarks removed from the inside out, at any depth.
+    """Text without bracketed remarks, at any depth, and without the blanks before them.
 
-    Each pass takes the innermost remarks, so as many passes as the text has
-    closing brackets leave none.
+    One pass over the marks keeps the text so far and where each open bracket
+    stands in it; a closing one cuts the text back to the last of its kind. Brackets
+    without a partner stay.
     """
     c = as_col(value)
-    closing = "".join(b for _, b in BRACKETS)
-    passes = F.length(c) - F.length(F.translate(c, closing, ""))
-    turns = F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))
-    return F.trim(F.aggregate(turns, c, lambda text, _: F.regexp_replace(text, INNER_REMARK, "")))
+    pieces = F.regexp_extract_all(c, F.lit(f"[{OPENING}{CLOSING}]|[^{OPENING}{CLOSING}]+"), F.lit(0))
+    start = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<closes:string,at:int>>").alias("open"))
+
+    def read(seen: Column, piece: Column) -> Column:
+        partners = F.filter(seen["open"], lambda o: o["closes"] == piece)
+        longer = F.concat(seen["text"], piece)
+        at = F.element_at(partners, -1)["at"]
+        cut = F.regexp_replace(F.substring(seen["text"], F.lit(1), at), r"\s+$", "")
+        opened = F.concat(seen["open"], F.array(F.struct(F.translate(piece, OPENING, CLOSING).alias("closes"), F.length(seen["text"]).alias("at"))))
+        return F.when(piece.isin(*OPENING), F.struct(longer.alias("text"), opened.alias("open"))).when(
+            F.size(partners) > 0, F.struct(cut.alias("text"), F.filter(seen["open"], lambda o: o["at"] < at).alias("open"))).otherwise(
+            F.struct(longer.alias("text"), seen["open"].alias("open")))
+
+    return F.trim(F.aggregate(pieces, start, read)["text"])
 
 
 def translate_sources(value: Column | str, names: dict[str, str]) -> Column:
@@ -128,8 +144,10 @@ def format_currency(value: Column, currency: str, scale: float = 1.0) -> Column:
     return F.when(F.abs(hundred_million) < 1000, small).otherwise(F.concat(display_number(base / 1e12), F.lit(f" 万亿{currency}")))
 
 
-# fixed values: words that make a bound open, and unit factors
-OPEN_BOUND = r"[><]|以上|以下|超过|至少|不低于|不超过"
+# fixed values: words that make a bound open, words for "about", marks of a range, and unit factors
+OPEN_BOUNDS = (">", "<", "以上", "以下", "超过", "至少", "不低于", "不超过")
+ABOUT = ("约", "大约", "近", "≈", "~")
+RANGE_MARKS = ("–", "—", "−", "~", "至", "-")
 RATE_UNITS = {"千桶/日": 10, "千桶油当量/日": 10, "桶/日": 10000, "百万立方米/日": 1, "百万标准立方英尺/日": 1}
 
 
@@ -137,52 +155,90 @@ def _rate_divisor(unit: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in RATE_UNITS.items() for x in kv])[unit]
 
 
+def _plain(value: Column) -> Column:
+    return F.trim(F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit(","), F.lit("")))
+
+
+def leading_number(text: Column) -> tuple[Column, Column]:
+    """The number that a text begins with (empty without one), and the text behind it without outer blanks."""
+    number = F.regexp_extract(text, r"^(?:\d+(?:\.\d+)?|\.\d+)", 0)
+    return number, F.trim(F.substring(text, F.length(number) + 1, F.length(text)))
+
+
 def daily_rate(value: Column, qualifier: Column, unit: Column) -> Column:
-    """Daily rate from text as (amount, midpoint); open bounds and reversed ranges give NULL."""
-    raw = F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), ",", ""))
-    open_bound = F.concat(raw, F.coalesce(qualifier, F.lit(""))).rlike(OPEN_BOUND)
-    text = F.regexp_replace(raw, r"^(?:约|大约|近|≈|~)\s*", "")
-    text = F.regexp_replace(text, r"(?<![\d.])\.(?=\d)", "0.")
-    pattern = r"^(\d+(?:\.\d+)?)\s*(?:[–—−~至-]\s*(\d+(?:\.\d+)?))?$"
-    low = F.regexp_extract(text, pattern, 1).try_cast("double")
-    high = F.regexp_extract(text, pattern, 2).try_cast("double")
-    amount = F.when(high.isNull(), low).when(high >= low, (low + high) / 2)
-    divided = amount / _rate_divisor(unit)
-    ok = ~open_bound & text.rlike(pattern)
-    return F.struct(F.when(ok, divided).alias("amount"), (ok & amount.isNotNull() & high.isNotNull()).alias("midpoint"))
+    """Daily rate from text as (amount, midpoint); open bounds and reversed ranges give NULL.
+
+    Read from left to right: a word for "about", a number, and for a range its
+    mark and a second number; nothing else may follow.
+    """
+    raw = _plain(value)
+    whole = F.concat(raw, F.coalesce(qualifier, F.lit("")))
+    is_open = bound(whole, lambda text: F.exists(F.array(*map(F.lit, OPEN_BOUNDS)), lambda w: F.contains(text, w)))
+
+    def without_about(r: Column) -> Column:
+        said = F.filter(F.array(*[F.lit(w) for w in sorted(ABOUT, key=len, reverse=True)]), lambda w: F.startswith(r, w))
+        return F.when(F.size(said) > 0, F.trim(F.substring(r, F.length(said[0]) + 1, F.length(r)))).otherwise(r)
+
+    def numbers(text: Column) -> Column:
+        first, rest = leading_number(text)
+        return F.struct(first.alias("first"), rest.alias("rest"), *[c.alias(n) for n, c in zip(("second", "after"), leading_number(F.trim(F.substring(rest, F.lit(2), F.length(rest)))))])
+
+    def read(n: Column) -> Column:
+        low, high = n["first"].try_cast("double"), n["second"].try_cast("double")
+        single = (n["first"] != "") & (n["rest"] == "")
+        span = (n["first"] != "") & F.substring(n["rest"], 1, 1).isin(*RANGE_MARKS) & (n["second"] != "") & (n["after"] == "") & (high >= low)
+        amount = F.when(single, low).when(span, (low + high) / 2)
+        return F.struct(amount.alias("amount"), F.coalesce(span, F.lit(False)).alias("midpoint"))
+
+    found = bound(bound(bound(raw, without_about), numbers), read)
+    return F.struct(F.when(~is_open, found["amount"] / _rate_divisor(unit)).alias("amount"), (~is_open & found["midpoint"]).alias("midpoint"))
 
 
 def plain_amount(value: Column, qualifier: Column, unit: Column) -> Column:
-    raw = F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), ",", ""))
-    ok = raw.rlike(r"^\d+(?:\.\d+)?$") & (F.coalesce(qualifier, F.lit("")) == "")
+    """A rate written as a bare number, without a qualifier."""
+    raw = _plain(value)
+    number, rest = leading_number(raw)
+    ok = (number != "") & (rest == "") & ~F.startswith(raw, F.lit(".")) & (F.coalesce(qualifier, F.lit("")) == "")
     return F.when(ok, raw.try_cast("decimal(28,8)") / _rate_divisor(unit))
 
 
+def _period_words() -> list[tuple[str, bool | None, bool, str, int]]:
+    """(words behind the year, behind its year mark or not, average said somewhere, code behind the year, last month).
+
+    ``None`` for the mark: either way. The words are fixed values.
+    """
+    out = [(f"{lead}{mark}季度平均", None, False, f"-Q{q}", 3 * q) for lead in ("", "第") for q, pair in enumerate(("1一", "2二", "3三", "4四"), 1) for mark in pair]
+    out += [("上半年", None, True, "-H1", 6), ("下半年", None, True, "-H2", 12)]
+    out += [(f"{m}月平均", True, False, f"-{int(m):02d}", int(m)) for m in [*map(str, range(1, 13)), *(f"0{i}" for i in range(1, 10))]]
+    return out + [("历史日均", True, False, "", 12), ("平均", True, False, "", 12), ("全年平均", False, False, "", 12), ("全年", False, True, "", 12)]
+
+
 def observation_period(text: Column) -> Column:
-    """(code, end) of a reporting period written in words."""
-    t = F.coalesce(text, F.lit(""))
-    ex = lambda p, i: F.regexp_extract(t, p, i)
-    quarter = r"^(\d{4})年?(?:第)?([一二三四1-4])季度平均"
-    half, month = r"^(\d{4})年?(上半年|下半年)", r"^(\d{4})年(\d{1,2})月平均"
-    year, instant = r"^(\d{4})(?:年历史日均|年平均|全年平均|全年.*日均)", r"^(\d{4}-\d\d-\d\d)"
-    q = F.translate(ex(quarter, 2), "一二三四", "1234")
-    is_half = t.rlike(half) & (t.contains("平均") | t.contains("日均"))
-    first = ex(half, 2) == "上半年"
-    date = lambda y, m: F.last_day(F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-01")), "yyyy-MM-dd"))
-    code = (
-        F.when(t.rlike(quarter), F.concat(ex(quarter, 1), F.lit("-Q"), q))
-        .when(is_half, F.concat(ex(half, 1), F.when(first, "-H1").otherwise("-H2")))
-        .when(t.rlike(month), F.concat(ex(month, 1), F.lit("-"), F.lpad(ex(month, 2), 2, "0")))
-        .when(t.rlike(year), ex(year, 1))
-    )
-    end = (
-        F.when(t.rlike(quarter), date(ex(quarter, 1), (q.try_cast("int") * 3).cast("string")))
-        .when(is_half, date(ex(half, 1), F.when(first, "6").otherwise("12")))
-        .when(t.rlike(month), date(ex(month, 1), ex(month, 2)))
-        .when(t.rlike(year), date(ex(year, 1), F.lit("12")))
-        .when(t.rlike(instant), ex(instant, 1).try_cast("date"))
-    )
-    return F.struct(code.alias("code"), end.alias("end"))
+    """(code, end) of a reporting period written in words: its year, and the first known words behind it.
+
+    A date at the start has an end but no code.
+    """
+    table = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(mark).cast("boolean").alias("mark"), F.lit(2 if name == "全年" else int(said)).alias("said"), F.lit(code).alias("code"), F.lit(last).alias("last"))
+        for name, mark, said, code, last in _period_words()])
+
+    def split(t: Column) -> Column:
+        rest = F.substring(t, F.lit(5), F.length(t))
+        marked = F.startswith(rest, F.lit("年"))
+        words = F.when(marked, F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+        says = F.when(F.contains(t, F.lit("日均")), 2).when(F.contains(t, F.lit("平均")), 1).otherwise(0)
+        return F.struct(t.alias("t"), F.when(t.rlike(r"^\d{4}"), F.substring(t, 1, 4)).alias("year"), marked.alias("marked"), words.alias("words"), says.alias("says"))
+
+    def known(p: Column) -> Column:
+        hits = F.filter(table, lambda k: F.startswith(p["words"], k["name"]) & (k["mark"].isNull() | (k["mark"] == p["marked"])) & (p["says"] >= k["said"]))
+        day = F.when(p["t"].rlike(r"^\d{4}-\d\d-\d\d"), F.substring(p["t"], 1, 10).try_cast("date"))
+        return F.struct(p["year"].alias("year"), F.when(p["year"].isNotNull(), F.get(hits, F.lit(0))).alias("hit"), day.alias("day"))
+
+    def named(k: Column) -> Column:
+        month = F.last_day(F.make_date(k["year"].cast("int"), k["hit"]["last"], F.lit(1)))
+        return F.struct(F.concat(k["year"], k["hit"]["code"]).alias("code"), F.when(k["hit"].isNotNull(), month).otherwise(k["day"]).alias("end"))
+
+    return bound(bound(bound(F.coalesce(text, F.lit("")), split), known), named)
 
 
 def guard_formula(value: Column | str) -> Column:

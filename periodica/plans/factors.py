@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.operators.joins import backward_asof
 from periodica.operators.quality import QualityError
@@ -26,40 +29,88 @@ def loadings(observed: DataFrame, factors: DataFrame, period: str, variable: str
     return fit.select(variable, F.col("term").alias("factor"), F.col("coefficient").alias("loading"), "n")
 
 
-def factor_variance(vectors: DataFrame, column: str, train: Column, size: int) -> list[tuple[float, float]]:
-    """(share, eigenvalue) of all components of the standardised training rows.
+def moment_cells(vectors: DataFrame, column: str) -> DataFrame:
+    """(size, i, j, value) of the summed outer product of (1, vector), for i <= j.
+
+    Each task adds up its own rows and sends one cell per pair of variables, so
+    what meets does not grow with the rows. Null vectors are left out; vectors of
+    different lengths are an error.
+    """
 
-    ``size`` is the number of variables, which bounds the matrix the driver sees.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            rows = [r for r in batch.column(0).to_pylist() if r is not None]
+            if rows:
+                if len({len(r) for r in rows} | ({len(total) - 1} if total is not None else set())) > 1:
+                    raise ValueError("vectors differ in length")
+                x = np.column_stack([np.ones(len(rows)), np.asarray(rows, dtype=np.float64)])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            size = pa.array(np.full(len(i), len(total)), pa.int32())
+            yield pa.RecordBatch.from_arrays([size, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["size", "i", "j", "value"])
+
+    cells = vectors.select(F.col(column).cast("array<double>")).mapInArrow(run, "size int, i int, j int, value double")
+    return cells.groupBy("size", "i", "j").agg(F.sum("value").alias("value"))
+
+
+def component_variance(vectors: DataFrame, column: str, train: Column) -> DataFrame:
+    """(component, eigenvalue, share) of the standardised training rows, largest first.
+
+    The correlation matrix comes from summed outer products; its eigenvalues are
+    found in one task that holds one number per pair of variables. A variable
+    without spread has no part; without two training rows there are no components.
+    """
+    cells = moment_cells(vectors.where(train), column).groupBy().agg(F.collect_list(F.struct("size", "i", "j", "value")).alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for listed in pdf["cells"]:
+                sizes = {c["size"] for c in listed}
+                if len(sizes) > 1:
+                    raise ValueError("vectors differ in length")
+                if not sizes:
+                    continue
+                size = sizes.pop()
+                m = np.zeros((size, size))
+                for c in listed:
+                    m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["value"]
+                n = m[0, 0]
+                if n < 2:
+                    continue
+                mean = m[0, 1:] / n
+                cov = m[1:, 1:] / n - np.outer(mean, mean)
+                own = np.diag(cov)
+                spread = own > 1e-12 * (np.diag(m)[1:] / n)
+                sd = np.sqrt(np.where(spread, own, 1.0))
+                corr = np.where(np.outer(spread, spread), cov / np.outer(sd, sd), 0.0)
+                values = np.linalg.eigvalsh(corr)[::-1]
+                total = values.sum()
+                yield pd.DataFrame({"component": np.arange(1, size, dtype="int32"), "eigenvalue": values, "share": values / total if total > 0 else np.full(size - 1, np.nan)})
+
+    return cells.mapInPandas(run, "component int, eigenvalue double, share double")
+
+
+def factor_counts(variance: DataFrame, fixed: int = 2, cumulative: float = 0.9, elbow: float = 0.1, kaiser: float = 1.0) -> DataFrame:
+    """(method, factors) by the four rules, as columns over the components; null where a rule finds none.
+
+    ``fixed`` needs that many components; ``cumulative`` takes the first components
+    that reach the share; ``elbow`` stops where a share rises by less than the bound
+    on the one before; ``kaiser`` counts large eigenvalues. All but the fixed count
+    leave one component out at least and one in.
     """
-    rows = vectors.where(train).select(array_to_vector(F.col(column).cast("array<double>")).alias("raw"))
-    scaled = StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True).fit(rows).transform(rows)
-    model = PCA(k=size, inputCol="z", outputCol="p").fit(scaled)
-    return [(float(s), float(s) * size) for s in model.explainedVariance.toArray()]
-
-
-def choose_factor_count(variance: list[tuple[float, float]], method: str, fixed: int = 2, cumulative: float = 0.9, elbow: float = 0.1, kaiser: float = 1.0) -> int:
-    shares, values = [s for s, _ in variance], [v for _, v in variance]
-    size = len(shares)
-    if method == "fixed":
-        if fixed > size:
-            raise ValueError("more factors than components")
-        return fixed
-    if method == "cumulative":
-        total, k = 0.0, None
-        for i, s in enumerate(shares, 1):
-            total += s
-            if total >= cumulative:
-                k = i
-                break
-    elif method == "elbow":
-        k = next((i for i in range(1, size) if shares[i] - shares[i - 1] < elbow), None)
-    elif method == "kaiser":
-        k = sum(v > kaiser for v in values) or None
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    if k is None:
-        raise ValueError(f"{method} rule found no factor count")
-    return max(1, min(k, size - 1))
+    order = Window.partitionBy(F.lit(1)).orderBy("component")
+    size = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    v = variance.select("component", "eigenvalue", size.alias("size"), F.sum("share").over(order).alias("reached"), (F.col("share") - F.lag("share").over(order)).alias("step"))
+    rules = v.agg(
+        F.max("size").alias("size"), F.min(F.when(F.col("reached") >= cumulative, F.col("component"))).alias("cumulative"),
+        F.min(F.when(F.col("step") < elbow, F.col("component") - 1)).alias("elbow"), F.count_if(F.col("eigenvalue") > kaiser).cast("int").alias("kaiser"))
+    kept = lambda c: F.greatest(F.lit(1), F.least(c, F.col("size").cast("int") - 1))
+    found = {
+        "fixed": F.when(F.col("size") >= fixed, F.lit(fixed)), "cumulative": F.when(F.col("cumulative").isNotNull(), kept(F.col("cumulative"))),
+        "elbow": F.when(F.col("elbow").isNotNull(), kept(F.col("elbow"))), "kaiser": F.when(F.col("kaiser") > 0, kept(F.col("kaiser")))}
+    return rules.select(F.inline(F.array(*[F.struct(F.lit(m).alias("method"), k.cast("int").alias("factors")) for m, k in found.items()])))
 
 
 def news_impacts(releases: DataFrame, predictions: DataFrame, gains: DataFrame, target: DataFrame, target_sd: Column) -> DataFrame:

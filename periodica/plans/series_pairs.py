@@ -1,13 +1,10 @@
-"""Pairs of series at many lags: histograms, divergence, lead-lag scans, warping."""
+"""Pairs of series at many lags: histograms, divergence, lead-lag scans."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions.measures import zscore
-from periodica.operators.joins import align_pairs
 
 PAIR = ["target", "candidate"]
 MIN_SAMPLES = 10  # fixed value
@@ -103,51 +100,6 @@ def lead_lag_scan(series: DataFrame, pairs: DataFrame, max_lag: int, best_within
     return scan, best
 
 
-def warp_distance(a: np.ndarray, b: np.ndarray, radius: int | None) -> float:
-    """Warping distance with squared costs, filled along anti-diagonals; inside one task."""
-    n, m = len(a), len(b)
-    prev2 = np.full(n + 1, np.inf)
-    prev1 = np.full(n + 1, np.inf)
-    prev2[0] = 0.0  # cell (0, 0)
-    for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        cur = np.full(n + 1, np.inf)
-        cost = (a[i - 1] - b[j - 1]) ** 2
-        if radius is not None:
-            cost = np.where(np.abs(i - j) <= radius, cost, np.inf)
-        cur[i] = cost + np.minimum(np.minimum(prev1[i - 1], prev1[i]), prev2[i - 1])
-        prev2, prev1 = prev1, cur
-    return float(np.sqrt(prev1[n]))
-
-
-def dtw_distances(series: DataFrame, pairs: DataFrame, radius: int | None = None, standardise: bool = True, minimum: int = MIN_SAMPLES) -> DataFrame:
-    """Warping distance of each pair on common times, with a reason where there is none.
-
-    A pair is one group; it holds one value per period, so its size is the
-    length of a calendar, and pairs spread over the cluster.
-    """
-    if radius is not None and radius < 1:
-        raise ValueError("radius must be positive")
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        dist, reason = None, None
-        if len(x) < minimum:
-            reason = "insufficient_data"
-        else:
-            if standardise:
-                x = (x - x.mean()) / x.std(ddof=1) if x.std(ddof=1) > 0 else x
-                y = (y - y.mean()) / y.std(ddof=1) if y.std(ddof=1) > 0 else y
-            dist = warp_distance(x, y, radius)
-        return pd.DataFrame({"target": [key[0]], "candidate": [key[1]], "points": [len(x)], "distance": [dist], "reason": [reason]})
-
-    frame = align_pairs(series, pairs, strict=True)
-    kind = series.schema["series"].dataType.simpleString()
-    return frame.groupBy(*PAIR).applyInPandas(one, f"target {kind}, candidate {kind}, points long, distance double, reason string")
-
-
 def autocorrelation(series: DataFrame, max_lag: int = 40) -> DataFrame:
     """Autocorrelation of each series up to its own largest lag, n // 2 - 1."""
     valid = series.where("value is not null")

@@ -11,6 +11,7 @@ from periodica.plans import factors as fa
 from periodica.plans import forecasts as fc
 from periodica.plans import series_pairs as sp
 from periodica.plans import series_tests as st
+from periodica.plans import warping as wp
 from periodica.streaming import entries as en
 from periodica.streaming import pipelines as pl
 from periodica.streaming.processors import advance
@@ -42,15 +43,15 @@ def test_warp_distance_brute():
             for j in range(1, m + 1):
                 if radius is None or abs(i - j) <= radius:
                     d[i, j] = (a[i - 1] - b[j - 1]) ** 2 + min(d[i - 1, j], d[i, j - 1], d[i - 1, j - 1])
-        assert sp.warp_distance(a, b, radius) == pytest.approx(np.sqrt(d[n, m]))
+        assert wp.warp_distance(a, b, radius) == pytest.approx(np.sqrt(d[n, m]))
 
 
 def test_dtw_reasons(frame):
     s = series(frame, "a", range(12)).unionByName(series(frame, "b", range(12))).unionByName(series(frame, "c", range(3)))
-    got = {r["candidate"]: (r["distance"], r["reason"]) for r in sp.dtw_distances(s, frame([("a", "b"), ("a", "c")], PAIRS)).collect()}
+    got = {r["candidate"]: (r["distance"], r["reason"]) for r in wp.dtw_distances(s, frame([("a", "b"), ("a", "c")], PAIRS)).collect()}
     assert got == {"b": (0.0, None), "c": (None, "insufficient_data")}
     with pytest.raises(ValueError):
-        sp.dtw_distances(s, frame([("a", "b")], PAIRS), radius=0)
+        wp.dtw_distances(s, frame([("a", "b")], PAIRS), radius=0)
 
 
 def test_least_squares_matches_numpy(frame):
@@ -81,12 +82,27 @@ def test_candidates(frame):
     assert kept == ["y"] and [n for n, _ in history] == ["x", "z"]
 
 
-def test_factor_rules():
-    v = [(0.6, 3.0), (0.25, 1.2), (0.1, 0.5), (0.05, 0.3)]
-    pick = lambda m, **k: fa.choose_factor_count(v, m, **k)
-    assert (pick("fixed", fixed=2), pick("cumulative", cumulative=0.9), pick("kaiser"), pick("elbow", elbow=0.0)) == (2, 3, 2, 1)
-    with pytest.raises(ValueError):
-        pick("kaiser", kaiser=9.0)
+def test_factor_rules(frame):
+    v = frame([(i, e, s) for i, (s, e) in enumerate([(0.6, 3.0), (0.25, 1.2), (0.1, 0.5), (0.05, 0.3)], 1)], "component int, eigenvalue double, share double")
+    pick = lambda **k: {r["method"]: r["factors"] for r in fa.factor_counts(v, **k).collect()}
+    assert pick(elbow=0.0) == {"fixed": 2, "cumulative": 3, "kaiser": 2, "elbow": 1}
+    assert pick(fixed=9, cumulative=2.0, kaiser=9.0, elbow=-0.2) == {"fixed": None, "cumulative": None, "kaiser": None, "elbow": 1}
+
+
+def test_components_match_numpy(frame):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(300, 5)) @ rnd.normal(size=(5, 5)) * [1, 10, 100, 0.1, 1] + [0, 5, 1000, 1, 0]
+    x[:, 4] = 7.0
+    data = [([float(v) for v in row], i % 3 > 0) for i, row in enumerate(x)] + [(None, True)]
+    df = frame(data, "v array<double>, fit boolean").repartition(5)
+    got = fa.component_variance(df, "v", F.col("fit")).orderBy("component").collect()
+    train = x[[i for i in range(300) if i % 3 > 0]][:, :4]
+    want = [*np.linalg.eigvalsh(np.corrcoef(train.T))[::-1], 0.0]
+    assert [r["eigenvalue"] for r in got] == pytest.approx(want, abs=1e-8)
+    assert [r["share"] for r in got] == pytest.approx([w / 4 for w in want], abs=1e-8)
+    assert fa.component_variance(df.where("v is null"), "v", F.col("fit")).count() == 0
+    with pytest.raises(Exception, match="differ in length"):
+        fa.component_variance(frame([([1.0], True), ([1.0, 2.0], True)], "v array<double>, fit boolean").repartition(1), "v", F.col("fit")).collect()
 
 
 AREAS = {"a": (geo.inset_box(10, 20, 10, 20, 0.05), geo.inset_box(10, 20, 10, 20, -0.05))}
