@@ -55,18 +55,18 @@ def detect_entries(points: DataFrame, areas: dict[str, tuple[list, list]], chunk
     keys, order = ["mmsi", "area"], ["observed"]
     steps = cut_lineage(with_segments(points, chunk), "segments")
     rows = steps.select("mmsi", "observed", "source", "chunk", "valid", "before", F.inline(area_sides(areas)))
-    rows = chunked.previous_row(rows, keys, "chunk", order, ["inside"], "p")
     side = F.when(F.col("inside"), "in").when(~F.col("inside"), "out")
     unknown_restart = ~F.col("valid") & F.col("inside").isNull()
     mark = F.when(unknown_restart, "unknown").when(F.col("inside").isNotNull(), "known")
-    rows = chunked.last_before(rows, keys, "chunk", order, mark, "last_mark")
+    rows = chunked.scan(rows, keys, "chunk", order, {"p": (chunked.LAST, F.struct("inside")), "last_mark": (chunked.LAST, mark)})
     repeated = F.col("valid") & (F.col("inside") == F.col("p.inside"))
     first_known = F.col("valid") & F.col("inside").isNotNull() & (F.col("last_mark") == "unknown")
     settled = F.when(unknown_restart, "unknown").when(~F.col("valid") | F.coalesce(repeated, F.lit(False)) | F.coalesce(first_known, F.lit(False)), side)
     rows = cut_lineage(rows.withColumn("settled", settled).drop("p", "last_mark"), "settled")
-    rows = chunked.last_before(rows, keys, "chunk", order, F.col("settled"), "state")
-    rows = chunked.previous_row(rows, keys, "chunk", order, ["observed", "before", "inside", "settled", "state"], "p")
-    hit = F.col("valid") & F.col("inside") & F.col("p.inside") & F.col("p.settled").isNull() & (F.col("p.state") == "out")
+    # The state before the previous row is the last one settled before it.
+    own = F.struct("observed", "before", "inside", "settled")
+    rows = chunked.scan(rows, keys, "chunk", order, {"p": (chunked.LAST, own), "state": (chunked.LAST, F.col("settled"))})
+    hit = F.col("valid") & F.col("inside") & F.col("p.inside") & F.col("p.settled").isNull() & (F.col("state") == "out")
     return rows.where(F.coalesce(hit, F.lit(False))).select(
         "mmsi", "area", F.col("p.observed").alias("entered"), F.col("p.before").alias("before"), F.col("observed").alias("confirmed"), "source")
 
