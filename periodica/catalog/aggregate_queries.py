@@ -10,6 +10,7 @@ from periodica.catalog.registry import f32, q6, qf, query, r6
 from periodica.functions.measures import complete_sum, complete_sum_of, complete_avg, exact_median, row_sum
 from periodica.operators import aggregates as ag
 from periodica.operators import latest as lt
+from periodica.session import cut_lineage
 
 REGIONS = "case when lat < 24.1 then 'south' when lat < 24.3 then 'middle' else 'north' end"
 CLASSES = ["view", "purchase"]
@@ -133,7 +134,7 @@ def _(t):
 select year(day)::int as sale_year, usage, type, count(*) as sales, sum(worth)::double as total, {q6('median(worth::double)', 3)} as median_worth
 from sales group by 1, 2, 3""")
 def _(t):
-    s = c.sales(t).select(F.year("day").alias("sale_year"), "usage", "type", "worth")
+    s = cut_lineage(c.sales(t).select(F.year("day").alias("sale_year"), "usage", "type", "worth"), "sales")  # read three times
     keys = ["sale_year", "usage", "type"]
     sums = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("sales"), F.sum("worth").cast("double").alias("total"))
     return sums.join(exact_median(s, keys, "worth", "m"), keys).select(*keys, "sales", "total", r6("m", 3).alias("median_worth"))
@@ -361,7 +362,7 @@ select level, label, total::double as total, {qf('mean')} as mean, n, positive::
   {q6('abs(total::double) / (select sum(abs(impact)) from v)::double * 100')} as share_pct,
   row_number() over (partition by level order by abs(total) desc, label) as position from r""")
 def _(t):
-    v = impacts(t).withColumn("impact_d", F.col("impact").cast("double"))
+    v = cut_lineage(impacts(t), "impacts")  # each level reads it for its sums and for the whole
     out = None
     for level in ("industry", "variable"):
         r = ag.impact_rollup(v, level, "impact").select(F.lit(level).alias("level"), F.col(level).alias("label"), "total", F.col("n"),

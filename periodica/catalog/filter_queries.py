@@ -48,12 +48,8 @@ union all select 'm1', count(*), min(period) from flag_day, e where period >= gr
 union all select 'y1', count(*), min(period) from flag_day, e where period >= greatest(a, (b - interval 12 month)::date + 1)
 union all select 'y10', count(*), min(period) from flag_day, e where period >= greatest(a, (b - interval 120 month)::date + 1)""")
 def _(t):
-    d = c.flag_day(t)
-    out = None
-    for kind, months in (("w", None), ("m1", 1), ("y1", 12), ("y10", 120)):
-        one = fl.rolling_window(d, "period", months).agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("first_day")).select(F.lit(kind).alias("kind"), "n", "first_day")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = fl.in_windows(c.flag_day(t), "period", {"w": None, "m1": 1, "y1": 12, "y10": 120}, "kind")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("period").alias("first_day"))
 
 
 @query("f05_month_span", ctes("orders_day") + """

@@ -70,6 +70,17 @@ def rolling_window(df: DataFrame, day: str, months: int | None) -> DataFrame:
     return df.where(F.col(day) >= start)
 
 
+def in_windows(df: DataFrame, day: str, windows: dict[str, int | None], name: str = "window") -> DataFrame:
+    """Each row once for every trailing window (name to months; ``None``: seven days) that holds it.
+
+    All window starts come from one pass over the days, the rows from a second.
+    """
+    edge = df.agg(F.struct(F.max(day).alias("b"), F.min(day).alias("a")).alias("e")).scalar()
+    start = lambda m: cal.week_window_start(edge["b"], edge["a"]) if m is None else cal.window_start(edge["b"], m, edge["a"])
+    held = [F.when(F.col(day) >= start(m), F.lit(n)) for n, m in windows.items()]
+    return df.withColumn(name, F.explode(F.array_compact(F.array(*held))))
+
+
 def trim_to_valid(df: DataFrame, keys: list[str], period: str, values: list[str]) -> DataFrame:
     """Rows from the first to the last with any valid value; inner gaps stay."""
     any_valid = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])

@@ -110,6 +110,7 @@ def substring_match(tokens: DataFrame, names: DataFrame, token: str, name: str,
         "_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_name") - F.col("_len") + 1),
                                                      lambda i: F.substring(F.col("_name"), i, F.col("_len")))))
     ).select("_g", "_name", "_order")
+    grams = cut_lineage(grams, "grams")  # counted first, then looked up
     size = F.least(F.lit(width), F.length("_token"))
     t = tokens.select(F.col(token).alias("_token")).where("_token <> ''").distinct().withColumn(
         "_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_token") - size + 1), lambda i: F.substring(F.col("_token"), i, size))))

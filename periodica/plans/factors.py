@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from periodica.operators.joins import backward_asof
 from periodica.operators.quality import QualityError
 from periodica.plans.series_tests import least_squares
+from periodica.session import cut_lineage
 
 
 def train_standardise(df: DataFrame, key: str, value: str, train: Column) -> DataFrame:
@@ -132,6 +133,8 @@ def news_impacts(releases: DataFrame, predictions: DataFrame, gains: DataFrame,
 
 
 def impact_shares(impacts: DataFrame) -> DataFrame:
+    """Share of the absolute total; the impacts are staged, as both the total and the rows read them."""
+    impacts = cut_lineage(impacts, "impacts")
     whole = impacts.agg(F.sum(F.abs("impact")).alias("a")).scalar()
     return impacts.withColumn("share_pct", F.when(whole > 0, F.abs("impact") / whole * 100).otherwise(0.0)).withColumn("is_positive", F.col("impact") > 0)
 
@@ -142,6 +145,7 @@ def normalise_impacts(impacts: DataFrame, change: Column, tiny: float = 1e-10) -
     A vanishing total or change has no scale; the rows then hold NULL, and
     ``require_scale`` turns that into an error.
     """
+    impacts = cut_lineage(impacts, "impacts")
     raw = impacts.agg(F.sum("impact").alias("t")).scalar()
     scale = F.when((F.abs(raw) > tiny) & (F.abs(change) > tiny), change / F.when(F.abs(raw) > tiny, raw))
     return impacts.withColumn("scaled_impact", F.col("impact") * scale)

@@ -184,22 +184,23 @@ def least_squares(df: DataFrame, keys: list[str], y: str, xs: list[str], constan
 
     def solve(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                head = list(row[: len(keys)])
-                coef, t = [None] * k, [None] * k
-                if row.n >= need:
-                    m, v = np.array(row.xx, float).reshape(k, k), np.array(row.xy, float)
-                    try:
-                        inv = np.linalg.inv(m)
-                        beta = inv @ v
-                        sse = max(0.0, row.yy - float(beta @ v))
-                        se = np.sqrt(np.diag(inv) * sse / max(1, row.n - k))
-                        coef, t = beta.tolist(), [float(b / e) if e > 0 else None for b, e in zip(beta, se)]
-                    except np.linalg.LinAlgError:
-                        pass
-                out += [(*head, name, c, q, int(row.n)) for name, c, q in zip(names, coef, t)]
-            yield pd.DataFrame(out, columns=[*keys, "term", "coefficient", "t", "n"])
+            if not len(pdf):
+                continue
+            m, v = np.stack(pdf["xx"].map(np.asarray)).reshape(-1, k, k).astype(float), np.stack(pdf["xy"].map(np.asarray)).astype(float)
+            n, yy = pdf["n"].to_numpy(), pdf["yy"].to_numpy(float)
+            scale = 1 / np.sqrt(np.where((own := np.einsum("gii->gi", m)) > 0, own, 1.0))
+            scaled = m * scale[:, :, None] * scale[:, None, :]
+            good = (n >= need) & np.isfinite(scaled).all(axis=(1, 2))
+            good[good] = np.linalg.matrix_rank(scaled[good], tol=1e-13, hermitian=True) == k
+            beta, t = np.full((len(n), k), np.nan), np.full((len(n), k), np.nan)
+            inv = np.linalg.inv(scaled[good]) * scale[good][:, :, None] * scale[good][:, None, :]
+            beta[good] = np.einsum("gij,gj->gi", inv, v[good])
+            sse = np.maximum(0.0, yy[good] - np.einsum("gi,gi->g", beta[good], v[good]))
+            se = np.sqrt(np.einsum("gii->gi", inv) * (sse / np.maximum(1, n[good] - k))[:, None])
+            t[good] = np.divide(beta[good], se, out=np.full_like(se, np.nan), where=se > 0)
+            out = pdf.loc[pdf.index.repeat(k), keys].reset_index(drop=True)
+            blank = lambda x: pd.Series(x.ravel(), dtype="float64").astype(object).where(~np.isnan(x.ravel()), None)
+            yield out.assign(term=names * len(n), coefficient=blank(beta), t=blank(t), n=np.repeat(n, k))
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
     return s.mapInPandas(solve, f"{kinds}, term string, coefficient double, t double, n long")
