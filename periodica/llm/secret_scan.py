@@ -9,10 +9,16 @@ least entropy. A window of ``WINDOW`` characters slides over it; the counts
 per character, and the sum of ``c * log2 c`` that the entropy needs, change only by the
 character that enters and the one that leaves. The span is reported when the
 highest window reaches the class's bound, unless the allow-list knows the string
-as a sample, a UUID or a run of the alphabet, or a pattern span overlaps it.
+as a sample, a UUID or a run of the alphabet.
+
+What a pattern span covers is cut out of a candidate first, and each rest is a
+candidate of its own, without the ``/`` and ``=`` at its ends. Where the allow-list
+knows some of a candidate, the letters and digits between its joints (``/=+_-``)
+are judged one by one, so a sample's name beside a key does not hide the key.
 
 Null or empty texts have no spans. Rows are independent: repeated rows repeat
-their result, other columns pass through ``scan`` untouched.
+their result, other columns pass through ``scan`` untouched, but for columns that
+have the names of its spans, which ``names`` can change.
 """
 
 from __future__ import annotations
@@ -109,17 +115,53 @@ def window_entropy(text: Column, alphabet: str) -> Column:
     return F.aggregate(pairs, first, step, lambda acc: acc["best"])
 
 
-def _entropy_spans(places: Column, base: Column) -> Column:
-    """Spans of candidates whose entropy is high for their class."""
+PLACES = "array<struct<value:string,start:int,stop:int>>"
+
+
+def _place(p: Column, start: Column, stop: Column) -> Column:
+    """Part of a place, from ``start`` to ``stop`` of the text."""
+    value = F.substring(p["value"], start - p["start"] + 1, stop - start)
+    return F.struct(value.alias("value"), start.cast("int").alias("start"), stop.cast("int").alias("stop"))
+
+
+def _rests(p: Column, base: Column) -> Column:
+    """What sorted ``base`` spans leave of a place; all of it where none overlaps."""
+    over = F.filter(base, lambda b: (b["start"] < p["stop"]) & (p["start"] < b["stop"]))
+    edges = F.arrays_zip(
+        F.concat(F.array(p["start"]), F.transform(over, lambda b: b["stop"])).alias("begin"), F.concat(F.transform(over, lambda b: b["start"]), F.array(p["stop"])).alias("end"))
+    # A span inside an earlier one must not open a rest within it.
+    parts = F.transform(edges, lambda e, i: F.struct(F.greatest(e["begin"], F.array_max(F.slice(edges["begin"], F.lit(1), i + 1))).alias("begin"), e["end"].alias("end")))
+    rests = F.transform(F.filter(parts, lambda e: e["end"] - e["begin"] >= LEAST), lambda e: _place(p, e["begin"], e["end"]))
+
+    def bare(r: Column) -> Column:
+        begin = r["start"] + F.length(F.regexp_extract(r["value"], "^[/=]*", 0))
+        return _place(p, begin, F.greatest(begin, r["stop"] - F.length(F.regexp_extract(r["value"], "[/=]*$", 0))))
+
+    return F.when(F.size(over) == 0, F.array(p)).otherwise(F.transform(rests, bare)).cast(PLACES)
+
+
+def _unjoined(p: Column) -> Column:
+    """The long runs of letters and digits of a place."""
+    return F.transform(_places(p["value"], f"[A-Za-z0-9]{{{LEAST},}}"), lambda q: F.struct(
+        q["value"].alias("value"), (p["start"] + q["start"]).cast("int").alias("start"), (p["start"] + q["stop"]).cast("int").alias("stop"))).cast(PLACES)
+
+
+def _judged(places: Column, base: Column) -> Column:
+    """The strings of which each is judged as a whole."""
+    rests = F.filter(F.flatten(F.transform(places, lambda p: _rests(p, base))), lambda p: F.length(p["value"]) >= LEAST)
+    known = lambda p: p["value"].rlike(ALLOWED)
+    return F.flatten(F.transform(rests, lambda p: F.when(known(p), F.filter(_unjoined(p), lambda q: ~known(q))).otherwise(F.array(p).cast(PLACES))))
+
+
+def _entropy_spans(judged: Column) -> Column:
+    """Spans of strings whose entropy is high for their class."""
     def suspicious(p: Column) -> Column:
         v = p["value"]
-        mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(ALLOWED)
-        free = ~F.exists(base, lambda b: (b["start"] < p["stop"]) & (p["start"] < b["stop"]))
         high = None
         for _, pattern, alphabet, least in reversed(CLASSES):
             reached = window_entropy(v, alphabet) >= least
             high = reached if high is None else F.when(v.rlike(pattern), reached).otherwise(high)
-        return F.when(mixed & free, high).otherwise(False)
+        return F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]"), high).otherwise(False)
 
     def named(p: Column) -> Column:
         kind = F.lit(CLASSES[-1][0])
@@ -127,20 +169,20 @@ def _entropy_spans(places: Column, base: Column) -> Column:
             kind = F.when(p["value"].rlike(pattern), F.lit(name)).otherwise(kind)
         return _span(p, kind)
 
-    return F.transform(F.filter(places, suspicious), named).cast(SPAN)
+    return F.transform(F.filter(judged, suspicious), named).cast(SPAN)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base_spans`` and ``all_spans``, each sorted by start and kind."""
+def scan(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("base_spans", "all_spans")) -> DataFrame:
+    """``docs`` with its pattern spans and all its spans, each sorted by start and kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(
         _spans(_places(text, ASSIGN, 2), "assign", LEAST_VALUE),
         _spans(_places(text, ACCESS.replace("+", f"{{{LEAST_ACCESS - 4},}}")), "access", LEAST_ACCESS),
         _spans(_places(text, HEX.replace("+", f"{{{LEAST_HEX},}}")), "hex", LEAST_HEX),
     )
-    found = docs.withColumn("base_spans", F.sort_array(base))
+    found = docs.withColumn(names[0], F.sort_array(base))
     candidates = _places(text, f"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-    return found.withColumn("all_spans", F.sort_array(F.concat("base_spans", _entropy_spans(candidates, F.col("base_spans")))))
+    return found.withColumn(names[1], F.sort_array(F.concat(F.col(names[0]), _entropy_spans(_judged(candidates, F.col(names[0]))))))
 
 
 def _joined(spans: str) -> Column:
@@ -165,9 +207,18 @@ def redact(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
         out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
+    base, spans, clean = (_free(n, docs) for n in ("base_spans", "all_spans", "clean_text"))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("all_spans", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    found = scan(docs).withColumn("_clean", F.when(F.size("all_spans") > 0, clean).otherwise(F.col("text")))
-    chars = F.when(F.size("all_spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    cols = [F.col("_clean").alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    redacted = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    found = scan(docs, names=(base, spans)).withColumn(clean, F.when(F.size(spans) > 0, redacted).otherwise(F.col("text")))
+    chars = F.when(F.size(spans) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    cols = [F.col(clean).alias(c) if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return found.select(*cols)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
