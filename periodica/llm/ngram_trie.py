@@ -17,8 +17,9 @@ which sums to the same mass as the base for every context.
 3. A shard builds a trie from all training pairs it was sent: the sorted contexts, Elias-Fano
    pointers to each context's successors, and the successors as one Elias-Fano
    sequence, monotone because each is taken relative to its context. Every pair holds
-   its smoothed share ``c(v w) / (c(v) + MU)``, quantised to one byte. The trie is
-   one byte string whose levels are read in place, as from a mapped file. Queries
+   its smoothed share ``c(v w) / (c(v) + MU)``, quantised to two bytes: steps of
+   ``STEP`` in its log10, the same for all shards, so scores don't depend on how
+   many there are. The trie is one byte string whose levels are read in place, as from a mapped file. Queries
    find the context, and then the successor in that context's stretch.
 4. Blocks turn the answers into scores.
 
@@ -46,6 +47,8 @@ from periodica.session import cut_lineage
 MU = 8.0
 BLOCK_BYTES = 8 << 20
 ID_BITS = 40
+#: Step of a share's log10 and the number of steps, which reach a share of 10**-16.
+STEP, STEPS = 1 / 4096, 65535
 #: Names of the pseudo-words; no blank-separated word holds a blank.
 START, END = b" start", b" end"
 WHOLE = 1 << 30
@@ -156,30 +159,25 @@ def trie_bytes(contexts: np.ndarray, counts: np.ndarray, owner: np.ndarray, ids:
     """Serialised trie of sorted ``contexts`` with corpus ``counts`` and their sorted (owner, id) successors with counts ``pairs``."""
     pointers = np.searchsorted(owner, np.arange(len(contexts) + 1)).astype(np.uint64)
     share = np.log10(pairs / (counts[owner] + mu))
-    book = np.unique(share)
-    if len(book) > 255:
-        book = np.linspace(share.min(), share.max(), 255)
-    edges = (book[1:] + book[:-1]) / 2
-    codes = (np.searchsorted(edges, share) + 1).astype(np.uint8)
-    head = np.array([len(contexts), len(book), len(codes)], dtype="<i8").tobytes()
+    codes = (1 + np.minimum(np.rint(-share / STEP), STEPS - 1)).astype("<u2")
+    head = np.array([len(contexts), len(codes)], dtype="<i8").tobytes()
     relative = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | ids
-    return head + contexts.astype("<u8").tobytes() + book.astype("<f8").tobytes() + EliasFano.build(pointers).to_bytes() + EliasFano.build(relative).to_bytes() + codes.tobytes()
+    return head + contexts.astype("<u8").tobytes() + EliasFano.build(pointers).to_bytes() + EliasFano.build(relative).to_bytes() + codes.tobytes()
 
 
 class Trie:
     """Levels of a serialised trie, read in place."""
 
     def __init__(self, data: bytes):
-        n, book, codes = np.frombuffer(data, dtype="<i8", count=3).tolist()
-        self.contexts = np.frombuffer(data, dtype="<u8", count=n, offset=24)
-        self.book = np.frombuffer(data, dtype="<f8", count=book, offset=24 + 8 * n)
-        self.pointers, at = EliasFano.read(data, 24 + 8 * (n + book))
+        n, codes = np.frombuffer(data, dtype="<i8", count=2).tolist()
+        self.contexts = np.frombuffer(data, dtype="<u8", count=n, offset=16)
+        self.pointers, at = EliasFano.read(data, 16 + 8 * n)
         self.successors, at = EliasFano.read(data, at)
-        self.codes = np.frombuffer(data, dtype=np.uint8, count=codes, offset=at)
+        self.codes = np.frombuffer(data, dtype="<u2", count=codes, offset=at)
 
     def lookup(self, contexts: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Code of each pair (contexts[owner], id), 0 where training has none."""
-        out = np.zeros(len(ids), dtype=np.uint8)
+        out = np.zeros(len(ids), dtype=np.uint16)
         if not len(self.contexts) or not len(ids):
             return out
         node = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
@@ -335,7 +333,7 @@ def scores(docs: DataFrame, mu: float = MU, block_bytes: int = BLOCK_BYTES, shar
         v, w, learned, which = block.pairs()
         spread = 1 + counts[v] * shards // max(n_all, 1)
         ids = block.hashes[w] >> np.uint64(64 - ID_BITS)
-        shard = (np.searchsorted(edges, mix(block.hashes[v]), side="right") + (mix(block.hashes[w]) % spread.astype(np.uint64)).astype(np.int64)) % shards
+        shard = (np.searchsorted(edges, mix(block.hashes[v]), side="right") + (mix(ids) % spread.astype(np.uint64)).astype(np.int64)) % shards
         order = np.lexsort((ids, block.hashes[v], shard))
         return v[order], ids[order], learned[order], shard[order], order, which
 
@@ -369,9 +367,11 @@ def scores(docs: DataFrame, mu: float = MU, block_bytes: int = BLOCK_BYTES, shar
             trie = Trie(trie_bytes(contexts, count[first][at], owner, ids[first], pairs, mu))
             for r, a in zip(rows, asked, strict=True):
                 codes = trie.lookup(a[0], np.repeat(np.arange(len(a[0])), a[2].astype(np.int64)), a[3])
-                yield _row(key=r["key"], part=shards + r["shard"], body=_pack(codes, trie.book), docs=None)
+                yield _row(key=r["key"], part=shards + r["shard"], body=_pack(codes), docs=None)
 
     def score(n_all: int, v_all: int):
+        shares = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(STEPS))])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _grouped(batches, "key"):
                 block, counts, copies = counted(rows)
@@ -379,8 +379,7 @@ def scores(docs: DataFrame, mu: float = MU, block_bytes: int = BLOCK_BYTES, shar
                 answers = {r["part"]: r for r in rows if shards <= r["part"] < WHOLE}
                 held = []
                 for p in sorted(answers):
-                    codes, book = _unpack(answers[p]["body"])
-                    held.append(np.concatenate([[0.0], 10.0 ** book.view(np.float64)])[codes.astype(np.int64)])
+                    held.append(shares[_unpack(answers[p]["body"])[0].astype(np.int64)])
                 if sum(map(len, held)) != len(v):
                     raise RuntimeError("a block changed between two readings; write the documents first")
                 share = np.empty(len(v))
