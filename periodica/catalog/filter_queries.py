@@ -118,6 +118,25 @@ def _(t):
     return names.join(log, "series", "left")
 
 
+@query("f09_duplicate_columns", ctes("supplier_day") + """
+, v as (select 'S' || (node % 40) as series, node as position, day, case when node % 7 = 3 then null else imports end as value from supplier_day
+  union all select 'T' || node, node + 1000, day, case when node % 7 = 3 then null else imports end from supplier_day where node % 6 = 1 and node <= 40),
+f as (select series, min(position) as first from v group by 1),
+kept as (select v.* from v join f using (series) where position = first),
+content as (select series, string_agg(day || '=' || value, ';' order by day) as body from kept where value is not null group by 1),
+copies as (select series, min(series) over (partition by body) as kept from content)
+select distinct v.series, v.position::bigint as position, v.series as kept, 'duplicate_column' as reason from v join f using (series) where v.position > first
+union all select series, null, kept, 'same_content' from copies where series <> kept""")
+def _(t):
+    node, value = F.col("node"), F.when(F.col("node") % 7 != 3, F.col("imports")).alias("value")
+    d = c.supplier_day(t)
+    named = d.select(F.concat(F.lit("S"), (node % 40).cast("string")).alias("series"), node.cast("long").alias("position"), "day", value)
+    again = d.where((node % 6 == 1) & (node <= 40)).select(F.concat(F.lit("T"), node.cast("string")).alias("series"), (node + 1000).cast("long").alias("position"), "day", value)
+    kept, names = fl.drop_repeated_names(named.unionByName(again), "series", "position")
+    copies = fl.same_content(kept, "series", "day", "value")
+    return names.unionByName(copies.withColumn("position", F.lit(None).cast("long")))
+
+
 @query("f10_label_selection", """
 select event_id from events where coalesce(nullif(case when user_id % 4 = 0 then '' when user_id % 4 = 1 then 'CN' else event_type end, ''), 'unknown') in ('unknown', 'CN', 'view')
   and coalesce(case when event_id % 5 = 0 then null else event_type end, 'unknown') in ('unknown', 'click')""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.functions import calendar as cal
 from periodica.functions.measures import as_col
+from periodica.session import cut_lineage
 
 COMPARISONS = {
     "≥": lambda a, b: a >= b, "≤": lambda a, b: a <= b, ">": lambda a, b: a > b,
@@ -172,6 +173,34 @@ def drop_empty(df: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFram
     return kept, log
 
 
+def drop_repeated_names(df: DataFrame, key: str, position: str) -> tuple[DataFrame, DataFrame]:
+    """Of several columns of one name only the first by position stays; the log has the others."""
+    first = df.groupBy(key).agg(F.min(position).alias("_first"))
+    rows = df.join(first, df[key].eqNullSafe(first[key])).drop(first[key])
+    log = rows.where(F.col(position) > F.col("_first")).select(key, position, F.col(key).alias("kept"), F.lit("duplicate_column").alias("reason")).distinct()
+    return rows.where(F.col(position) == F.col("_first")).drop("_first"), log
+
+
+def same_content(df: DataFrame, key: str, period: str, value: str) -> DataFrame:
+    """(key, kept, reason) of series that hold the same values at the same periods as an earlier one by name.
+
+    Order-free signatures of all series come from one aggregate; a series is
+    compared value by value only with the first one of its signature. Series without
+    a value are no copies of each other. Each (key, period) is expected once.
+    """
+    valid = df.where(F.col(value).isNotNull()).select(key, period, value)
+    row = F.xxhash64(period, value)
+    marks = valid.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(row.cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(row)).alias("_xor"))
+    same = ["_n", "_sum", "_xor"]
+    first = marks.groupBy(*same).agg(F.min(key).alias("kept"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    pairs = cut_lineage(marks.join(first, same).where(F.col(key) != F.col("kept")).select(key, "kept", "_n"), "same-signature")
+    own = valid.join(pairs, key).withColumnRenamed(value, "_v")
+    other = valid.join(pairs.select("kept").distinct(), valid[key] == F.col("kept")).select("kept", period, F.col(value).alias("_w"))
+    equal = own.join(other, ["kept", period]).where(F.col("_v") == F.col("_w")).groupBy(key, "kept", "_n").agg(F.count(F.lit(1)).alias("_m"))
+    return equal.where("_m = _n").select(key, "kept", F.lit("same_content").alias("reason"))
+
+
 def exclude_listed(df: DataFrame, retired: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(retired.select(*keys).distinct(), keys, "left_anti")
 

@@ -56,3 +56,16 @@ def test_periods(frame):
     df = frame([(k,) for k in [*cases, None]], "s string").select("s", tx.observation_period(F.col("s")).alias("p"))
     got = {r["s"]: (r["p"]["code"], None if r["p"]["end"] is None else r["p"]["end"].isoformat()) for r in df.collect()}
     assert got == cases | {None: (None, None)}
+
+
+def test_repeated_columns(frame):
+    from periodica.operators import filters as fl
+
+    data = [("a", 1, 1, 5.0), ("a", 1, 2, None), ("a", 3, 1, 9.0), ("b", 2, 1, 5.0), ("c", 4, 1, 5.0), ("c", 4, 2, 6.0), ("d", 5, 2, 6.0), ("d", 5, 1, 5.0), ("e", 6, 1, None), ("f", 7, 1, None), (None, 8, 1, 5.0), (None, 9, 1, 5.0)]
+    df = frame(data, "k string, at int, p int, v double")
+    kept, log = fl.drop_repeated_names(df, "k", "at")
+    assert sorted(tuple(r) for r in log.select("at", "reason").collect()) == [(3, "duplicate_column"), (9, "duplicate_column")]
+    assert kept.count() == 10 and kept.columns == ["at", "p", "v", "k"] or set(kept.columns) == {"k", "at", "p", "v"}
+    copies = fl.same_content(kept, "k", "p", "v")
+    assert sorted(tuple(r) for r in copies.where("k is not null").collect()) == [("b", "a", "same_content"), ("d", "c", "same_content")]
+    assert fl.same_content(df.where("k = 'zz'"), "k", "p", "v").count() == 0
