@@ -52,20 +52,35 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+# fixed values: the fields that are read of a message's metadata, of its payload and of the payload's two parts
+META_FIELDS = ("MMSI", "Latitude", "Longitude", "ShipName", "time_utc", "TimeUTC", "timestamp")
+PAYLOAD_FIELDS = (
+    "UserID", "Latitude", "Longitude", "TrueHeading", "Cog", "Sog", "NavigationalStatus", "Type", "ShipType", "Name", "ShipName", "CallSign", "ImoNumber", "IMO",
+    "DestinationName", "Destination", "MaximumStaticDraught", "Draught",
+)
+PART_FIELDS = ("Valid", "Name", "ShipType", "CallSign")
+
+
+def _strings(fields: tuple[str, ...], more: str = "") -> str:
+    return "struct<" + ", ".join(f"{f}: string" for f in fields) + more + ">"
+
+
 def open_messages(df: DataFrame, content: str) -> DataFrame:
-    """Message type, metadata, payload and report parts beside the original columns."""
-    body = once(df, _doc=F.from_json(content, "MessageType string, MetaData map<string,string>, Message map<string,string>"))
+    """Message type, metadata, payload and report parts beside the original columns; a text is parsed once, for these fields only."""
+    part = _strings(PART_FIELDS)
+    payload = _strings(PAYLOAD_FIELDS, f", ReportA: {part}, ReportB: {part}")
+    kinds = (*POSITION_TYPES, *STATIC_TYPES)
+    body = once(df, _doc=F.from_json(content, f"MessageType string, MetaData {_strings(META_FIELDS)}, Message struct<" + ", ".join(f"{k}: {payload}" for k in kinds) + ">"))
     kind = F.col("_doc.MessageType")
-    opened = once(body, _payload=F.from_json(F.try_element_at("_doc.Message", kind), "map<string,string>"))
-    part = lambda name: F.from_json(F.try_element_at("_payload", F.lit(name)), "map<string,string>")
-    usable_part = lambda m: F.get(F.filter(F.array(m), lambda x: F.coalesce(F.try_element_at(x, F.lit("Valid")), F.lit("true")) != "false"), 0)
-    return once(opened, _kind=kind, _meta=F.col("_doc.MetaData"), _a=usable_part(part("ReportA")), _b=usable_part(part("ReportB"))).drop("_doc")
+    opened = once(body, _kind=kind, _meta=F.col("_doc.MetaData"), _payload=F.coalesce(*[F.when(kind == k, F.col(f"_doc.Message.{k}")) for k in kinds]))
+    usable_part = lambda name: F.when(F.coalesce(F.col(f"_payload.{name}.Valid"), F.lit("true")) != "false", F.col(f"_payload.{name}"))
+    return once(opened, _a=usable_part("ReportA"), _b=usable_part("ReportB")).drop("_doc")
 
 
 def message_rules() -> list[tuple[Column, str]]:
     """Reasons to reject a message, first match first."""
-    m = lambda k: F.try_element_at(F.col("_meta"), F.lit(k))
-    p = lambda k: F.try_element_at(F.col("_payload"), F.lit(k))
+    m = lambda k: F.col(f"_meta.{k}")
+    p = lambda k: F.col(f"_payload.{k}")
     mmsi = F.coalesce(m("MMSI"), p("UserID")).try_cast("long")
     lat, lon = F.coalesce(m("Latitude"), p("Latitude")).try_cast("double"), F.coalesce(m("Longitude"), p("Longitude")).try_cast("double")
     is_position = F.col("_kind").isin(*POSITION_TYPES)
@@ -83,10 +98,10 @@ def normalise_messages(df: DataFrame, content: str, received: str) -> tuple[Data
     """
     opened = open_messages(df, content)
     good, bad = quarantine(opened, message_rules())
-    m = lambda *ks: F.coalesce(*[F.try_element_at(F.col("_meta"), F.lit(k)) for k in ks])
-    p = lambda *ks: F.coalesce(*[F.try_element_at(F.col("_payload"), F.lit(k)) for k in ks])
+    m = lambda *ks: F.coalesce(*[F.col(f"_meta.{k}") for k in ks])
+    p = lambda *ks: F.coalesce(*[F.col(f"_payload.{k}") for k in ks])
     position = F.col("_kind").isin(*POSITION_TYPES)
-    a, b = (lambda k: F.try_element_at(F.col("_a"), F.lit(k))), (lambda k: F.try_element_at(F.col("_b"), F.lit(k)))
+    a, b = (lambda k: F.col(f"_a.{k}")), (lambda k: F.col(f"_b.{k}"))
     lat, lon = F.coalesce(m("Latitude"), p("Latitude")).try_cast("double"), F.coalesce(m("Longitude"), p("Longitude")).try_cast("double")
     heading, cog = usable(p("TrueHeading"), 360.0), usable(p("Cog"), 360.0)
     code = F.when(position, p("Type", "ShipType")).otherwise(F.coalesce(p("Type", "ShipType"), b("ShipType"))).try_cast("int")
