@@ -10,6 +10,7 @@ from periodica.catalog import carriers as c
 from periodica.catalog.carriers import ctes
 from periodica.catalog.join_queries import _PAIRS, customer_pairs
 from periodica.catalog.registry import f32, q6, qf, query, r6
+from periodica.operators import joins as jn
 from periodica.plans import factors as fa
 from periodica.plans import forecasts as fc
 from periodica.plans import scopes as sc
@@ -46,7 +47,7 @@ kl as (select {keys}, n as samples, greatest(0, sum((p + 1e-9) / (1 + b * 1e-9)
 select target, candidate, n as samples, b::int as bins, bin::int as bin, {q6('p')} as p, {q6('q')} as q from cnt""")
 def _(t):
     s, p = flag_pairs(t)
-    v = spairs.align_pairs(s, p, strict=True)
+    v = jn.align_pairs(s, p, strict=True)
     return spairs.shared_histogram(v, spairs.PAIR).withColumn("p", r6("p")).withColumn("q", r6("q")).withColumn("bins", F.col("bins").cast("int"))
 
 
@@ -55,16 +56,18 @@ def _(t):
 select target, candidate, samples, {q6('kl')} as kl from kl""")
 def _(t):
     s, p = flag_pairs(t)
-    v = spairs.align_pairs(s, p, strict=True)
+    v = jn.align_pairs(s, p, strict=True)
     return spairs.kl_divergence(spairs.shared_histogram(v, spairs.PAIR), spairs.PAIR).withColumn("kl", r6("kl"))
 
 
-_LAGS = ctes("customer_month") + _PAIRS + """
+_ALL_LAGS = """
 , u as (select target, candidate, ts, max(x) as x, max(y) as y from (select target, candidate, ts, value as x, null::double as y from p join s on n = target
   union all select target, candidate, ts, null, value from p join s on n = candidate) group by 1, 2, 3),
 z as (select target, candidate, row_number() over (partition by target, candidate order by ts) as i, count(*) over (partition by target, candidate) as n, x, y from u),
 lg as (select unnest(generate_series(-6, 6))::int as lag),
 v as (select a.target, a.candidate, lag, a.x as x, b.y as y from z a cross join lg join z b on b.target = a.target and b.candidate = a.candidate and b.i = a.i - lag where a.x is not null and b.y is not null and abs(lag) < a.n)""" + _kl_sql("target, candidate, lag")
+_LAGS = ctes("customer_month") + _PAIRS + _ALL_LAGS
+_DAILY_LAGS = ctes("flag_day") + _FLAG_PAIRS + _ALL_LAGS
 
 
 @query("n03_lead_lag_scan", _LAGS + f"""
@@ -83,6 +86,20 @@ def _(t):
     return best.withColumn("kl", r6("kl"))
 
 
+@query("n03_daily_scan", _DAILY_LAGS + f"""
+select target, candidate, lag, samples, {q6('kl')} as kl from kl""")
+def _(t):
+    scan, _best = spairs.lead_lag_scan(*flag_pairs(t), 6, standardise=False)
+    return scan.withColumn("kl", r6("kl"))
+
+
+@query("n03_daily_best", _DAILY_LAGS + f"""
+select target, candidate, arg_min(lag, (kl, lag)) as lag, {q6('min(kl)')} as kl from kl where abs(lag) <= 5 group by 1, 2""")
+def _(t):
+    _scan, best = spairs.lead_lag_scan(*flag_pairs(t), 6, standardise=False)
+    return best.withColumn("kl", r6("kl"))
+
+
 def _warp_sql(strict: bool, radius: int | None) -> str:
     """The cost matrix of each pair, one anti-diagonal a step, as lists over the target's places."""
     common = """
