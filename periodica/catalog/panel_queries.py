@@ -343,26 +343,32 @@ def _(t):
     return pt.window_totals(node_days(t), "node", "day", "calls", D("1999-03-31"), 6)
 
 
-@query("t29_search_index", None)
+#: Weights of a local quadratic fit by window width: one row a place up to the middle, divisor last; later places mirror them.
+_FITS = {3: ("1 0 0 1", "0 1 0 1"), 5: ("31 9 -3 -5 3 35", "9 13 12 6 -5 35", "-3 12 17 12 -3 35"), 7: ("32 15 3 -4 -6 -3 5 42", "5 4 3 2 1 0 -1 14", "1 3 4 4 3 1 -2 14", "-2 3 6 7 6 3 -2 21")}
+
+
+def _fit_sql() -> str:
+    """Lists of weights, by half the width and by place."""
+    out = []
+    for rows in _FITS.values():
+        half = [[f"{int(x)} / {r.split()[-1]}.0::double" for x in r.split()[:-1]] for r in rows]
+        out.append("[" + ", ".join(f"[{', '.join(r)}]" for r in half + [r[::-1] for r in half[-2::-1]]) + "]")
+    return f"[{', '.join(out)}]"
+
+
+@query("t29_search_index", ctes("customer_month") + f"""
+, b as (select indicator, period, value, row_number() over (partition by indicator order by period) - 1 as i, count(*) over w as n, list(value) over (partition by indicator order by period rows between unbounded preceding and unbounded following) as l,
+  min(value) over w = max(value) over w as flat from customer_month where year(period) >= 1996 window w as (partition by indicator)),
+d as (select *, least(7, n) - case when least(7, n) % 2 = 0 then 1 else 0 end as wd from b),
+p as (select *, greatest(0, least(i - wd // 2, n - wd)) as s from d),
+f as (select indicator, period, value, case when wd < 3 or flat then value else list_inner_product(l[s + 1 : s + wd], ({_fit_sql()})[wd // 2][i - s + 1]) end as smoothed from p),
+z as (select *, avg(smoothed) over (partition by indicator) as m, stddev_samp(smoothed) over (partition by indicator) as sd from f)
+select indicator, period, value, {q6('smoothed')} as smoothed, {q6('case when coalesce(sd, 0) = 0 then smoothed else (smoothed - m) / sd end')} as standardised from z""")
 def _(t):
     out = pr.search_index(c.customer_month(t), ["indicator"], "period", "value", 1996)
     return out.select("indicator", "period", "value", r6("smoothed").alias("smoothed"), r6("standardised").alias("standardised"))
 
 
-@query("t29_smooth_interior", ctes("flag_month") + f"""
-, s as (select indicator, period, value, row_number() over w as i, count(*) over (partition by indicator) as n, (-2 * lag(value, 3) over w + 3 * lag(value, 2) over w + 6 * lag(value) over w + 7 * value
-  + 6 * lead(value) over w + 3 * lead(value, 2) over w - 2 * lead(value, 3) over w) / 21 as mid, first_value(value) over w as f0, nth_value(value, 2) over wf as f1, nth_value(value, 3) over wf as f2, nth_value(value, 4) over wf as f3, nth_value(value, 5) over wf as f4,
-  nth_value(value, 6) over wf as f5, nth_value(value, 7) over wf as f6 from flag_month window w as (partition by indicator order by period), wf as (partition by indicator order by period rows between unbounded preceding and unbounded following))
-select indicator, period, {qf('case when i = 1 then (32 * f0 + 15 * f1 + 3 * f2 - 4 * f3 - 6 * f4 - 3 * f5 + 5 * f6) / 42 else mid end')} as smoothed from s where i = 1 or mid is not null""")
-def _(t):
-    from pyspark.sql import Window
-
-    out = pr.smooth(c.flag_month(t), ["indicator"], "period", "value", "smoothed")
-    w = Window.partitionBy("indicator").orderBy("period")
-    out = out.withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("indicator")))
-    return out.where("i = 1 or (i > 3 and i <= n - 3)").select("indicator", "period", f32("smoothed").alias("smoothed"))
-
-
 _EDGES = ("32 15 3 -4 -6 -3 5 42", "5 4 3 2 1 0 -1 14", "1 3 4 4 3 1 -2 14")  # weights of the three end positions, then their divisor
 
 
