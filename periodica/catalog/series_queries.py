@@ -326,14 +326,14 @@ select g, round::int as round, removed, {q6('score')} as score, kept from way"""
 
 
 _REMOVAL = """
-, obs as (select indicator as g, day < date '1997-01-01' as fit, sum(amount)::double / 1e5 as y, (count(*) % 3)::double as x1, avg(o_custkey % 100)::double / 10 as x2, count(*)::double as x3 from orders_day group by indicator, day)"""
+, obs as (select indicator as g, day < date '1997-01-01' as fit, sum(amount)::double / 1e5 as y, day(day)::double / 10 as x1, avg(o_custkey % 100)::double / 10 as x2, count(*)::double as x3 from orders_day group by indicator, day)"""
 
 
 @query("n10_backward_removal", ctes("orders_day") + _REMOVAL + _removal_sql())
 def _(t):
     n = F.count(F.lit(1))
     obs = c.orders_day(t).groupBy(F.col("indicator").alias("g"), "day").agg(
-        (F.sum("amount").cast("double") / 1e5).alias("y"), (n % 3).cast("double").alias("x1"), (F.avg(F.col("o_custkey") % 100) / 10).alias("x2"), n.cast("double").alias("x3"))
+        (F.sum("amount").cast("double") / 1e5).alias("y"), (F.dayofmonth("day") / 10).alias("x1"), (F.avg(F.col("o_custkey") % 100) / 10).alias("x2"), n.cast("double").alias("x3"))
     rounds = fc.backward_removal(obs, ["g"], "y", ["x1", "x2", "x3"], F.col("day") < D("1997-01-01"))
     return rounds.withColumn("score", r6("score")).withColumn("kept", F.array_join("kept", ","))
 
