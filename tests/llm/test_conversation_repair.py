@@ -115,8 +115,7 @@ def frame(spark, rows):
     return spark.createDataFrame(named, "conv_id long, turn long, role string, text string, block int, letters string").repartition(3)
 
 
-@pytest.mark.parametrize("long_rows", [4096, 0, 6])
-@pytest.mark.parametrize("rows", [EDGE, many(1), many(2)], ids=["edge", "many", "more"])
+@pytest.mark.parametrize("rows,long_rows", [(EDGE, 4096), (EDGE, 0), (many(1), 4096), (many(2), 6)], ids=["edge", "edge-long", "many", "many-long"])
 def test_repair(spark, rows, long_rows):
     groups = {}
     for conv, turn, role, text in rows:
