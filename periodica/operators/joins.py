@@ -61,12 +61,14 @@ def weight_for_year(df: DataFrame, weights: DataFrame, key: str, period: str) ->
     return df.join(spans, key, "left").withColumn("weight", F.coalesce(F.try_element_at(hit, F.lit(1))["weight"], F.lit(0.0))).drop("_w")
 
 
-def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, name: str) -> DataFrame:
+def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str, name: str, long_right: bool = False) -> DataFrame:
     """Last right value at or before each left time.
 
     ``right`` holds one row per key and time, few beside ``left``. Each row is valid
     until the next; validity meets the left rows on the key and the month, so
-    left rows are neither sorted nor gathered by key.
+    left rows are neither sorted nor gathered by key. ``long_right`` says that ``right``
+    grows with its keys: it is then never broadcast, as its size is measured before
+    the months multiply it.
     """
     month = lambda at: F.trunc(at, "MM")
     last = left.agg(F.max(left_at).alias("m")).scalar()
@@ -74,6 +76,7 @@ def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
     r = r.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from")))
     end = F.greatest(month(F.col("_from")), month(F.coalesce(F.col("_to"), last)))
     r = r.withColumn("_month", F.explode(F.sequence(month(F.col("_from")), end, F.expr("interval 1 month"))))
+    r = r.hint("merge") if long_right else r
     l = left.withColumn("_month", month(F.col(left_at)))
     meets = [l[k].eqNullSafe(r[k]) for k in [*keys, "_month"]] + [l[left_at] >= r["_from"], r["_to"].isNull() | (l[left_at] < r["_to"])]
     return l.join(r, meets, "left").select(*[l[c] for c in left.columns], name)

@@ -120,12 +120,13 @@ def news_impacts(releases: DataFrame, predictions: DataFrame, gains: DataFrame,
     ``releases`` (release_id, variable, ts, observed); ``predictions``
     (variable, ts, expected); ``gains`` (variable, ts, factor, gain);
     ``target`` (factor, loading). Prediction and gain are the latest ones not
-    after the release; a release before the first of them has no impact row.
+    after the release; a release before the first of them has no impact row. All
+    but the target grow with the variables and meet by sorting.
     """
-    known = backward_asof(releases, predictions, ["variable"], "ts", "ts", "expected", "expected")
+    known = backward_asof(releases, predictions, ["variable"], "ts", "ts", "expected", "expected", long_right=True)
     stamps = gains.select("variable", "ts").distinct().withColumn("gain_ts", F.col("ts"))
-    at = backward_asof(known, stamps, ["variable"], "ts", "ts", "gain_ts", "gain_ts")
-    g = gains.select("variable", F.col("ts").alias("gain_ts"), "factor", "gain")
+    at = backward_asof(known, stamps, ["variable"], "ts", "ts", "gain_ts", "gain_ts", long_right=True)
+    g = gains.select("variable", F.col("ts").alias("gain_ts"), "factor", "gain").hint("merge")
     out = at.where("expected is not null").join(g, ["variable", "gain_ts"]).join(target, "factor")
     innovation = F.col("observed") - F.col("expected")
     return out.groupBy("release_id", "variable", "ts", "observed", "expected").agg(
