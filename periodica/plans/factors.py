@@ -158,10 +158,16 @@ def require_scale(scaled: DataFrame) -> None:
 
 
 def reconstruction_errors(observed: DataFrame, factors: DataFrame, weights: DataFrame, variable: str, period: str, value: str, phase: Column) -> DataFrame:
-    """RMSE and MAE of each variable by phase; factors are long (period, factor, f)."""
-    fit = factors.join(weights.select(variable, "factor", "loading"), "factor").groupBy(variable, period).agg(F.sum(F.col("loading") * F.col("f")).alias("fitted"))
+    """RMSE and MAE of each variable by phase; factors are long (period, factor, f).
+
+    Only observed periods are fitted, and a variable's weights meet it by sorting:
+    by the factor alone all variables would meet in one task.
+    """
+    pairs = observed.select(variable, period).distinct()
+    weighted = pairs.join(weights.select(variable, "factor", "loading").hint("merge"), variable)
+    fit = weighted.join(factors.select(period, "factor", "f"), [period, "factor"]).groupBy(variable, period).agg(F.sum(F.col("loading") * F.col("f")).alias("fitted"))
     r = F.col(value) - F.col("fitted")
-    return observed.join(fit, [variable, period]).groupBy(variable, phase.alias("phase")).agg(
+    return observed.join(fit.hint("merge"), [variable, period]).groupBy(variable, phase.alias("phase")).agg(
         F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), F.count(r).alias("n"))
 
 

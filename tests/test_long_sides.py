@@ -32,3 +32,14 @@ def test_news_meet_by_sorting(frame):
     assert got == pytest.approx(want)
     physical = plan(out).split("== Physical Plan ==")[1].split("Initial Plan")[0]
     assert physical.count("SortMergeJoin") == 3
+
+
+def test_reconstruction_never_joins_by_the_factor_alone(frame):
+    months = [date(2024, m, 1) for m in (1, 2, 3, 4)]
+    observed = frame([("a", months[0], 3.0), ("a", months[1], 5.0), ("a", months[1], 6.0), ("a", months[2], None), ("b", months[0], 1.0), ("c", months[0], 1.0), ("a", months[3], 1.0)], "v string, p date, y double")
+    factors = frame([(months[0], "f", 1.0), (months[1], "f", 2.0), (months[2], "f", 3.0), (months[0], "g", 0.5)], "p date, factor string, f double")
+    weights = frame([("a", "f", 2.0), ("a", "g", 2.0), ("b", "f", None)], "v string, factor string, loading double")
+    out = fa.reconstruction_errors(observed, factors, weights, "v", "p", "y", F.lit("x"))
+    got = {r["v"]: (r["mae"], r["n"]) for r in out.collect()}
+    assert got == {"a": (pytest.approx((0 + 1 + 2) / 3), 3), "b": (None, 0)}
+    assert not re.search(r"Join \[factor#\d+\]", plan(out))
