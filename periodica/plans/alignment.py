@@ -116,18 +116,31 @@ def align_to_fridays(df: DataFrame, key: str, period: str, value: str, first: Co
     """Last value of each Saturday-to-Friday week on a full Friday calendar.
 
     An empty week borrows the first value of the next week if that week holds
-    at least two; ``borrowed_from`` names its date.
+    at least two; ``borrowed_from`` names its date. Only weeks with a value are
+    shuffled and ordered; each then adds the empty weeks up to the next one, and a
+    key's first row those before the first. A null key has the calendar alone.
     """
     valid = df.where(F.col(value).isNotNull())
-    per = valid.groupBy(key, cal.week_friday(period).alias("friday")).agg(
-        F.max_by(value, period).alias("_last"), F.min_by(value, period).alias("_first"), F.min(period).alias("_at"), F.count(F.lit(1)).alias("_n"))
-    bounds = valid.groupBy(key).agg(F.min(period).alias("_a"), F.max(period).alias("_b"))
-    grid = bounds.select(key, F.explode(theoretical_fridays(first if first is not None else F.col("_a"), last if last is not None else F.col("_b"))).alias("friday"))
-    rows = grid.join(per, [key, "friday"], "left")
-    w = win.over([key], "friday")
-    can = F.col("_last").isNull() & (F.lead("_n").over(w) >= 2) if borrow else F.lit(False)
-    return rows.select(
-        key, "friday", F.coalesce("_last", F.when(can, F.lead("_first").over(w))).alias(value), F.when(can, F.lead("_at").over(w)).alias("borrowed_from"))
+    per = valid.groupBy(key, cal.week_friday(period).alias("_week")).agg(
+        F.max_by(value, period).alias("_last"), F.min_by(value, period).alias("_first"), F.min(period).alias("_at"), F.max(period).alias("_to"), F.count(F.lit(1)).alias("_n"))
+    whole, along = Window.partitionBy(key), win.over([key], "_week")
+    rows = per.withColumn("_a", F.min("_at").over(whole)).withColumn("_b", F.max("_to").over(whole))
+    start = first if first is not None else F.col("_a")
+    end = last if last is not None else F.col("_b")
+    rows = rows.withColumn("_start", cal.week_friday(start)).withColumn("_stop", F.date_add(F.date_sub(end, (F.weekday(end) - 4 + 7) % 7), 7))
+    inside = F.coalesce(F.col(key).isNotNull() & (F.col("_week") >= F.col("_start")) & (F.col("_week") < F.col("_stop")), F.lit(False))
+    rows = rows.withColumn("_own", F.when(inside, F.struct("_week", "_n", "_first", "_at")))
+    rows = rows.select(
+        key, "_last", "_own", "_start", "_stop", (F.row_number().over(along) == 1).alias("_head"), F.min("_own").over(whole).alias("_lead"),
+        F.first("_own", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    own = F.struct(F.col("_own._week").alias("_from"), F.coalesce("_next._week", "_stop").alias("_until"), "_last", F.col("_next").alias("_then"))
+    head = F.struct(F.col("_start").alias("_from"), F.coalesce("_lead._week", "_stop").alias("_until"), F.lit(None).cast(df.schema[value].dataType).alias("_last"), F.col("_lead").alias("_then"))
+    stretches = F.array(F.when(F.col("_head"), head), F.when(F.col("_own").isNotNull(), own))
+    rows = rows.select(key, F.inline(F.filter(stretches, lambda s: s["_from"] < s["_until"])))
+    rows = rows.select("*", F.explode(F.sequence("_from", F.date_sub("_until", 7), F.expr("interval 7 day"))).alias("friday"))
+    here = F.when(F.col("friday") == F.col("_from"), F.col("_last"))
+    can = here.isNull() & (F.date_add("friday", 7) == F.col("_then._week")) & (F.col("_then._n") >= 2) if borrow else F.lit(False)
+    return rows.select(key, "friday", F.coalesce(here, F.when(can, F.col("_then._first"))).alias(value), F.when(can, F.col("_then._at")).alias("borrowed_from"))
 
 
 def dekad_to_weekly(df: DataFrame, key: str, period: str, value: str, borrow: bool = True) -> DataFrame:

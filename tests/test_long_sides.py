@@ -43,3 +43,37 @@ def test_reconstruction_never_joins_by_the_factor_alone(frame):
     got = {r["v"]: (r["mae"], r["n"]) for r in out.collect()}
     assert got == {"a": (pytest.approx((0 + 1 + 2) / 3), 3), "b": (None, 0)}
     assert not re.search(r"Join \[factor#\d+\]", plan(out))
+
+
+def friday(d):
+    return d + timedelta((4 - d.weekday()) % 7)
+
+
+def aligned(data, first, last, borrow):
+    out = []
+    for k in {k for k, _d, v in data if v is not None}:
+        mine = [(d, v) for x, d, v in data if x == k and v is not None]
+        lo, hi = first or min(d for d, _ in mine), last or max(d for d, _ in mine)
+        at, weeks = friday(lo), {}
+        for d, v in sorted(mine) if k is not None else []:
+            weeks.setdefault(friday(d), []).append((d, v))
+        while at <= hi:
+            then = weeks.get(at + timedelta(7), [])
+            lends = borrow and at not in weeks and at + timedelta(7) <= hi and len(then) >= 2
+            out.append((k, at, weeks[at][-1][1] if at in weeks else then[0][1] if lends else None, then[0][0] if lends else None))
+            at += timedelta(7)
+    return out
+
+
+@pytest.mark.parametrize("first, last", [(None, None), (date(2024, 2, 1), date(2024, 3, 20)), (date(2023, 12, 1), date(2024, 7, 3))])
+@pytest.mark.parametrize("borrow", [True, False])
+def test_weeks_are_filled_after_the_shuffle(frame, first, last, borrow):
+    rnd = random.Random(4)
+    data = [(k, date(2024, 1, 1) + timedelta(d), None if rnd.random() < 0.1 else float(d)) for k in ("a", "b", "c", None) for d in sorted(rnd.sample(range(150), 25))]
+    data += [("one", date(2024, 3, 1), 1.0), ("early", date(2023, 1, 1), 1.0), ("none", date(2024, 1, 1), None)]
+    lit = lambda d: d and F.lit(d)
+    out = al.align_to_fridays(frame(data, "k string, d date, v double"), "k", "d", "v", lit(first), lit(last), borrow)
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(aligned(data, first, last, borrow), key=repr)
+    physical = plan(out).split("== Physical Plan ==")[1]
+    assert physical.index("explode(sequence") < physical.index("Exchange")
