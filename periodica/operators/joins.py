@@ -188,25 +188,27 @@ def latest_attach(catalog: DataFrame, history: DataFrame, key: str, day: str, ke
 def closure(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """All (ancestor, descendant, depth) pairs of a hierarchy.
 
-    Paths double each round, so a tree of depth d needs about log2(d) joins;
-    each round is written to the shared folder to cut the plan. A key that
-    reaches itself is a cycle and raises.
+    ``reach`` holds the pairs at most ``span`` steps apart and ``jump`` those that a walk
+    of exactly ``span`` steps joins. A pair further apart, up to twice the span, has a
+    jump as the last part of its shortest path, so a pair of a tree is made once and
+    a tree of depth d needs about log2(d) rounds. Each round is written to the shared
+    folder to cut the plan. A key that reaches itself is a cycle and raises.
     """
     step = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"), F.lit(1).alias("depth")).distinct()
     reach = cut_lineage(step, "closure")
-    known = reach.count()
+    jump, span = reach.select(F.col("ancestor").alias("_m"), F.col("descendant").alias("_d")), 1
     while True:
-        hop = reach.select(F.col("ancestor").alias("_m"), F.col("descendant").alias("_d"), F.col("depth").alias("_k"))
-        longer = reach.join(hop, reach["descendant"] == hop["_m"]).select(
-            "ancestor", F.col("_d").alias("descendant"), (F.col("depth") + F.col("_k")).alias("depth"))
-        grown = reach.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
-        reach = cut_lineage(grown, "closure")
         if reach.where("ancestor = descendant").limit(1).count():
             raise ValueError("hierarchy contains a cycle")
-        size = reach.count()
-        if size == known:
+        if jump.isEmpty():
             return reach
-        known = size
+        # A key's jumps stream past its few ancestors; rows are never broadcast, as either side grows with the keys.
+        longer = jump.join(reach.hint("merge"), jump["_m"] == reach["descendant"]).select(
+            "ancestor", F.col("_d").alias("descendant"), (F.col("depth") + span).alias("depth"))
+        reach_next = cut_lineage(reach.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), "closure")
+        near = jump.select(F.col("_m").alias("_a"), F.col("_d").alias("_via")).hint("merge")
+        jump = cut_lineage(jump.join(near, jump["_m"] == near["_via"]).select(F.col("_a").alias("_m"), "_d").distinct(), "closure")
+        reach, span = reach_next, 2 * span
 
 
 def footprints(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:

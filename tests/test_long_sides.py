@@ -77,3 +77,19 @@ def test_weeks_are_filled_after_the_shuffle(frame, first, last, borrow):
     assert sorted(got, key=repr) == sorted(aligned(data, first, last, borrow), key=repr)
     physical = plan(out).split("== Physical Plan ==")[1]
     assert physical.index("explode(sequence") < physical.index("Exchange")
+
+
+def test_closure_makes_a_pair_of_a_tree_once(frame, monkeypatch):
+    plans, cut = [], jn.cut_lineage
+    monkeypatch.setattr(jn, "cut_lineage", lambda df, label="stage": (plans.append(plan(df)), cut(df, label))[1])
+    rnd = random.Random(3)
+    edges = {(a, b) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(60)) if a < b} | {(None, 3), (7, None), (40, 41)}
+    want = {e: 1 for e in edges}
+    for depth in range(2, 31):
+        for (a, b), k in list(want.items()):
+            for c, d in edges if k == depth - 1 and b is not None else ():
+                if c == b:
+                    want.setdefault((a, d), depth)
+    got = jn.closure(frame(sorted(edges, key=repr), "parent int, child int"))
+    assert rows(got.na.fill(-1), "ancestor", "descendant", "depth") == sorted((*(-1 if x is None else x for x in e), k) for e, k in want.items())
+    assert any("strategy=merge" in p for p in plans) and not any("Broadcast" in p for p in plans)
