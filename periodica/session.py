@@ -8,11 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch sent to Python; ten thousand long texts would fill a worker several times over.
+ARROW_BYTES = 4 << 20
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Settings every job relies on: UTC calendar, adaptive execution."""
+    """Settings every job relies on: UTC calendar, adaptive execution, Arrow batches bounded in bytes as well as rows."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
