@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from periodica.operators.latest import latest_by
 from periodica.session import shared_dir
-from periodica.streaming.processors import ENTRY_SCHEMA, LATEST_SCHEMA, STATE_SCHEMA, EntryDetector, latest_vessel
+from periodica.streaming.processors import BUCKETS, ENTRY_SCHEMA, LATEST_SCHEMA, STATE_SCHEMA, EntryDetector, Vessels, latest_vessel
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,6 +50,12 @@ def append_new(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti"))
 
 
+def by_vessel(stream: DataFrame, function: Callable, schema: str, newest: bool) -> DataFrame:
+    """A stateful function of one vessel over a stream with a watermark; vessels share calls by a hash of their id."""
+    rows = stream.withColumn("bucket", F.pmod(F.xxhash64("mmsi"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").applyInPandasWithState(Vessels(function, newest).__call__, schema, STATE_SCHEMA, "append", "EventTimeTimeout")
+
+
 def entries_and_late(stream: DataFrame, areas: dict, delay: str = "30 minutes") -> DataFrame:
     """Area entries of a position stream, and the reports that came too late for it (rows without an area).
 
@@ -62,8 +68,7 @@ def entries_and_late(stream: DataFrame, areas: dict, delay: str = "30 minutes")
     instant = F.struct("mmsi", F.col("observed").alias("clock"), *nothing)
     report = F.struct("mmsi", F.lit(None).cast("timestamp").alias("clock"), *content)
     both = stream.select(F.inline(F.array(instant, report)))
-    return both.withWatermark("clock", delay).groupBy("mmsi").applyInPandasWithState(
-        EntryDetector(areas).__call__, ENTRY_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+    return by_vessel(both.withWatermark("clock", delay), EntryDetector(areas), ENTRY_SCHEMA, newest=False)
 
 
 def entry_rows(found: DataFrame) -> DataFrame:
@@ -81,8 +86,7 @@ def entries(stream: DataFrame, areas: dict, delay: str = "30 minutes") -> DataFr
 
 def latest_vessels(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Latest enriched state of each vessel that reported in the trigger."""
-    return stream.withWatermark("observed", delay).groupBy("mmsi").applyInPandasWithState(
-        latest_vessel, LATEST_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout")
+    return by_vessel(stream.withWatermark("observed", delay), latest_vessel, LATEST_SCHEMA, newest=True)
 
 
 def daily_counts(stream: DataFrame, stamp: str, area: Column, delay: str = "1 hour") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.state import GroupState
 
@@ -14,6 +15,98 @@ STATE_SCHEMA = "body string"
 LATEST_SCHEMA = "mmsi string, observed timestamp, received timestamp, lat double, lon double, sog double, static string"
 
 
+NOT_A_TIME = np.iinfo(np.int64).min
+
+
+def _nanos(stamps: pd.Series) -> np.ndarray:
+    return stamps.to_numpy().astype("datetime64[ns]").view("int64")
+
+
+def _missing_last(nanos: np.ndarray) -> np.ndarray:
+    return np.where(nanos == NOT_A_TIME, np.iinfo(np.int64).max, nanos)
+
+
+def _stamps(micros: list) -> np.ndarray:
+    """Micros or None as a column; a plain array, as a call with a few rows must cost little."""
+    return np.array([NOT_A_TIME if m is None else m for m in micros], dtype="int64").view("datetime64[us]").astype("datetime64[ns]")
+
+
+class _VesselState:
+    """State and timer of one vessel of a bucket, with the calls of ``GroupState``."""
+
+    def __init__(self, held: tuple | None, mark: int, expired: bool = False):
+        self._body, self.due = held if held else (None, None)
+        self._mark, self.hasTimedOut = mark, expired
+
+    @property
+    def exists(self) -> bool:
+        return self._body is not None
+
+    @property
+    def get(self) -> tuple:
+        return (self._body,)
+
+    def update(self, value: tuple) -> None:
+        self._body, self.due = value[0], None
+
+    def remove(self) -> None:
+        self._body = self.due = None
+
+    def getCurrentWatermarkMs(self) -> int:
+        return self._mark
+
+    def setTimeoutTimestamp(self, due: int) -> None:
+        self.due = due
+
+
+#: A call costs some milliseconds whatever it does; a bucket's vessels share one.
+BUCKETS = 2048
+
+
+class Vessels:
+    """A function of one vessel, run for all vessels of a bucket; used with ``applyInPandasWithState``.
+
+    States and timers stay those of a vessel: one that reported is called with its
+    rows, Arrow batch by Arrow batch, and one whose timer has run out without them.
+    ``newest`` keeps only what the last call of a vessel gave.
+    """
+
+    def __init__(self, function: Callable, newest: bool):
+        self._function, self._newest = function, newest
+
+    def __call__(self, key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        held = {m: (body, due) for m, body, due in json.loads(state.get[0])} if state.exists else {}
+        seen, found = set(), {}
+
+        def call(mmsi, rows: Iterator[pd.DataFrame], expired: bool = False) -> None:
+            own = _VesselState(held.get(mmsi), mark, expired)
+            out = list(self._function((mmsi,), rows, own))
+            found[mmsi] = out if self._newest else found.get(mmsi, []) + out
+            if own.exists:
+                held[mmsi] = (own.get[0], own.due)
+            else:
+                held.pop(mmsi, None)
+
+        for pdf in () if state.hasTimedOut else batches:
+            for mmsi, rows in pdf.groupby("mmsi", sort=False, dropna=False):
+                mmsi = mmsi if isinstance(mmsi, str) else None
+                seen.add(mmsi)
+                call(mmsi, iter((rows,)))
+        for mmsi in [m for m, (_body, due) in held.items() if m not in seen and due is not None and due < mark]:
+            call(mmsi, iter(()), expired=True)
+        if held:
+            state.update((json.dumps([[m, *x] for m, x in held.items()]),))
+            timers = [due for _body, due in held.values() if due is not None]
+            if timers:
+                state.setTimeoutTimestamp(max(min(timers), mark + 1))
+        elif state.exists:
+            state.remove()
+        given = [pdf for out in found.values() for pdf in out]
+        if given:
+            yield pd.concat(given, ignore_index=True) if len(given) > 1 else given[0]
+
+
 def _nm(a: tuple[float, float], b: tuple[float, float]) -> float:
     la, oa, lb, ob = map(math.radians, (a[0], a[1], b[0], b[1]))
     h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - oa) / 2) ** 2
@@ -62,8 +155,8 @@ class EntryDetector:
 
     A report from before the watermark comes too late for its place in the order:
     it goes out as a row without an area, for the replay. Rows without ``observed``
-    only move the watermark. Used with ``applyInPandasWithState``: the state of a
-    vessel is one small text that travels with its group.
+    only move the watermark. Used through ``Vessels``: the state of a vessel is one
+    small text that travels with its bucket.
     """
 
     def __init__(self, areas: dict):
@@ -76,9 +169,12 @@ class EntryDetector:
         late = []
         if not state.hasTimedOut:
             for pdf in batches:
-                pdf = pdf.dropna(subset=["observed", "lat", "lon"])
-                for stamp, lat, lon, source in zip(pdf["observed"], pdf["lat"], pdf["lon"], pdf["source"]):
-                    micros = stamp.value // 1000
+                nanos = _nanos(pdf["observed"])
+                known = np.flatnonzero((nanos != NOT_A_TIME) & pdf["lat"].notna().to_numpy() & pdf["lon"].notna().to_numpy())
+                if not len(known):
+                    continue
+                columns = (pdf[c].to_numpy()[known].tolist() for c in ("lat", "lon", "source"))
+                for micros, lat, lon, source in zip((nanos[known] // 1000).tolist(), *columns):
                     if micros // 1000 >= mark:
                         waiting.setdefault(micros, []).append([source, lat, lon])
                     else:
@@ -100,10 +196,10 @@ class EntryDetector:
             state.update((json.dumps({"memory": memory, "waiting": waiting}),))
             state.setTimeoutTimestamp(max(min(waiting) // 1000 if waiting else ends, mark) + 1)
         if out or late:
-            pdf = pd.DataFrame(out + late, columns=["mmsi", "area", "entered", "before", "confirmed", "source", "observed", "lat", "lon"])
-            for c in ("entered", "before", "confirmed", "observed"):
-                pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us")
-            yield pdf.astype({"lat": "float64", "lon": "float64"})
+            mmsi, area, entered, before, confirmed, source, observed, lat, lon = zip(*out, *late)
+            yield pd.DataFrame({
+                "mmsi": mmsi, "area": area, "entered": _stamps(entered), "before": _stamps(before), "confirmed": _stamps(confirmed),
+                "source": source, "observed": _stamps(observed), "lat": np.array(lat, dtype="float64"), "lon": np.array(lon, dtype="float64")})
 
 
 STATIC_FIELDS = ("name", "call_sign", "destination", "category")
@@ -114,7 +210,8 @@ def latest_vessel(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """Newest position of a vessel with its non-null static fields; forgotten after two quiet hours of event time.
 
     Each Arrow batch is reduced to its newest rows, so memory does not grow
-    with the number of reports.
+    with the number of reports. Most vessels have a few rows, so these are picked
+    from plain arrays and lists. Missing times rank last, the later of equal rows wins.
     """
     if state.hasTimedOut:
         state.remove()
@@ -122,22 +219,28 @@ def latest_vessel(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     held = json.loads(state.get[0]) if state.exists else {"position": None, "static": {}}
     best, static = held["position"], held["static"]
     for pdf in batches:
-        pos = pdf[pdf["kind"] == "position"]
+        kind, seen, received = pdf["kind"].to_numpy(), _nanos(pdf["observed"]), _nanos(pdf["received"])
+        pos = np.flatnonzero(kind == "position")
         if len(pos):
-            top = pos.assign(_s=pos["observed"].fillna(pos["received"])).sort_values(["_s", "received"]).iloc[-1]
-            cand = [int(top["_s"].value // 1000), int(top["received"].value // 1000), float(top["lat"]), float(top["lon"]), None if pd.isna(top["sog"]) else float(top["sog"])]
+            stamp = np.where(seen == NOT_A_TIME, received, seen)
+            top = pos[np.lexsort((_missing_last(received[pos]), _missing_last(stamp[pos])))[-1]]
+            sog = pdf["sog"].iat[top]
+            cand = [int(stamp[top]) // 1000, int(received[top]) // 1000, float(pdf["lat"].iat[top]), float(pdf["lon"].iat[top]), None if pd.isna(sog) else float(sog)]
             if best is None or cand[:2] >= best[:2]:
                 best = cand
-        for field in STATIC_FIELDS:
-            known = pdf[(pdf["kind"] == "static") & pdf[field].notna()]
-            if len(known):
-                row = known.sort_values(["observed", "received", field]).iloc[-1]
-                at = int(row["observed"].value // 1000)
+        told = np.flatnonzero(kind == "static")
+        ranks = list(zip(_missing_last(seen[told]).tolist(), _missing_last(received[told]).tolist()))
+        for field in STATIC_FIELDS if len(told) else ():
+            texts = pdf[field].to_numpy()[told].tolist()
+            known = [(*rank, value, row) for rank, value, row in zip(ranks, texts, told) if isinstance(value, str)]
+            if known:
+                *_, value, row = max(known)
+                at = int(seen[row]) // 1000
                 if field not in static or at >= static[field][0]:
-                    static[field] = [at, row[field]]
+                    static[field] = [at, value]
     state.update((json.dumps({"position": best, "static": static}),))
     newest = max([best[0] if best else 0, *[v[0] for v in static.values()]]) // 1000
     state.setTimeoutTimestamp(max(newest + RETENTION_MS, state.getCurrentWatermarkMs()) + 1)
     if best is not None:
         fields = json.dumps({k: v[1] for k, v in sorted(static.items())}, ensure_ascii=False)
-        yield pd.DataFrame({"mmsi": [key[0]], "observed": [pd.to_datetime(best[0], unit="us")], "received": [pd.to_datetime(best[1], unit="us")], "lat": [best[2]], "lon": [best[3]], "sog": [best[4]], "static": [fields]})
+        yield pd.DataFrame({"mmsi": [key[0]], "observed": _stamps([best[0]]), "received": _stamps([best[1]]), "lat": [best[2]], "lon": [best[3]], "sog": [best[4]], "static": [fields]})
