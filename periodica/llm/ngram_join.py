@@ -8,7 +8,7 @@ hashes of shingles.
 1. Equal sets form a class, and only classes are compared. Each class lists as
    keys the rarest ``n - ceil(percent * n / 100) + 1`` of its ``n`` shingles, so
    linked classes share a key. Rarity comes from a fixed-size count sketch over
-   all documents: it only settles the order of shingles, never which pairs count.
+   all documents, read in spreads above its median: it only settles the order of shingles, never which pairs count.
 2. Classes of one key form a bucket. A bucket has three pivots: the member whose
    keys are shared most, as an original's are beside its edited copies, and those
    first and last by a hash, so that the buckets of a group mostly agree on them.
@@ -19,7 +19,8 @@ hashes of shingles.
    pairs of leaves are spread over tasks. In a task the shingles are hashed into
    coordinate groups, the group counts are points, and a packed R-tree over the
    points prunes every node or pair whose summed coordinate minima cannot reach
-   the overlap needed. Pairs already in one group are skipped.
+   the overlap needed. What is left is held against finer counts, so that nearly
+   all pairs that go on are links. Pairs already in one group are skipped.
 4. Surviving pairs are verified on the whole sets, and linked classes merge.
 
 Null or empty texts and texts of blanks have an empty set and link with nothing;
@@ -43,10 +44,12 @@ from periodica.session import cut_lineage
 WORDS = 5
 PERCENT = 75
 #: Cells of the rarity sketch and of the filter of classes with a key partner; both have this size at any scale.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 FILTER_BITS = 23
 LEAF = 256
 FANOUT = 16
+#: Coordinates of a count point that are added up to one coordinate of the tree.
+FOLD = 4
 SLICES = 64
 
 
@@ -55,34 +58,51 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
-    """For each sketch cell 0 where it holds no more than usual, else higher with its count."""
+    """For each sketch cell 0 where it holds about as much as the median cell, else higher with the excess.
+
+    The excess is counted in spreads of the cells, so a frequent shingle shows above
+    the noise of the others, which grows as the root of their number only.
+    """
     cells = 1 << SKETCH_BITS
 
+    def packed(part: np.ndarray) -> bytes:
+        kind = "u1" if part.max() < 256 else "<u4" if part.max() < 1 << 32 else "<u8"
+        return kind[-1].encode() + zlib.compress(part.astype(kind).tobytes(), 1)
+
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(blob[1:]), dtype={b"1": "u1", b"4": "<u4", b"8": "<u8"}[blob[:1]]).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cache = np.zeros(cells, dtype=np.int64), WordHashes()
+        held, cache, waiting, size = np.zeros(cells, dtype=np.int64), WordHashes(), [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                hashed = (cache.of(blank_words(t)) for t in batch.slice(start, 512).column("text").to_pylist())
-                grams = np.concatenate([gram_hashes(h, min(words, len(h))) for h in hashed if len(h)] or [np.empty(0, dtype=np.uint64)])
-                held += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+            for text in batch.column("text").to_pylist():
+                h = cache.of(blank_words(text))
+                grams = (gram_hashes(h, min(words, len(h))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+                waiting.append(grams)
+                size += len(grams)
+                if size >= cells:
+                    held += np.bincount(np.concatenate(waiting), minlength=cells)
+                    waiting, size = [], 0
+        if waiting:
+            held += np.bincount(np.concatenate(waiting), minlength=cells)
         parts = np.split(held, SLICES)
-        yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
+        yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([packed(p) for p in parts], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), dtype=np.int64)
+                part = unpacked(blob)
                 total[s] = total[s] + part if s in total else part
-        yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in total.values()], pa.binary())})
+        yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([packed(p) for p in total.values()], pa.binary())})
 
     schema = "slice int, counts binary"
     summed = docs.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
     held = np.zeros(cells, dtype=np.int64)
     for row in summed.collect():
-        held.reshape(SLICES, -1)[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-    usual = 4 * held.mean() + 16
-    return np.ceil(np.log2(np.maximum(held / usual, 1.0))).astype(np.uint8)
+        held.reshape(SLICES, -1)[row["slice"]] += unpacked(bytes(row["counts"]))
+    middle, above = np.percentile(held, [50, 84])
+    return np.ceil(np.log2(np.maximum((held - middle) / (3 * (above - middle + 1)), 1.0))).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
@@ -198,7 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def count_point(members: np.ndarray) -> bytes:
     """Counts of a set's members in hash groups: a power of two of groups that grows with the set."""
-    bits = min(12, max(4, (len(members) // 3).bit_length()))
+    bits = min(12, max(4, (len(members) // 3).bit_length())) + FOLD.bit_length() - 1
     groups = (_scramble(members) >> np.uint64(64 - bits)).astype(np.int64)
     counts = np.bincount(groups, minlength=1 << bits)
     kind = "u1" if counts.max() < 256 else "<u4"
@@ -206,7 +226,7 @@ def count_point(members: np.ndarray) -> bytes:
 
 
 def _point(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), dtype="u1" if blob[:1] == b"1" else "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(blob[1:]), dtype="u1" if blob[:1] == b"1" else "<u4").astype(np.int32)
 
 
 def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -257,12 +277,14 @@ def _fold(points: list[np.ndarray], width: int) -> np.ndarray:
     return np.stack([p.reshape(width, -1).sum(axis=1) for p in points])
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of ``members(bucket, c, n, size, comp, point)`` in different groups of one bucket."""
+def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of ``members(bucket, c, n, size, comp)`` in different groups of one bucket, by ``points(c, point)``."""
+    members = cut_lineage(members, "members")
     spread = F.ceil(F.col("size") / LEAF)
     cut = F.concat_ws(":", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long"), F.pmod(F.xxhash64("c"), spread))
     # A small bucket is one leaf, a larger one is cut by size band and salt.
-    members = members.withColumn("leaf", F.when(spread > 1, cut).otherwise("0:0"))
+    small = members.where(spread <= 1).select("bucket", F.lit("").alias("l1"), F.lit("").alias("l2"), F.lit(0).alias("side"), "c", "n", "comp")
+    members = members.where(spread > 1).withColumn("leaf", cut)
     leaves = members.select("bucket", "leaf").distinct()
     band = F.split("leaf", ":")[0].cast("int")
     left = leaves.select("bucket", F.col("leaf").alias("l1"), band.alias("b1"))
@@ -271,7 +293,9 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     meets = left.join(right, "bucket").where("b2 = b1 + 1 or (b2 = b1 and l2 >= l1)").select("bucket", "l1", "l2")
     one = meets.join(members.withColumnRenamed("leaf", "l1"), ["bucket", "l1"]).withColumn("side", F.lit(0))
     two = meets.where("l1 <> l2").join(members.withColumnRenamed("leaf", "l2"), ["bucket", "l2"]).withColumn("side", F.lit(1))
-    rows = one.unionByName(two).select("bucket", "l1", "l2", "side", "c", "n", "comp", "point").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
+    rows = small.unionByName(one.select(small.columns)).unionByName(two.select(small.columns))
+    # The points come last, so that they travel once.
+    rows = rows.join(points, "c").select(*small.columns, "point").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
 
     def join(group: list[dict]) -> Iterator[tuple[int, int]]:
         for r in group:
@@ -288,8 +312,12 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
                     yield from _meet(rows, right[other], min(wide, other), own and other == wide)
 
     def _meet(rows: list[dict], others: list[dict], width: int, own: bool) -> Iterator[tuple[int, int]]:
-        trees = [CountTree(np.array([r["n"] for r in s]), _fold([r["point"] for r in s], width)) for s in (rows, others)]
+        points = [_fold([r["point"] for r in s], width) for s in (rows, others)]
+        sizes = [np.array([r["n"] for r in s]) for s in (rows, others)]
+        trees = [CountTree(n, p.reshape(len(p), -1, FOLD).sum(axis=2)) for n, p in zip(sizes, points, strict=True)]
         for x, y in trees[0].candidates(trees[1], percent):
+            near = (100 + percent) * np.minimum(points[0][x], points[1][y]).sum(axis=1) >= percent * (sizes[0][x] + sizes[1][y])
+            x, y = x[near], y[near]
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 a, b = rows[i], others[j]
                 if a["comp"] != b["comp"] and (not own or a["c"] < b["c"]):
@@ -349,7 +377,7 @@ def _grouped(texts: DataFrame, words: int, percent: int) -> DataFrame:
     grouped = members.join(roots, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
     open_buckets = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     left = grouped.join(open_buckets, "bucket").select("bucket", "c", "n", "size", "comp").distinct()
-    more = linked(tree_pairs(left.join(points, "c"), percent))
+    more = linked(tree_pairs(left, points, percent))
     roots = cut_lineage(linked_groups(links.unionByName(more)), "roots")
 
     lowest = classes.withColumnRenamed("doc_id", "lowest").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).select("c", "root", "lowest")

@@ -5,11 +5,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from periodica.llm import decontamination, fingerprints, ngram_join, secret_scan, toxicity
-from periodica.llm.common import linked_groups
+from periodica.llm.common import WordHashes, linked_groups, shingle_set
 
 
 def lower(t):
@@ -64,6 +65,26 @@ def test_join_in_leaves(spark, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.components(docs).collect()) == brute_groups(rows)
 
 
+def test_a_passage_in_few_texts_is_no_key(spark):
+    """Twelve texts share a passage; its shingles must rank behind those of one text."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(" ".join(f"u{k}_{i}" for i in range(60)),) for k in range(40)] + [(" ".join(passage + [f"v{k}_{i}" for i in range(90)]),) for k in range(12)]
+    levels = ngram_join.rarity_levels(spark.createDataFrame(rows, "text string"), 5)
+    cells = (shingle_set(WordHashes().of([w.encode() for w in passage]), 5) >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(np.int64)
+    assert levels[cells].min() > 0 and (levels > 0).sum() <= 2 * len(cells)
+
+
+def test_tree_passes_on_hardly_more_than_links(spark):
+    """Sets that share two thirds are no candidates; those that share nine tenths are."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(-(1 << 62), 1 << 62, 270)
+    sets = [np.concatenate([shared[:200], rng.integers(-(1 << 62), 1 << 62, 100)]) for _ in range(30)]
+    sets += [np.concatenate([shared, rng.integers(-(1 << 62), 1 << 62, 30)]) for _ in range(2)]
+    points = spark.createDataFrame([(c, bytearray(ngram_join.count_point(s))) for c, s in enumerate(sets)], "c long, point binary")
+    members = spark.createDataFrame([(b, c, len(sets[c]), len(sets), c) for b in (1, 2) for c in range(len(sets))], "bucket long, c long, n long, size long, comp long")
+    assert [tuple(r) for r in ngram_join.tree_pairs(members, points, 75).collect()] == [(30, 31)]
+
+
 def test_join_empty_and_keep_one(no_docs, edge_docs):
     assert ngram_join.components(no_docs).count() == 0
     kept = ngram_join.keep_one(edge_docs)
