@@ -46,8 +46,13 @@ SYMBOLS = 1 << 16
 MOST_TOKENIZER_BYTES = 64 << 20
 
 
-#: Letters below U+0180 whose lower case stands alone, then the end or an ASCII character that is no letter.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)(?:$|(?=[\x00-\x40\x5b-\x60\x7b-\x7f]))")
+#: Letters below U+0180 whose lower case stands alone.
+LETTER = "A-Za-zÀ-ÖØ-öø-įıĲ-ſ"
+#: Such letters, then the end or an ASCII character that is no letter.
+WORD = re.compile(rf"([{LETTER}]+)(?:$|(?=[\x00-\x40\x5b-\x60\x7b-\x7f]))")
+#: A text of such letters and ASCII alone, and in its lower case the matches of the tokenizer's pattern.
+PLAIN = re.compile(rf"[\x00-\x7f{LETTER}]*")
+MATCH = re.compile(rf"[{LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\x09-\x0d\x20{LETTER}0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,9 +62,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
+class MatchIds(dict):
+    """Ids of matches in plain text as bytes, found through ``pieces``; forgets all when full."""
+
+    def __init__(self, pieces: PieceIds):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, match: str) -> bytes:
+        if len(self) >= self.pieces.most:
+            self.clear()
+        value = self[match] = self.pieces.model_ids(match) if match.isalpha() else self.pieces.library_ids(match)
+        return value
+
+
 class PieceIds(dict):
     """Ids of blank-separated pieces as bytes; forgets all when full.
 
+    A plain text without the mark of a special token is cut into matches of the
+    tokenizer's pattern at once. Other texts are cut at blanks first.
+
     A piece is encoded by the library. One that starts with a plain word, as most
     do, takes the word and the rest apart, since the tokenizer's pattern ends a
     match there; the library's model then encodes the word alone.
@@ -70,6 +92,7 @@ class PieceIds(dict):
         self.tokenizer, self.most, self.model = tokenizer, most, tokenizer.model
         self.letters, self.words, self.rests = byte_letters(), {}, {}
         self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.matches, self.marks = MatchIds(self), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
@@ -85,7 +108,7 @@ class PieceIds(dict):
             if end < len(text):
                 value += self._rest(text[end:])
         else:
-            value = self._library(text)
+            value = self.library_ids(text)
         self[piece] = value
         return value
 
@@ -94,8 +117,7 @@ class PieceIds(dict):
         if value is None:
             if len(self.words) >= self.most:
                 self.words.clear()
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            value = self.words[word] = b"".join([self.ids[t.id] for t in self.model.tokenize(shown)])
+            value = self.words[word] = self.model_ids(word)
         return value
 
     def _rest(self, rest: str) -> bytes:
@@ -103,14 +125,22 @@ class PieceIds(dict):
         if value is None:
             if len(self.rests) >= self.most:
                 self.rests.clear()
-            value = self.rests[rest] = self._library(rest)
+            value = self.rests[rest] = self.library_ids(rest)
         return value
 
-    def _library(self, text: str) -> bytes:
+    def model_ids(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(shown)])
+
+    def library_ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join([self[p] for p in text]), dtype="<u4") for text in texts]
+    def of(self, text: str) -> np.ndarray:
+        if (text.isascii() or PLAIN.fullmatch(text)) and not any(mark in text for mark in self.marks):
+            found = map(self.matches.__getitem__, MATCH.findall(text.lower()))
+        else:
+            found = map(self.__getitem__, text.encode().split())
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 def _places(seq: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +171,11 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
     lefts, rights, free = [], [], first_free
     while len(seq) > 1 and free < SYMBOLS:
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        found, counts = np.unique(keys, return_counts=True)
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[np.argsort(-counts[often], kind="stable")][: SYMBOLS - free]
+        # In sorted keys a frequent one equals the key that stands LEAST_COUNT - 1 places on.
+        ranked = np.sort(keys)
+        found = np.flatnonzero(ranked[: max(0, len(ranked) - LEAST_COUNT + 1)] == ranked[LEAST_COUNT - 1 :])
+        found, counts = np.unique(ranked[found], return_counts=True)
+        often = np.argsort(-counts, kind="stable")[: SYMBOLS - free]
         side: dict[int, str] = {}
         chosen = []
         for key in found[often].tolist():
@@ -165,10 +197,11 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
         at, slot = _places(seq, keys, wanted)
         twin = seq[at] == seq[at + 1]
         if twin.any():
-            change = np.concatenate([[True], seq[1:] != seq[:-1]])
-            run = np.maximum.accumulate(np.where(change, np.arange(len(seq)), 0))
-            keep = ~twin | ((at - run[at]) % 2 == 0)
-            at, slot = at[keep], slot[keep]
+            # All places of a pair of equal symbols are here, so a run of them is a stretch of neighbouring places.
+            same = at[twin]
+            run = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, same, 0))
+            twin[twin] = (same - run) % 2 == 1
+            at, slot = at[~twin], slot[~twin]
         seq = seq.copy()
         seq[at] = number[slot]
         rest = np.ones(len(seq), dtype=bool)
@@ -264,8 +297,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, shard_to
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
-                for doc, found in zip(batch.column("doc_id").to_pylist(), pieces.of(texts), strict=True):
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    found = pieces.of(text or "")
                     ids.append(doc)
                     parts.append(np.concatenate([found, end]))
                     length += len(found) + 1

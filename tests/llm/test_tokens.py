@@ -66,6 +66,16 @@ def test_grammar_shards(spark, edge_docs, edge_rows, small, shard):
     assert got == want
 
 
+def test_matches_of_plain_text():
+    """Texts of ASCII and plain letters are cut at the pattern's matches, and their words meet the library's model alone."""
+    rng, tokenizer = np.random.default_rng(5), Tokenizer.from_file(WORDS)
+    pieces, parts = grammar_output.PieceIds(tokenizer), ["a", "B", "É", "ß", " ", "\n", "\x1c", "\x85", "'s", "'LL", "'", "22", ".", ",", "<|endoftext|>", "<|", "\x00", "don't", "İ", "ſ", "́", "x'S", "µ", "²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 9)))
+        assert pieces.of(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "é" in pieces.matches and "'s" in pieces.matches and "<|endoftext|>" not in pieces.matches
+
+
 def test_grammar_without_rows(no_docs):
     assert grammar_output.written_and_read(no_docs, WORDS, 2).count() == 0
 
