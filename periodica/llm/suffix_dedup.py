@@ -10,11 +10,13 @@ document and earlier start) goes; strings are judged on the input.
    anchors occur more than once. Only those go on, each with the bytes around it
    that hold all strings naming it. Within a block, equal surroundings are sent
    once, by their first place; the others are repeats already.
-3. Where anchors meet, the strings' starts are suffixes. They are merge-sorted; two
+3. Where anchors meet, the text from each of an anchor's places on is a suffix, and
+   the text before it one of the reversed bytes. Both are merge-sorted; two
    suffixes are compared through prefix polynomial hashes (mod 2**64), whose binary search
-   finds the common extension in logarithmic steps. Suffixes that agree over
-   ``LENGTH`` bytes stand side by side, are verified byte by byte, and all but the
-   first place are repeats.
+   finds the common extension in logarithmic steps. Neighbours in order are
+   compared byte by byte. Strings that start ``d`` bytes before their anchor are
+   equal where the reversed suffixes agree over ``d`` bytes and the others over
+   the rest of ``LENGTH``; all but the first place are repeats.
 4. Repeats return to their block, which drops the covered bytes.
 
 Blocks are read more than once; a block that differs between readings fails the
@@ -226,6 +228,55 @@ def repeated(hashes: PrefixHashes, starts: np.ndarray, segment: np.ndarray, rank
     return marks
 
 
+def _classes(data: np.ndarray, powers: Powers, starts: np.ndarray, segment: np.ndarray, depth: int):
+    """A function from a length up to ``depth`` to numbers that only suffixes of one segment with that much in common share."""
+    hashes = PrefixHashes(np.append(data, np.zeros(depth, dtype=np.uint8)), powers)
+    order = np.argsort(segment, kind="stable")
+    order = order[suffix_order(hashes, starts[order], segment[order], depth)]
+    common, span = np.full(len(order), -1, dtype=np.int64), np.arange(depth)
+    beside = np.flatnonzero(segment[order[1:]] == segment[order[:-1]]) + 1
+    for at in range(0, len(beside), 20_000):
+        part = beside[at : at + 20_000]
+        same = hashes.data[starts[order[part]][:, None] + span] == hashes.data[starts[order[part - 1]][:, None] + span]
+        common[part] = np.where(same.all(axis=1), depth, same.argmin(axis=1))
+
+    def of(length: int) -> np.ndarray:
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(common < length)
+        return number
+
+    return of
+
+
+def repeated_around(data: np.ndarray, powers: Powers, place: np.ndarray, before: np.ndarray, n: np.ndarray, anchor: np.ndarray, rank: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Marks strings that also start, as far before the same anchor, around a place of lower rank.
+
+    The ``n`` strings of a place of an anchor start ``before`` bytes ahead of it and
+    at the bytes that follow; the marks are one place after the other.
+    """
+    first = np.cumsum(n) - n
+    marks = np.zeros(int(n.sum()), dtype=bool)
+    _, anchor, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    who = np.flatnonzero(count[anchor] > 1)  # a lone place repeats nothing
+    who = who[np.argsort(rank[who], kind="stable")]
+    place, before, n, anchor, first = (x[who] for x in (place, before, n, anchor, first))
+    if not len(who):
+        return marks
+    right = _classes(data, powers, place, anchor, length)
+    left = _classes(data[::-1], powers, len(data) - place, anchor, max(1, length - gram))
+    for d in range(int((before - n).min()) + 1, int(before.max()) + 1):
+        live = np.flatnonzero((before - n < d) & (d <= before))
+        after, ahead = right(length - d)[live], left(d)[live]
+        many = (np.bincount(after)[after] > 1) & (np.bincount(ahead)[ahead] > 1)
+        live, after, ahead = live[many], after[many], ahead[many]
+        _, lowest = np.unique(after * (len(who) + 1) + ahead, return_index=True)
+        again = np.ones(len(live), dtype=bool)
+        again[lowest] = False
+        live = live[again]
+        marks[first[live] + before[live] - d] = True
+    return marks
+
+
 def _covered(starts: np.ndarray, marks: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, from, to) of the bytes under runs of neighbouring marked strings."""
     at = np.flatnonzero(marks)
@@ -342,21 +393,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
             width = hi - lo + length
             base = np.cumsum(width) - width
             n = hi - lo + 1
-            # One row per string start: its instance, its place in the joined data, its anchor and offset.
+            # One row per string start: its instance and its place there.
             inst = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(inst)) - np.repeat(np.cumsum(n) - n, n)
-            _, anchor = np.unique(keys.view(np.uint64), return_inverse=True)
-            segment = anchor[inst] * length + (at - lo)[inst] - step
-            order = np.argsort(segment, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], segment[order][1:] != segment[order][:-1]]))
-            size = np.diff(np.append(first, len(order)))
-            order = order[np.repeat(size, size) > 1]  # a lone string is no repeat
-            who = inst[order]
-            place = np.lexsort((lo[who] + step[order], k[who], block[who], doc_ids[who]))
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[place] = np.arange(len(order))
-            marks = np.zeros(len(inst), dtype=bool)
-            marks[order] = repeated(PrefixHashes(data, powers), base[who] + step[order], segment[order], rank, length)
+            rank = np.empty(len(n), dtype=np.int64)
+            rank[np.lexsort((at, k, block, doc_ids))] = np.arange(len(n))
+            marks = repeated_around(data, powers, base + at - lo, at - lo, n, keys, rank, length, gram)
             starts, ends = lo[inst] + step, np.searchsorted(owner[inst], np.arange(len(rows) + 1))
             for r in range(len(rows)):
                 mine = slice(ends[r], ends[r + 1])

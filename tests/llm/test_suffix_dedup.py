@@ -60,3 +60,33 @@ def test_hash_collisions_are_verified():
     hashes.of = lambda start, length: np.zeros(len(start), dtype=np.uint64)
     marks = sd.repeated(hashes, np.array([0, 12, 1]), np.zeros(3, dtype=np.int64), np.arange(3), 10)
     assert not marks[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strings_around_anchors(seed):
+    """Places of anchors sorted once for all offsets against suffixes sorted for each offset."""
+    rng, length, gram = np.random.default_rng(seed), 12, 5
+    passages = [rng.integers(97, 99, 40).astype(np.uint8) for _ in range(3)]
+    parts, place, before, n, anchor, at = [], [], [], [], [], 0
+    for _ in range(60):
+        body, mid = passages[rng.integers(3)].copy(), int(rng.integers(15, 18))
+        body[rng.integers(40)] = 97
+        ahead = int(rng.integers(0, length - gram + 1))
+        count = int(rng.integers(1, ahead + 2))
+        part = body[mid - ahead : mid - ahead + count - 1 + length]
+        parts.append(part)
+        place.append(at + ahead)
+        before.append(ahead)
+        n.append(count)
+        anchor.append(int(body[mid : mid + gram].dot(1 << np.arange(gram))))
+        at += len(part)
+    data, place, before, n, anchor = np.concatenate(parts), *(np.array(x) for x in (place, before, n, anchor))
+    rank = rng.permutation(60)
+    got = sd.repeated_around(data, sd.Powers(), place, before, n, anchor, rank, length, gram)
+    inst = np.repeat(np.arange(60), n)
+    step = np.arange(len(inst)) - np.repeat(np.cumsum(n) - n, n)
+    segment, start = anchor[inst] * length + before[inst] - step, (place - before)[inst] + step
+    order = np.argsort(segment, kind="stable")
+    want = np.zeros(len(inst), dtype=bool)
+    want[order] = sd.repeated(sd.PrefixHashes(data, sd.Powers()), start[order], segment[order], rank[inst][order], length)
+    assert got.tolist() == want.tolist() and 0 < want.sum() < len(want)
