@@ -274,7 +274,7 @@ class CountTree:
 
 
 def _fold(points: list[np.ndarray], width: int) -> np.ndarray:
-    return np.stack([p.reshape(width, -1).sum(axis=1) for p in points])
+    return np.stack([p if len(p) == width else p.reshape(width, -1).sum(axis=1) for p in points])
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -315,13 +315,17 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         points = [_fold([r["point"] for r in s], width) for s in (rows, others)]
         sizes = [np.array([r["n"] for r in s]) for s in (rows, others)]
         trees = [CountTree(n, p.reshape(len(p), -1, FOLD).sum(axis=2)) for n, p in zip(sizes, points, strict=True)]
+        comps, classes = ([np.array([r[x] for r in s], dtype=np.int64) for s in (rows, others)] for x in ("comp", "c"))
         for x, y in trees[0].candidates(trees[1], percent):
+            other = comps[0][x] != comps[1][y]
+            if own:
+                other &= classes[0][x] < classes[1][y]
+            x, y = x[other], y[other]
+            if not len(x):
+                continue
             near = (100 + percent) * np.minimum(points[0][x], points[1][y]).sum(axis=1) >= percent * (sizes[0][x] + sizes[1][y])
-            x, y = x[near], y[near]
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = rows[i], others[j]
-                if a["comp"] != b["comp"] and (not own or a["c"] < b["c"]):
-                    yield min(a["c"], b["c"]), max(a["c"], b["c"])
+            a, b = classes[0][x[near]], classes[1][y[near]]
+            yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
