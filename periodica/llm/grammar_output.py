@@ -43,6 +43,8 @@ SHARD_TOKENS = 1 << 20
 #: A pair is replaced where it stands this often at least.
 LEAST_COUNT = 6
 SYMBOLS = 1 << 16
+#: Expansions of this length or less are looked up when a shard is read.
+SHORT = 32
 MOST_TOKENIZER_BYTES = 64 << 20
 
 
@@ -173,8 +175,10 @@ def compress(ids: np.ndarray, first_free: int) -> tuple[np.ndarray, np.ndarray,
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
         # In sorted keys a frequent one equals the key that stands LEAST_COUNT - 1 places on.
         ranked = np.sort(keys)
-        found = np.flatnonzero(ranked[: max(0, len(ranked) - LEAST_COUNT + 1)] == ranked[LEAST_COUNT - 1 :])
-        found, counts = np.unique(ranked[found], return_counts=True)
+        found = ranked[LEAST_COUNT - 1 :]
+        found = found[ranked[: len(found)] == found]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.empty(0, dtype=np.int64)
+        found, counts = found[first], np.diff(np.append(first, len(found)))
         often = np.argsort(-counts, kind="stable")[: SYMBOLS - free]
         side: dict[int, str] = {}
         chosen = []
@@ -242,10 +246,17 @@ class Shard:
         self.size = np.concatenate([np.ones(self.first_free, dtype=np.int64), size.astype(np.int64)])
         self.doc_ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)]
         self.reach = np.cumsum(self.size[self.sequence])
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        # Expansions of all symbols of SHORT tokens at most, one after another; longer ones are halved until they are short.
+        self.short = np.flatnonzero(self.size <= SHORT)
+        lengths = self.size[self.short]
+        self.start = np.zeros(len(self.size), dtype=np.int64)
+        self.start[self.short] = np.cumsum(lengths) - lengths
+        self.table = self._halved(self.short, 1)
+
+    def _halved(self, symbols: np.ndarray, longest: int) -> np.ndarray:
+        """Symbols with rules of more than ``longest`` tokens replaced by their sides."""
         out = symbols.astype(np.uint32)
-        while (rule := out >= self.first_free).any():
+        while (rule := self.size[out] > longest).any():
             at = np.repeat(out, np.where(rule, 2, 1))
             first = np.cumsum(np.where(rule, 2, 1))[rule] - 2
             which = out[rule] - self.first_free
@@ -253,6 +264,12 @@ class Shard:
             out = at
         return out
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        out = self._halved(symbols, SHORT)
+        lengths = self.size[out]
+        stops = np.cumsum(lengths)
+        return self.table[np.repeat(self.start[out] - stops + lengths, lengths) + np.arange(int(lengths.sum()))]
+
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Token ids [start, stop) of the shard; only the symbols over that range are expanded."""
         if stop <= start:

@@ -94,6 +94,23 @@ def test_grammar_ranges(ids):
         assert len(shard.sequence) < len(ids) / 4
 
 
+def test_short_expansions_are_looked_up():
+    """A reader holds the expansions of symbols of few tokens only; longer symbols are halved until they are short."""
+    rng = np.random.default_rng(2)
+    passage = rng.permutation(900).astype(np.uint32)
+    shard = grammar_output.Shard(grammar_output.pack([1], [np.concatenate([np.tile(passage, 7), np.full(3000, 5, dtype=np.uint32)])], 1000))
+
+    def plain(symbol):
+        if symbol < 1000:
+            return [symbol]
+        return plain(int(shard.left[symbol - 1000])) + plain(int(shard.right[symbol - 1000]))
+
+    assert shard.size.max() >= 900 and shard.size[shard.short].max() <= grammar_output.SHORT
+    assert len(shard.table) == shard.size[shard.short].sum() <= grammar_output.SHORT * len(shard.size)
+    for symbol in range(len(shard.size)):
+        assert shard.expand(np.array([symbol])).tolist() == plain(symbol)
+
+
 def test_grammar_runs_until_no_pair_is_frequent():
     rng = np.random.default_rng(3)
     passage = rng.permutation(900).astype(np.uint32)
