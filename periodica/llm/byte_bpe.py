@@ -33,7 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from periodica.llm.common import text_columns
+from periodica.llm.common import returns_memory, text_columns
 
 #: UTF-8 bytes after which a block is closed.
 BLOCK_BYTES = 8 << 20
@@ -234,11 +234,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = BL
                 "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at].astype(np.int32))),
             })
 
-    asked = texts.mapInArrow(ask, "shard int, key long, lengths binary, words binary").repartition(parts, "shard")
+    asked = texts.mapInArrow(returns_memory(ask), "shard int, key long, lengths binary, words binary").repartition(parts, "shard")
     schema = "key long, part int, body binary, docs array<long>"
-    answers = asked.mapInArrow(answer, schema)
-    blocks = answers.unionByName(texts.mapInArrow(places, schema))
-    return blocks.repartition(parts, "key").sortWithinPartitions("key", "part").mapInArrow(assemble, "doc_id long, ids array<int>")
+    answers = asked.mapInArrow(returns_memory(answer), schema)
+    blocks = answers.unionByName(texts.mapInArrow(returns_memory(places), schema))
+    return blocks.repartition(parts, "key").sortWithinPartitions("key", "part").mapInArrow(returns_memory(assemble), "doc_id long, ids array<int>")
 
 
 def token_table(data: bytes) -> list[bytes]:
@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 texts = [bytes(body[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": ids, "decoded": pa.array(texts, pa.binary())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(returns_memory(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -299,4 +299,4 @@ def digest(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
                 yield pa.record_batch(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return decoded.mapInArrow(run, schema)
+    return decoded.mapInArrow(returns_memory(run), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -32,7 +33,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to unsigned 64-bit hash; forgets all when full, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
@@ -98,6 +99,30 @@ def without_cycles(run):
     return wrapped
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine; the allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def returns_memory(run):
+    """A task function around which its worker gives back what it freed.
+
+    Spark keeps the workers of chained and earlier stages side by side, and each
+    would hold the most that any of its tasks needed.
+    """
+    def wrapped(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def lean_batches(spark) -> None:
     """Arrow batches of a thousand rows: a batch of long texts must fit a worker several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -119,7 +144,7 @@ def by_document(docs: DataFrame, schema: str, rows: Callable[[list, list], pa.Re
                 if out is not None and out.num_rows:
                     yield out
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(returns_memory(run), schema)
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list], np.ndarray]], text_col: str = "text") -> DataFrame:
@@ -137,7 +162,7 @@ def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list], np.ndarray]]
                 if out.num_rows:
                     yield pa.RecordBatch.from_arrays(out.columns[:width], schema=pa.schema([out.schema.field(i) for i in range(width)]))
 
-    return given.mapInArrow(run, docs.schema)
+    return given.mapInArrow(returns_memory(run), docs.schema)
 
 
 def null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:

@@ -20,7 +20,9 @@ hashes of shingles.
    coordinate groups, the group counts are points, and a packed R-tree over the
    points prunes every node or pair whose summed coordinate minima cannot reach
    the overlap needed. What is left is held against finer counts, so that nearly
-   all pairs that go on are links. Pairs already in one group are skipped.
+   all pairs that go on are links. Pairs already in one group are skipped, and so
+   are those that both classes name an earlier bucket for (each names its first
+   eight); the first bucket that a pair shares never skips it.
 4. Surviving pairs are verified on the whole sets, and linked classes merge.
 
 Null or empty texts and texts of blanks have an empty set and link with nothing;
@@ -35,10 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from periodica.llm.common import WordHashes, blank_words, gram_hashes, linked_groups, list_array, shingle_set, signed, text_columns
+from periodica.llm.common import gram_hashes, linked_groups, list_array, returns_memory, shingle_set, signed, text_columns
 from periodica.session import cut_lineage
 
 WORDS = 5
@@ -47,6 +50,8 @@ PERCENT = 75
 SKETCH_BITS = 22
 FILTER_BITS = 23
 LEAF = 256
+#: Buckets of a class that its rows name, so that a pair of many common buckets goes on from one.
+EARLIER = 8
 FANOUT = 16
 #: Coordinates of a count point that are added up to one coordinate of the tree.
 FOLD = 4
@@ -57,6 +62,25 @@ def _class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def text_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the blank-separated words of each text, A-Z lower-cased; each distinct word is hashed once."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    distinct, which = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))[which]
+    # Blanks at the ends of a text leave empty strings.
+    real = np.array([len(w) > 0 for w in distinct], dtype=bool)[which]
+    ends = np.cumsum(pc.list_value_length(split).to_numpy())
+    return np.split(hashed[real], np.concatenate([[0], np.cumsum(real)])[ends][:-1])
+
+
+def add_counts(held: np.ndarray, texts: pa.Array, words: int) -> None:
+    """Count the shingles of texts in the sketch cells ``held``, in place: a second array of all cells would double a worker's memory."""
+    hashes = text_hashes(texts)
+    grams = np.concatenate([gram_hashes(h, min(words, len(h))) for h in hashes])
+    np.add.at(held, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), held.dtype.type(1))
+
+
 def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
     """For each sketch cell 0 where it holds about as much as the median cell, else higher with the excess.
 
@@ -73,18 +97,10 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
         return np.frombuffer(zlib.decompress(blob[1:]), dtype={b"1": "u1", b"4": "<u4", b"8": "<u8"}[blob[:1]]).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cache, waiting, size = np.zeros(cells, dtype=np.int64), WordHashes(), [], 0
+        held = np.zeros(cells, dtype=np.uint32)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h = cache.of(blank_words(text))
-                grams = (gram_hashes(h, min(words, len(h))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
-                waiting.append(grams)
-                size += len(grams)
-                if size >= cells:
-                    held += np.bincount(np.concatenate(waiting), minlength=cells)
-                    waiting, size = [], 0
-        if waiting:
-            held += np.bincount(np.concatenate(waiting), minlength=cells)
+            for start in range(0, batch.num_rows, 512):
+                add_counts(held, batch.column("text").slice(start, 512), words)
         parts = np.split(held, SLICES)
         yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([packed(p) for p in parts], pa.binary())})
 
@@ -97,7 +113,7 @@ def rarity_levels(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.record_batch({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([packed(p) for p in total.values()], pa.binary())})
 
     schema = "slice int, counts binary"
-    summed = docs.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
+    summed = docs.mapInArrow(returns_memory(count), schema).repartition(SLICES, "slice").mapInArrow(returns_memory(add), schema)
     held = np.zeros(cells, dtype=np.int64)
     for row in summed.collect():
         held.reshape(SLICES, -1)[row["slice"]] += unpacked(bytes(row["counts"]))
@@ -110,13 +126,13 @@ def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
     carried = [c for c in docs.columns if c == "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, rarity = WordHashes(), set(), levels.value
+        seen, rarity = set(), levels.value
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 size, classes, keys, points = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    s = shingle_set(cache.of(blank_words(text)), words)
+                for hashes in text_hashes(batch.column("text")):
+                    s = shingle_set(hashes, words)
                     c = _class_of(s) if len(s) else None
                     size.append(len(s))
                     classes.append(c)
@@ -131,7 +147,7 @@ def signatures(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
                     keys.append(signed(rare[: len(s) - -(-percent * len(s) // 100) + 1]))
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(size, pa.int64()), "c": pa.array(classes, pa.int64()), "keys": list_array(keys, pa.int64()), "point": pa.array(points, pa.binary()), **{x: batch.column(x) for x in carried}})
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, keys array<long>, point binary" + "".join(f", {x} binary" for x in carried))
+    return docs.mapInArrow(returns_memory(run), "doc_id long, n long, c long, keys array<long>, point binary" + "".join(f", {x} binary" for x in carried))
 
 
 def _scramble(values: np.ndarray) -> np.ndarray:
@@ -169,7 +185,7 @@ def buckets(sigs: DataFrame) -> DataFrame:
             rest = [k[cut:], c[cut:], n[cut:]]
         yield found(*rest)
 
-    rows = keys.mapInArrow(run, "bucket long, c long, n long, size long")
+    rows = keys.mapInArrow(returns_memory(run), "bucket long, c long, n long, size long")
     return rows.groupBy("bucket", "c", "n", "size").agg(F.count("*").alias("shared"))
 
 
@@ -188,14 +204,14 @@ def class_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, bitmap = WordHashes(), set(), np.frombuffer(known.value, dtype=np.uint8)
+        seen, bitmap = set(), np.frombuffer(known.value, dtype=np.uint8)
         for whole in batches:
             at = whole.column("cell").to_numpy()
             whole = whole.filter(pa.array((bitmap[at >> 3] >> (at & 7) & 1).astype(bool)))
             for start in range(0, whole.num_rows, 512):
                 classes, members = [], []
-                for text in whole.slice(start, 512).column("text").to_pylist():
-                    s = shingle_set(cache.of(blank_words(text)), words)
+                for hashes in text_hashes(whole.column("text").slice(start, 512)):
+                    s = shingle_set(hashes, words)
                     c = _class_of(s) if len(s) else None
                     if c is not None and c not in seen:
                         seen.add(c)
@@ -204,7 +220,7 @@ def class_sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 if classes:
                     yield pa.record_batch({"c": pa.array(classes, pa.int64()), "n": pa.array([len(m) for m in members], pa.int64()), "members": list_array(members, pa.int64())})
 
-    found = docs.select("text", cell.alias("cell")).mapInArrow(run, "c long, n long, members array<long>")
+    found = docs.select("text", cell.alias("cell")).mapInArrow(returns_memory(run), "c long, n long, members array<long>")
     return found.join(reps.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
@@ -243,7 +259,7 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
 
     left = points.select(F.col("c").alias("a"), F.col("point").alias("pa"))
     right = points.select(F.col("c").alias("b"), F.col("point").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(returns_memory(run), "a long, b long")
 
 
 class CountTree:
@@ -280,6 +296,9 @@ def _fold(points: list[np.ndarray], width: int) -> np.ndarray:
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of ``members(bucket, c, n, size, comp)`` in different groups of one bucket, by ``points(c, point)``."""
     members = cut_lineage(members, "members")
+    # A class brings its smallest buckets along: a pair that meets in one of them on both sides goes on from the first alone.
+    first = members.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("bucket")), 1, EARLIER).alias("first"))
+    points = points.select("c", "point").join(first, "c")
     spread = F.ceil(F.col("size") / LEAF)
     cut = F.concat_ws(":", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long"), F.pmod(F.xxhash64("c"), spread))
     # A small bucket is one leaf, a larger one is cut by size band and salt.
@@ -295,9 +314,14 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
     two = meets.where("l1 <> l2").join(members.withColumnRenamed("leaf", "l2"), ["bucket", "l2"]).withColumn("side", F.lit(1))
     rows = small.unionByName(one.select(small.columns)).unionByName(two.select(small.columns))
     # The points come last, so that they travel once.
-    rows = rows.join(points, "c").select(*small.columns, "point").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
+    rows = rows.join(points, "c").select(*small.columns, "point", "first").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
 
     def join(group: list[dict]) -> Iterator[tuple[int, int]]:
+        bucket = group[0]["bucket"]
+        for r in group:
+            r["first"] = [b for b in r["first"] if b < bucket]
+        if set(group[0]["first"]).intersection(*(r["first"] for r in group)):
+            return  # all pairs meet in an earlier bucket
         for r in group:
             r["point"] = _point(r["point"])
         by_width: list[dict[int, list[dict]]] = [{}, {}]
@@ -324,8 +348,10 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
             if not len(x):
                 continue
             near = (100 + percent) * np.minimum(points[0][x], points[1][y]).sum(axis=1) >= percent * (sizes[0][x] + sizes[1][y])
-            a, b = classes[0][x[near]], classes[1][y[near]]
-            yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
+            for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                r, s = rows[i], others[j]
+                if set(r["first"]).isdisjoint(s["first"]):
+                    yield min(r["c"], s["c"]), max(r["c"], s["c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
@@ -344,7 +370,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
                 group.append(row)
         yield from flush()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(returns_memory(run), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from periodica.llm.common import WordHashes, alnum_words, by_document, keep_rows, mix, text_columns
+from periodica.llm.common import WordHashes, alnum_words, by_document, keep_rows, mix, returns_memory, text_columns
 
 BITS = 22
 #: Most labelled rows that the model is fitted on, and most words they may hold.
@@ -97,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable, rates: Rates = Rates(), ma
         slots, w = fit(rows, rates)
         yield pa.record_batch({"slot": pa.array(slots, pa.int64()), "weight": pa.array(w, pa.float64())})
 
-    model = sample.repartition(1).sortWithinPartitions("rank", "doc_id", "text").mapInArrow(train, "slot long, weight double").toPandas()
+    model = sample.repartition(1).sortWithinPartitions("rank", "doc_id", "text").mapInArrow(returns_memory(train), "slot long, weight double").toPandas()
     return model["slot"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 

@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from periodica.llm import decontamination, fingerprints, ngram_join, secret_scan, toxicity
-from periodica.llm.common import WordHashes, linked_groups, shingle_set
+from periodica.llm.common import WordHashes, blank_words, linked_groups, returns_memory, shingle_set
 
 
 def lower(t):
@@ -85,6 +87,76 @@ def test_tree_passes_on_hardly_more_than_links(spark):
     assert [tuple(r) for r in ngram_join.tree_pairs(members, points, 75).collect()] == [(30, 31)]
 
 
+@pytest.mark.parametrize("leaf", [8, 256])
+def test_tree_loses_no_pair_of_several_buckets(spark, monkeypatch, leaf):
+    """A pair goes on from one bucket; with lists of three buckets that agree only in part, it must go on still."""
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "EARLIER", 3)
+    rng = np.random.default_rng(8)
+    shared = rng.integers(-(1 << 62), 1 << 62, 200)
+    sets = [np.concatenate([shared[: 200 - c % 3], rng.integers(-(1 << 62), 1 << 62, 5 + c % 7)]) for c in range(40)]
+    within = {b: {c for c in range(40) if rng.random() < 0.4} for b in range(-6, 6)}
+    points = spark.createDataFrame([(c, bytearray(ngram_join.count_point(s))) for c, s in enumerate(sets)], "c long, point binary")
+    rows = [(b, c, len(sets[c]), len(cs), c % 20) for b, cs in within.items() for c in cs]
+    members = spark.createDataFrame(rows, "bucket long, c long, n long, size long, comp long")
+    want = {(x, y) for cs in within.values() for x in cs for y in cs if x < y and x % 20 != y % 20}
+    assert {tuple(r) for r in ngram_join.tree_pairs(members, points, 75).collect()} == want
+
+
+def test_a_pair_goes_on_from_one_bucket(spark, monkeypatch):
+    """Classes that share twelve buckets make each pair once, not twelve times."""
+    monkeypatch.setattr(DataFrame, "distinct", lambda frame: frame)
+    rng = np.random.default_rng(8)
+    shared = rng.integers(-(1 << 62), 1 << 62, 200)
+    sets = [np.concatenate([shared, rng.integers(-(1 << 62), 1 << 62, 5 + c)]) for c in range(9)]
+    points = spark.createDataFrame([(c, bytearray(ngram_join.count_point(s))) for c, s in enumerate(sets)], "c long, point binary")
+    members = spark.createDataFrame([(b, c, len(sets[c]), 8, c) for b in range(12) for c in range(9) if c != b % 9], "bucket long, c long, n long, size long, comp long")
+    made = Counter(tuple(r) for r in ngram_join.tree_pairs(members, points, 75).collect())
+    assert made == Counter((x, y) for x in range(9) for y in range(x + 1, 9))
+
+
+def test_sketch_is_counted_in_place():
+    import tracemalloc
+
+    held = np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.int64)
+    texts = pa.array([" ".join(f"w{i * k % 97}" for i in range(300)) for k in range(1, 60)] + ["one"])
+    tracemalloc.start()
+    ngram_join.add_counts(held, texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held.sum() == 59 * 296 + 1 and peak < held.nbytes / 4
+
+
+def test_workers_give_memory_back():
+    """What a task function has freed does not stay with its worker."""
+    from pathlib import Path
+
+    def anonymous():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) >> 10
+
+    def run(batches):
+        held, kept = [], []
+        for _ in batches:
+            for k in range(400_000):
+                held.append(bytes(600))
+                if not k % 4000:
+                    kept.append(bytes(600))
+        yield len(held)
+        del held
+        yield kept
+
+    before = anonymous()
+    assert len(list(returns_memory(run)([1]))) == 2
+    assert anonymous() - before < 60
+
+
+@pytest.mark.parametrize("texts", [[None, "", " \t", "a", " A b\x0b\x0cB\r\n", "x\x1cy\x85z\xa0É \u2003 Ä\x1f é\x00K", "a b " * 900], [None], []])
+def test_hashes_of_words(texts):
+    """Words of all texts of a batch are hashed together, as one by one."""
+    got, cache = ngram_join.text_hashes(pa.array(texts, pa.string())), WordHashes()
+    assert [g.tolist() for g in got][: len(texts)] == [cache.of(blank_words(t)).tolist() for t in texts]
+
+
 def test_join_empty_and_keep_one(no_docs, edge_docs):
     assert ngram_join.components(no_docs).count() == 0
     kept = ngram_join.keep_one(edge_docs)
