@@ -67,7 +67,8 @@ class Splitter:
 
     def __init__(self, pattern):
         self.pattern, self.codes = pattern, {}
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
+        # The pieces don't point back here: in a cycle they would outlive their block until the collector's next long search.
+        self.first, self.later = _Pieces(pattern, self.codes, ""), _Pieces(pattern, self.codes, " ")
 
     def split(self, text: str) -> np.ndarray:
         body = text.encode()
@@ -79,16 +80,16 @@ class Splitter:
 
 
 class _Pieces(dict):
-    def __init__(self, owner: Splitter, lead: str):
+    def __init__(self, pattern, codes: dict[bytes, int], lead: str):
         super().__init__()
-        self.owner, self.lead, self.mark = owner, lead, lead.encode()
+        self.pattern, self.codes, self.lead, self.mark = pattern, codes, lead, lead.encode()
 
     def __missing__(self, piece: bytes) -> bytes:
-        codes = self.owner.codes
+        codes = self.codes
         if piece.isalpha():  # ASCII letters only: one match
             value = codes.setdefault(self.mark + piece, len(codes)).to_bytes(4, "little")
         else:
-            found = self.owner.pattern.findall(self.lead + piece.decode())
+            found = self.pattern.findall(self.lead + piece.decode())
             value = b"".join([codes.setdefault(m.encode(), len(codes)).to_bytes(4, "little") for m in found])
         self[piece] = value
         return value
@@ -112,8 +113,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern_text: str, block_bytes: i
             parts.append(splitter.split(text))
             size[0] += len(text)
             if size[0] >= block_bytes:
-                yield _closed(*state)
-                state = None
+                block = _closed(*state)
+                state = seen = splitter = docs = parts = None
+                yield block
     if state is not None:
         yield _closed(*state)
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -50,6 +51,21 @@ def test_splitter(encoding, text):
     assert ids == encoding.encode_ordinary(text)
 
 
+def test_pieces_end_with_their_block():
+    import gc
+    import weakref
+
+    splitter = byte_bpe.Splitter(re.compile(r"\w+|\s+|[^\w\s]+"))
+    splitter.split("one two, three")
+    pieces = weakref.ref(splitter.later)
+    gc.disable()
+    try:
+        del splitter
+        assert pieces() is None
+    finally:
+        gc.enable()
+
+
 WORDS = P.path("word_bpe_49k.json")
 
 
