@@ -9,7 +9,8 @@ hashes of shingles.
    keys the rarest ``n - ceil(percent * n / 100) + 1`` of its ``n`` shingles, so
    linked classes share a key. Rarity comes from a fixed-size count sketch over
    all documents, read in spreads above its median: it only settles the order of shingles, never which pairs count.
-2. Classes of one key form a bucket. A bucket has three pivots: the member whose
+2. Classes of one key form a bucket, or several where their sizes are too far apart
+   to link. A bucket has three pivots: the member whose
    keys are shared most, as an original's are beside its edited copies, and those
    first and last by a hash, so that the buckets of a group mostly agree on them.
    Each class is first verified against the pivot of each kind with which it
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from periodica.llm.common import gram_hashes, linked_groups, list_array, returns_memory, shingle_set, signed, text_columns
 from periodica.session import cut_lineage
@@ -155,10 +156,12 @@ def _scramble(values: np.ndarray) -> np.ndarray:
     return (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
+def buckets(sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Members of buckets with two classes or more: bucket, c, n, size, shared keys.
 
-    Buckets with the same members count as one; ``bucket`` is a hash of the members.
+    The classes of a key, by size, are cut where the size jumps by more than linked
+    sets differ; no pair over a jump can link. Buckets with the same members count
+    as one; ``bucket`` is a hash of the members.
     """
     keys = sigs.select(F.explode("keys").alias("k"), "c", "n").repartition("k").sortWithinPartitions("k", "n", "c")
 
@@ -166,7 +169,8 @@ def buckets(sigs: DataFrame) -> DataFrame:
         fresh = np.ones(len(k), dtype=bool)
         fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         k, c, n = k[fresh], c[fresh], n[fresh]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, dtype=np.int64)
+        apart = (k[1:] != k[:-1]) | (100 * n[:-1] < percent * n[1:])
+        first = np.flatnonzero(np.concatenate([[True], apart])) if len(k) else np.empty(0, dtype=np.int64)
         length = np.diff(np.append(first, len(k)))
         mark = np.add.reduceat(_scramble(c), first).view(np.int64) if len(first) else first
         keep = np.repeat(length >= 2, length)
@@ -238,7 +242,9 @@ def count_point(members: np.ndarray) -> bytes:
     groups = (_scramble(members) >> np.uint64(64 - bits)).astype(np.int64)
     counts = np.bincount(groups, minlength=1 << bits)
     kind = "u1" if counts.max() < 256 else "<u4"
-    return kind[-1].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+    # Small counts in no order: nothing repeats but the values, so codes by frequency alone are shortest.
+    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return kind[-1].encode() + coder.compress(counts.astype(kind).tobytes()) + coder.flush()
 
 
 def _point(blob: bytes) -> np.ndarray:
@@ -314,12 +320,10 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
     two = meets.where("l1 <> l2").join(members.withColumnRenamed("leaf", "l2"), ["bucket", "l2"]).withColumn("side", F.lit(1))
     rows = small.unionByName(one.select(small.columns)).unionByName(two.select(small.columns))
     # The points come last, so that they travel once.
-    rows = rows.join(points, "c").select(*small.columns, "point", "first").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
+    rows = rows.join(points, "c").withColumn("first", F.filter("first", lambda b: b < F.col("bucket")))
+    rows = rows.select(*small.columns, "point", "first").repartition("bucket", "l1", "l2").sortWithinPartitions("bucket", "l1", "l2", "side", "c")
 
     def join(group: list[dict]) -> Iterator[tuple[int, int]]:
-        bucket = group[0]["bucket"]
-        for r in group:
-            r["first"] = [b for b in r["first"] if b < bucket]
         if set(group[0]["first"]).intersection(*(r["first"] for r in group)):
             return  # all pairs meet in an earlier bucket
         for r in group:
@@ -384,7 +388,7 @@ def _grouped(texts: DataFrame, words: int, percent: int) -> DataFrame:
     spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(rarity_levels(texts.select("text"), words))
     sigs = cut_lineage(signatures(texts, levels, words, percent), "signatures")
-    members = cut_lineage(buckets(sigs), "buckets")
+    members = cut_lineage(buckets(sigs, percent), "buckets")
     classes = sigs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     points = sigs.where("point is not null").select("c", "point").dropDuplicates(["c"])
 
@@ -422,7 +426,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Rows are told apart by id and digest of the text, so other texts under the
     id of a copy stay. Rows without words are groups of their own and all stay.
-    Only repeats of a kept id and text meet in an aggregate.
+    Only repeats of a kept id and text meet in an aggregate. A bitmap of fixed size
+    sets aside the rows that may be copies; the texts of the others stay where they are.
     """
     id_, mark = F.col("doc_id").cast("long"), F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
     rows = _grouped(text_columns(docs).withColumn("mark", mark), words, percent).where("c is not null")
@@ -433,6 +438,21 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     told = cut_lineage(told, "told")
     marked = docs.withColumn("_id", id_).withColumn("_mark", mark)
     same = F.col("_id").eqNullSafe(F.col("_told_id")) & (F.col("_mark") == F.col("_told_mark"))
-    rest = marked.join(told, same, "left_anti")
-    once = marked.join(told.where("kept"), same, "left_semi").dropDuplicates(["_id", "_mark"])
-    return rest.unionByName(once).drop("_id", "_mark")
+    sifted, repeats = _sifted(marked, told), told.where("kept")
+    rest = sifted.where("_near").join(told, same, "left_anti").unionByName(sifted.where("not _near"))
+    once = _sifted(marked, repeats).where("_near").join(repeats, same, "left_semi").dropDuplicates(["_id", "_mark"])
+    return rest.unionByName(once).drop("_id", "_mark", "_near")
+
+
+def _sifted(marked: DataFrame, told: DataFrame) -> DataFrame:
+    """``marked`` with ``_near``, false only where (_id, _mark) is none of ``told(_told_id, _told_mark)``."""
+    def cell(*key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS)) + 1
+
+    asked = cell("_told_id", "_told_mark")
+    slices = told.groupBy(F.bitmap_bucket_number(asked).alias("_slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(asked)).alias("_bits"))
+    at = F.bitmap_bit_position("_cell").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    rows = marked.withColumn("_cell", cell("_id", "_mark"))
+    rows = rows.join(F.broadcast(slices), F.bitmap_bucket_number("_cell") == F.col("_slice"), "left")
+    return rows.withColumn("_near", F.coalesce(F.getbit(byte, at.bitwiseAND(7)) == 1, F.lit(False))).drop("_cell", "_slice", "_bits")

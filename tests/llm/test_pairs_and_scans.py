@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,66 @@ def test_join_empty_and_keep_one(no_docs, edge_docs):
     assert {r[0] for r in kept.select("doc_id").collect()} == {0, 2, 3, 4, 5, 7, 8, 9, 10, 11, 14, 16, 17, None}
 
 
+def shuffled_bytes(plan):
+    """Bytes that the exchanges of an executed plan wrote."""
+    kind, inner = plan.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        inner = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        inner = [plan.plan()]
+    else:
+        inner = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(map(shuffled_bytes, inner))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """The copies' ids and digests may be too many to broadcast; only texts that may be copies go to them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 60, 100))) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (400, texts[8]), (None, texts[9]), (None, None), (401, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(docs.localCheckpoint())
+        got = Counter(map(tuple, kept.collect()))
+        moved = shuffled_bytes(kept._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == Counter([*enumerate(texts), (None, None), (401, "")])
+    assert 0 < moved < sum(len(t or "") for _, t in rows) / 10
+
+
+def test_rows_told_by_a_bitmap(spark, monkeypatch):
+    """No told row is passed over, with cells that many rows share, without ids and with no row told."""
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 6)
+    key = [F.col("id").alias("_id"), F.md5(F.col("id").cast("string")).cast("binary").alias("_mark")]
+    rows = spark.range(500).withColumn("id", F.when(F.col("id") % 50 > 0, F.col("id"))).select(*key)
+    told = rows.where("_id % 100 = 1 or _id is null").select(F.col("_id").alias("_told_id"), F.col("_mark").alias("_told_mark")).distinct()
+    near = [r["_id"] for r in ngram_join._sifted(rows, told).where("_near").collect()]
+    assert {None, 1, 101, 201, 301, 401} <= set(near) and len(near) < 250
+    assert ngram_join._sifted(rows, told.limit(0)).where("not _near").count() == 500
+
+
+def test_classes_of_far_sizes_share_no_bucket(spark):
+    """Sets of one key link only within three quarters of their size; a chain of near sizes stays together."""
+    sizes = {1: 100, 2: 133, 3: 134, 4: 170, 5: 400, 6: 601, 7: 801}
+    sigs = spark.createDataFrame([(c, n, [9, c]) for c, n in sizes.items()], "c long, n long, keys array<long>")
+    got = {}
+    for r in ngram_join.buckets(sigs).collect():
+        got.setdefault((r["bucket"], r["size"]), set()).add(r["c"])
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3, 4], [6, 7]] and {size for _, size in got} == {4, 2}
+
+
+def test_points_are_short():
+    """Counts of a set of 300 take two thirds of what general compression made of them."""
+    members = np.random.default_rng(6).integers(-(1 << 62), 1 << 62, 300)
+    point = ngram_join.count_point(members)
+    counts = ngram_join._point(point)
+    assert counts.sum() == 300 and len(point) < 0.8 * len(zlib.compress(counts.astype("u1").tobytes(), 1))
+
+
 def test_linked_groups_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, None)], "a long, b long")
     got = {r["node"]: r["root"] for r in linked_groups(links).collect()}
